@@ -51,4 +51,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
         import tempfile
 
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))  # new names: what Spark inferred of the old ones doesn't follow into unions

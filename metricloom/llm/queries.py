@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe
+from metricloom.llm import bpe, simhash
 from metricloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path(), pre_tokens())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.linked(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op6_simhash": op6_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
