@@ -53,3 +53,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     out = df.checkpoint(eager=True)
     return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))  # new names: what Spark inferred of the old ones doesn't follow into unions
+
+
+def extended(df: DataFrame, **kinds: str):
+    """Schema of the frame's columns and of new ones."""
+    return df.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in kinds.items())).schema
