@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe, decontaminate, simhash, toxicity
+from metricloom.llm import bpe, decontaminate, merkle, simhash, toxicity
 from metricloom.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -44,7 +44,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_decontaminate": op3_decontaminate, "op6_simhash": op6_simhash, "op8_toxicity": op8_toxicity}
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.beside_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_decontaminate": op3_decontaminate, "op6_simhash": op6_simhash, "op8_toxicity": op8_toxicity, "op10_merkle": op10_merkle}
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
