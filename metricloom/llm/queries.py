@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe, decontaminate, merkle, simhash, suffix_dedup, toxicity
+from metricloom.llm import bpe, ctw, decontaminate, merkle, simhash, suffix_dedup, toxicity
 from metricloom.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.scored(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.linked(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -52,7 +57,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.beside_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_decontaminate": op3_decontaminate, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op10_merkle": op10_merkle}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op10_merkle": op10_merkle}
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
