@@ -1,0 +1,70 @@
+"""Surrogates: kinds and formats hold, distinct entities stay distinct, equal ones equal."""
+
+import random
+import re
+
+from metricloom.llm import pii
+from metricloom.llm.queries import op5_pii
+
+KEY = b"test"
+
+
+def test_permutation_is_one_to_one():
+    own = pii.Surrogates(KEY)
+    for size in (2, 3, 10, 97, 1000, 4097):
+        assert sorted(own.permute(i, size, "x") for i in range(size)) == list(range(size))
+
+
+def test_kinds_and_formats():
+    text = (
+        "Mail Jane.Doe7@Mail3.example.com or jane.doe7@mail3.example.com; call +1 (017) 555-7713, 017-555-7713; host 97.51.17.173, card 4845168114407329 4441-1144-9999-0004 "
+        'not 9807915762804491; SSN 123-45-6789, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" DE89 3704 0044 0532 0130 00. Frau Anna Schmidt, Mr. Peter Brown and Dr. Иван Петров.'
+    )
+    own = pii.Surrogates(KEY)
+    new, found = pii.replaced(text, own)
+    kinds = [k for _, _, k, _ in found]
+    card = "4441114499990004" if pii.luhn("444111449999000") == 4 else None
+    assert kinds.count("email") == 2 and kinds.count("phone") == 2 and kinds.count("card") == 1 + bool(card) and kinds.count("person") == 3
+    assert {"ip", "ssn", "secret", "iban"} <= set(kinds) and "9807915762804491" in new
+    by = {}
+    for s, e, kind, x in found:
+        assert x != text[s:e] and len(x) == len(text[s:e]) or kind in ("ip", "person")
+        by.setdefault(kind, []).append(x)
+    assert by["email"][0].lower() == by["email"][1] and by["email"][0][0].isupper()
+    digits = [re.sub(r"\D", "", x)[-10:] for x in by["phone"]]
+    assert digits[0] == digits[1] and by["phone"][0].startswith("+1 (")
+    assert all(pii.luhn(re.sub(r"\D", "", x)[:-1]) == int(re.sub(r"\D", "", x)[-1]) for x in by["card"])
+    assert pii.mod97(by["iban"][0][:2], by["iban"][0].replace(" ", "")[4:]) == int(by["iban"][0][2:4])
+    assert set(by["secret"][0]) <= set(pii.HEX)
+    assert by["person"][0].split()[0].lower() in pii.NAMES["f", "latin"] and by["person"][1].split()[0].lower() in pii.NAMES["m", "latin"]
+    assert by["person"][2].split()[0].lower() in pii.NAMES["m", "cyrillic"] and re.fullmatch("[А-Яа-я]+", by["person"][2].split()[1])
+    again = pii.replaced(text, pii.Surrogates(KEY))[0]
+    assert again == new != pii.replaced(text, pii.Surrogates(b"other"))[0]
+    assert [(k) for _, _, k in pii.entities(new)] == kinds
+
+
+def test_distinct_entities_stay_distinct():
+    rng, own = random.Random(3), pii.Surrogates(KEY)
+    for kind, make in (("ip", lambda: ".".join(str(rng.randrange(256)) for _ in range(4))), ("email", lambda: f"{rng.choice('ab')}{rng.randrange(40)}@h.example"), ("phone", lambda: f"{rng.randrange(100):03d}-555-0000"), ("person", lambda: rng.choice(["Anna", "Petra", "Zo", "Za", "Zi"]))):
+        seen = {x: own.replace(kind, x) for x in {make() for _ in range(300)}}
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_frames(spark, sf_dir):
+    rows = [(1, "a@b.example", "x", 1), (2, None, None, 2), (None, "", "x", None), (1, "a@b.example", "x", 1), (3, "word " * 30000 + "10.0.0.1", "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind string, entities int")
+    got = pii.surrogate(frame, KEY).collect()
+    assert len(got) == 5 and sorted(len(r.entities) for r in got) == [0, 0, 1, 1, 1]
+    assert {r.text for r in got if r.doc_id in (2, None)} == {None, ""} and len({r.text for r in got if r.doc_id == 1}) == 1
+    assert pii.surrogate(frame.limit(0), KEY).collect() == []
+    assert pii.surrogate(frame, KEY, spans=None).columns == frame.columns
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert pii.collisions(docs, KEY).collect() == []
+    before = {r.doc_id: r.text for r in docs.collect()}
+    hits = 0
+    for r in op5_pii(spark, sf_dir).collect():
+        assert (r.text == before[r.doc_id]) == (r.n_entities == 0)
+        for s, e, k in pii.entities(before[r.doc_id] or ""):
+            hits += 1
+            assert before[r.doc_id][s:e] not in r.text or k == "person"
+    assert hits
