@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe, ctw, decontaminate, merkle, pii, simhash, suffix_dedup, toxicity
+from metricloom.llm import bpe, ctw, decontaminate, merkle, packing, pii, quality, simhash, suffix_dedup, toxicity
 from metricloom.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The first id that the ranks leave free.
+END_ID = 50_256
 
 
 def ranks_path() -> str:
@@ -29,6 +31,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path(), pre_tokens())
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), ranks_path(), pre_tokens(), END_ID)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -62,11 +68,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted", "spans")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources of the documents, paths the languages under them."""
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+    return scored.withColumn("held_out", fold("doc_id") == 0).withColumn("predicted", F.col("keep").cast("int"))
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.beside_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op10_merkle": op10_merkle}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_merkle": op10_merkle}
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
