@@ -1,0 +1 @@
+"""Sliced evaluation of model predictions on Spark DataFrames."""
