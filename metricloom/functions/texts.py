@@ -75,6 +75,19 @@ def longest_common(a: Sequence[str], b: Sequence[str]) -> list[list[int]]:
     return table
 
 
+def common_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of a longest common subsequence, a row of the table in the bits of one number."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def _common_places(a: Sequence[str], b: Sequence[str]) -> set[int]:
     """Places of ``a`` in a longest common subsequence."""
     table, i, j, out = longest_common(a, b), len(a), len(b), set()
@@ -93,7 +106,7 @@ def rouge(hypothesis: str, reference: str, kind: str) -> tuple[float, float, flo
     """Precision, recall and F of ``rouge1`` to ``rouge9``, ``rougeL`` or ``rougeLsum`` (lines as sentences)."""
     if kind == "rougeL":
         a, b = words_of(reference), words_of(hypothesis)
-        return _score(longest_common(a, b)[-1][-1], len(b), len(a))
+        return _score(common_length(a, b), len(b), len(a))
     if kind == "rougeLsum":
         refs, hyps = ([w for s in t.split("\n") if (w := words_of(s))] for t in (reference, hypothesis))
         left, right, hits = Counter(x for s in refs for x in s), Counter(x for s in hyps for x in s), 0

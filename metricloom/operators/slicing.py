@@ -61,6 +61,11 @@ def _matches(df: DataFrame, name: str, value: object) -> Column:
     return F.coalesce(same | (c == F.lit(value)) if isinstance(value, int | float) and df.schema[name].dataType.typeName() != "string" else same, F.lit(False))
 
 
+def _product(keys: Column, name: str, choices: Column) -> Column:
+    """Each key followed by each choice."""
+    return F.flatten(F.transform(keys, lambda k: F.transform(choices, lambda v: F.concat(k, F.array(F.struct(F.lit(name).alias("key"), v.alias("value")))))))
+
+
 def slice_keys_of(df: DataFrame, spec: SlicingSpec) -> Column:
     """The keys of the slices of one spec that a row belongs to: a row with a missing column or value has none."""
     if spec.sql:
@@ -68,7 +73,7 @@ def slice_keys_of(df: DataFrame, spec: SlicingSpec) -> Column:
     keys = F.array(F.array().cast(KEY)).cast(f"array<{KEY}>")
     for name in sorted({*spec.keys, *dict(spec.values)}):
         choices = F.array(F.lit(str(dict(spec.values)[name]))) if name in dict(spec.values) else _values(df, name)
-        keys = F.flatten(F.transform(keys, lambda k, name=name, choices=choices: F.transform(choices, lambda v: F.concat(k, F.array(F.struct(F.lit(name).alias("key"), v.alias("value")))))))
+        keys = _product(keys, name, choices)
     held = F.lit(True)
     for name, value in spec.values:
         held = held & _matches(df, name, value)
@@ -123,10 +128,11 @@ def applies(key: Column, spec: SlicingSpec) -> Column:
     """Whether a slice's key belongs to a spec: its values and columns, and nothing else."""
     values = dict(spec.values)
     out = F.size(key) == len(spec.keys) + len(values)
+    pairs = F.transform(key, lambda s: F.concat_ws("=", s["key"], s["value"]))
     for name in spec.keys:
-        out = out & F.exists(key, lambda s, name=name: s["key"] == name)
+        out = out & F.array_contains(F.transform(key, lambda s: s["key"]), name)
     for name, value in spec.values:
-        out = out & F.exists(key, lambda s, name=name, value=value: (s["key"] == name) & (s["value"] == str(value)))
+        out = out & F.array_contains(pairs, f"{name}={value}")
     return out
 
 
