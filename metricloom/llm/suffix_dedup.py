@@ -1,6 +1,6 @@
 """Repeated byte strings by run-length compressed Burrows-Wheeler indexes.
 
-Every window of ``length`` bytes has an anchor, the leftmost least of its hashed 16-byte strings, which its content
+Every window of ``length`` bytes has an anchor, the leftmost least of its hashed 64-byte strings, which its content
 alone decides; equal windows have equal anchors at equal places. A stretch of windows with one anchor is a piece. Only
 pieces whose anchor occurs again are looked at: equal pieces count as repeated whole; different pieces around one anchor
 go, once each, to the bucket of the anchor, where one index is built over them. There the BWT is cut into runs. Where a
@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 from metricloom.llm.common import as_bytes, checkpointed, extended, map_batches, record
 
 LENGTH = 400
-GRAM = 16
+GRAM = 64
 #: Bytes of text that are hashed at a time, and of pieces in one index.
 CHUNK, INDEX_BYTES = 1 << 17, 1 << 21
 #: An anchor with more different pieces than fit one task is dealt out by the hashes of its windows instead.
-ANCHOR_PIECES = 4_000
+ANCHOR_PIECES = 2_000
 PLACE = np.uint64((1 << 24) - 1)
 
 
 def _grams(a: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of the 16 bytes from each place."""
+    """A mixed 64-bit hash of the ``GRAM`` bytes from each place."""
     h, size, base = a.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
     while size < GRAM:
         h = h[:-size] * np.uint64(base) + h[size:]
