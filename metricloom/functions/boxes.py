@@ -17,31 +17,51 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
 
 
-def match(truth: np.ndarray, found: np.ndarray, iou: float = 0.5, class_id: int | None = None, area: tuple[float, float] | None = None, most: int | None = None) -> list[tuple[float, float]]:
-    """Labels and predictions of one image.
+def _overlap(a: list[float], b: list[float]) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    common = w * h if w > 0 and h > 0 else 0.0
+    union = _area(a) + _area(b) - common
+    return common / union if union > 0 else 0.0
+
+
+def _area(a: list[float]) -> float:
+    return max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1])
+
+
+#: From so many pairs of boxes on NumPy is quicker.
+MANY = 400
+
+
+def matches(truth: list[list[float]], found: list[list[float]], ious: tuple[float, ...] = (0.5,), class_id: int | None = None, area: tuple[float, float] | None = None, most: int | None = None) -> list[list[tuple[float, float]]]:
+    """Labels and predictions of one image at each overlap threshold.
 
     ``truth``: rows of box and class; ``found``: rows of box, class and score. Detections of the class, best first and at
-    most ``most``, each take the true box that overlaps most, and at least by ``iou``, among those not yet taken (of
-    equal ones the later). A taken box is (1, score), another detection (0, score), another box (1, 0). Boxes outside the
-    ``area`` range don't count; a detection is within by its own area unless it took a box.
+    most ``most``, each take the true box that overlaps most, and at least by the threshold, among those not yet taken
+    (of equal ones the later). A taken box is (1, score), another detection (0, score), another box (1, 0). Boxes outside
+    the ``area`` range don't count; a detection is within by its own area unless it took a box.
     """
-    truth, found = np.asarray(truth, float).reshape(-1, 5), np.asarray(found, float).reshape(-1, 6)
     if class_id is not None:
-        truth, found = truth[truth[:, 4] == class_id], found[found[:, 4] == class_id]
-    found = found[np.argsort(-found[:, 5], kind="stable")][:most]
-    within = lambda boxes: np.ones(len(boxes), bool) if area is None else (areas(boxes) >= area[0]) & (areas(boxes) <= area[1])
-    counts, own = within(truth), within(found)
-    shared = overlaps(found, truth)
-    taken, out = np.zeros(len(truth), bool), []
-    for i in range(len(found)):
-        best, at = iou, -1
-        for j in range(len(truth)):
-            if not taken[j] and shared[i, j] >= best:
-                best, at = shared[i, j], j
-        if at >= 0:
-            taken[at] = True
-            if counts[at]:
-                out.append((1.0, float(found[i, 5])))
-        elif own[i]:
-            out.append((0.0, float(found[i, 5])))
-    return out + [(1.0, 0.0)] * int((~taken & counts).sum())
+        truth, found = [t for t in truth if t[4] == class_id], [d for d in found if d[4] == class_id]
+    found = sorted(found, key=lambda d: -d[5])[:most]
+    within = lambda b: area is None or area[0] <= _area(b) <= area[1]
+    counts, own = list(map(within, truth)), list(map(within, found))
+    if len(truth) * len(found) > MANY:
+        shared = overlaps(np.array(found, float), np.array(truth, float)).tolist()
+    else:
+        shared = [[_overlap(d, t) for t in truth] for d in found]
+    out = []
+    for iou in ious:
+        free, rows = list(range(len(truth))), []
+        for i, d in enumerate(found):
+            best, at = iou, -1
+            for j in free:
+                if shared[i][j] >= best:
+                    best, at = shared[i][j], j
+            if at >= 0:
+                free.remove(at)
+                if counts[at]:
+                    rows.append((1.0, d[5]))
+            elif own[i]:
+                rows.append((0.0, d[5]))
+        out.append(rows + [(1.0, 0.0) for j in free if counts[j]])
+    return out

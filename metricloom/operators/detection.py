@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from metricloom.functions import boxes
 from metricloom.operators.slicing import SlicingSpec, fan_out
@@ -17,21 +17,28 @@ def matched(df: DataFrame, truth: str = "truth", found: str = "found", iou: Sequ
     """The other columns with ``iou, class_id, label, prediction, weight`` for each matched or unmatched box.
 
     ``truth``: arrays of [left, top, right, bottom, class]; ``found`` also ends with a score. Images go through one
-    vectorised function in batches; no image meets another.
+    function in batches; no image meets another.
     """
 
-    @F.pandas_udf("array<struct<iou: double, class_id: int, label: double, prediction: double>>")
-    def run(t: pd.Series, d: pd.Series) -> pd.Series:
-        def one(t, d) -> list[dict]:
-            t = np.array([list(b) for b in t], float) if t is not None and len(t) else np.zeros((0, 5))
-            d = np.array([list(b) for b in d], float) if d is not None and len(d) else np.zeros((0, 6))
-            return [{"iou": i, "class_id": c, "label": y, "prediction": p} for i in iou for c in classes for y, p in boxes.match(t, d, i, c, area, most)]
-
-        return pd.Series([one(a, b) for a, b in zip(t, d, strict=True)])
-
     rest = [c for c in df.columns if c not in (truth, found, "iou", "class_id", "label", "prediction", "weight")]
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    return df.select(*(f"`{c}`" for c in rest), w.alias("weight"), F.inline(run(truth, found)))
+    given = df.select(*(f"`{c}`" for c in rest), w.alias("weight"), F.col(truth).cast("array<array<double>>").alias("__t"), F.col(found).cast("array<array<double>>").alias("__d"))
+    out = given.drop("__t", "__d")
+    schema = out.select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("iou", "double"), ("class_id", "int"), ("label", "double"), ("prediction", "double")))).schema
+    fields, names = to_arrow_schema(schema), out.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (t, d) in enumerate(zip(batch.column("__t").to_pylist(), batch.column("__d").to_pylist(), strict=True)):
+                new = [(v, c, y, p) for c in classes for v, part in zip(iou, boxes.matches(t or [], d or [], tuple(iou), c, area, most), strict=True) for y, p in part]
+                at += [i] * len(new)
+                rows += new
+            if rows:
+                kept = batch.select(names).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(fields)[-4:], strict=True))], schema=fields)
+
+    return given.mapInArrow(run, schema)
 
 
 def stacked(columns: Sequence[str], count: str | None = None):
@@ -58,12 +65,14 @@ def curve(rows: DataFrame, specs: Sequence[SlicingSpec] = ()) -> DataFrame:
 def average_precision(rows: DataFrame, recalls: Sequence[float] = tuple(i / 100 for i in range(101)), specs: Sequence[SlicingSpec] = ()) -> DataFrame:
     """``slice_key, iou, class_id, value``: the mean over recalls of the best precision at that recall or more; null
     without positives."""
-    points = curve(rows, specs).withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "positives")})
-    best = [F.coalesce(F.max(F.when(F.col("recall") >= r, F.col("precision"))), F.lit(0.0)) for r in recalls]
-    total = best[0]
-    for b in best[1:]:
-        total = total + b
-    return points.groupBy("slice_key", "iou", "class_id").agg(F.when(F.max("positives") > 0, total / len(recalls)).alias("value"))
+    from pyspark.sql import Window
+
+    reached = F.size(F.filter(F.lit(list(map(float, recalls))).cast("array<double>"), lambda r: r <= F.col("recall")))
+    points = curve(rows, specs).withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "positives")}).withColumn("reached", F.coalesce(reached, F.lit(0)))
+    down = Window.partitionBy("slice_key", "iou", "class_id").orderBy(F.desc("threshold"))
+    best = F.coalesce(F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
+    steps = points.withColumn("part", best * (F.col("reached") - F.coalesce(F.lag("reached").over(down), F.lit(0))))
+    return steps.groupBy("slice_key", "iou", "class_id").agg(F.when(F.max("positives") > 0, F.sum("part") / len(recalls)).alias("value"))
 
 
 def average_recall(rows: DataFrame, specs: Sequence[SlicingSpec] = ()) -> DataFrame:
