@@ -84,7 +84,7 @@ def sql_slice_keys(sql: str) -> Column:
     """Keys by ``SELECT STRUCT(expr [AS name], ...) [FROM example.list [, ...]] [WHERE condition]``.
 
     ``example`` is the row; a list in FROM gives a slice for each of its elements; ``x IN UNNEST(example.list)`` asks for
-    an element.
+    an element. A null value gives no slice.
     """
     m = re.fullmatch(r"(?is)\s*SELECT\s+STRUCT\s*\((?P<fields>.*?)\)\s*(?:FROM\s+(?P<source>(?:example\.\w+\s*,?\s*)+?))?\s*(?:WHERE\s+(?P<where>.*?))?;?\s*", sql)
     if not m:
@@ -103,7 +103,7 @@ def sql_slice_keys(sql: str) -> Column:
     made = "array(" + ", ".join(f"struct('{n}' AS key, CAST({e} AS STRING) AS value)" for n, e in sorted(fields)) + ")"
     where = plain(m["where"]) if m["where"] else "true"
     names = re.findall(r"example\.(\w+)", m["source"] or "")
-    out = f"filter(array(IF(coalesce({where}, false), {made}, null)), k -> k IS NOT NULL)"
+    out = f"filter(array(IF(coalesce({where}, false), {made}, null)), k -> k IS NOT NULL AND NOT exists(k, s -> s.value IS NULL))"
     for name in reversed(names):  # the element's name hides the list's within
         out = f"flatten(transform({name}, {name} -> {out}))"
     return F.coalesce(F.expr(out).cast(f"array<{KEY}>"), F.array().cast(f"array<{KEY}>"))
