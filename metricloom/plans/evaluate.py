@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.inputs import weight_or_one
-from metricloom.operators import confidence, slicing, validation
+from metricloom.operators import confidence, curves, slicing, validation
 from metricloom.operators.metrics import PAIRED, Metric, Row, make
 from metricloom.plans.config import EvalConfig, ModelSpec
 
 
+#: Metrics of whole curves; their values come from a histogram of predictions.
+CURVES = {"AUC", "AUCPrecisionRecall", *curves.CONSTRAINED}
+
+
 @dataclass
 class Plan:
     """Shared sums by name, and each metric's value over them by model and metric."""
@@ -29,6 +34,8 @@ def plan(config: EvalConfig) -> Plan:
     for model in config.models:
         prefix = f"{model.name}/" if model.name else ""
         for wanted in config.metrics:
+            if wanted.name in CURVES:
+                continue
             metric = make(wanted.name, **wanted.params)
             if metric.name in PAIRED:
                 if baseline is None:
@@ -53,12 +60,13 @@ def _value(metric: Metric, prefix: str):
     return lambda s: metric.value({n: s[prefix + n] for n in metric.states})
 
 
-def wide(df: DataFrame, config: EvalConfig) -> DataFrame:
-    """``slice_key`` and a column for each metric, named ``model/metric`` if the model has a name."""
+def wide(df: DataFrame, config: EvalConfig, by: Sequence[str] = ()) -> DataFrame:
+    """``slice_key``, the columns of ``by`` and a column for each metric over sums, named ``model/metric`` if the model
+    has a name."""
     p = plan(config.verified())
-    sums = slicing.grouped_sums(df, config.slices, p.states, kinds=p.kinds)
+    sums = slicing.grouped_sums(df, config.slices, p.states, by, p.kinds)
     state = {n: F.col(f"`{n}`") for n in p.states}
-    return sums.select("slice_key", *(v(state).alias(f"{m}/{n}" if m else n) for (m, n), v in p.values.items()))
+    return sums.select("slice_key", *by, *(v(state).alias(f"{m}/{n}" if m else n) for (m, n), v in p.values.items()))
 
 
 def _long(frame: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
@@ -66,6 +74,57 @@ def _long(frame: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     return frame.select("slice_key", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(n).alias("metric"), column(m, n).cast("double").alias("value")) for m, n in names))))
 
 
+def curve_metrics(df: DataFrame, config: EvalConfig) -> DataFrame | None:
+    """``slice_key, model, metric, value`` of the configured curve metrics: one histogram for each model.
+
+    Parameters: ``num_thresholds`` (200), ``curve`` and ``method`` of AUC, ``bound`` of metrics under a constraint.
+    """
+    out = None
+    for model in config.models:
+        row, hist = _row(model, None), None
+        for wanted in config.metrics:
+            if wanted.name not in CURVES:
+                continue
+            if hist is None:
+                needed = sorted({c for s in config.slices for c in s.columns()})
+                rows = df.select(*(f"`{c}`" for c in needed), row.label.cast("double").alias("__label"), row.prediction.cast("double").alias("__prediction"), row.weight.alias("__weight"))
+                hist = curves.histogram(rows, config.slices, label="__label", prediction="__prediction", weight="__weight")
+            given = dict(wanted.params)
+            cells = curves.matrices(hist, curves.interpolated_thresholds(given.pop("num_thresholds", 200)))
+            if wanted.name in curves.CONSTRAINED:
+                one, name = curves.constrained(cells, wanted.name, given["bound"]).drop("bound"), f"{wanted.name}@{given['bound']:g}"
+            else:
+                curve = "PR" if wanted.name == "AUCPrecisionRecall" else given.get("curve", "ROC")
+                one, name = curves.auc(cells, curve, given.get("method", "interpolation")), wanted.name if curve == "ROC" else "AUCPrecisionRecall"
+            one = one.select("slice_key", F.lit(model.name).alias("model"), F.lit(name).alias("metric"), "value")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def binarized(df: DataFrame, class_ids: Sequence[int] = (), ks: Sequence[int] = (), top_ks: Sequence[int] = (), label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """A row for each sub-key (``class:1``, ``k:2``, ``top_k:3``) of rows with dense arrays.
+
+    A class stands alone; the k-th best prediction comes with its label; of the best k each class is a row, and
+    predictions outside them are minus infinity.
+    """
+    from metricloom.functions import inputs
+
+    p, l = F.col(prediction), F.col(label)
+    one = lambda name, a, b: F.array(F.struct(F.lit(name).alias("sub_key"), a.cast("double").alias("l"), b.cast("double").alias("p")))
+    parts = [one(f"class:{c}", inputs.at_class(l, c), inputs.at_class(p, c)) for c in class_ids]
+    for k in ks:
+        best, own = inputs.kth(p, l, k)
+        parts.append(one(f"k:{k}", own, best))
+    for k in top_ks:
+        parts.append(F.zip_with(l, inputs.keep_top_k(p, k), _sub_key(f"top_k:{k}")))
+    out = df.withColumn("__z", F.explode(F.concat(*parts)))
+    return out.withColumns({"sub_key": F.col("__z.sub_key"), label: F.col("__z.l"), prediction: F.col("__z.p")}).drop("__z")
+
+
+def _sub_key(name: str):
+    return lambda a, b: F.struct(F.lit(name).alias("sub_key"), a.cast("double").alias("l"), b.cast("double").alias("p"))
+
+
 def model_differences(metrics: DataFrame, baseline: str) -> DataFrame:
     """``change``: a candidate's value less the baseline's of the same slice and metric; null for the baseline."""
     base = metrics.where(F.col("model") == baseline).select("slice_key", "metric", F.col("value").alias("__b"))
@@ -78,7 +137,7 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
     config = config.verified()
     p, options = plan(config), config.options
     names = list(p.values)
-    if options.intervals:
+    if options.intervals and names:
         identity = list(options.identity) or [c for c, t in df.dtypes if not t.startswith("map")]
         values = {f"{m}\x00{n}": v for (m, n), v in p.values.items()}
         if options.intervals == "jackknife":
@@ -88,7 +147,12 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
         parts = F.split("metric", "\x00")
         metrics = found.withColumns({"model": parts[0], "metric": parts[1]})
     else:
-        metrics = _long(wide(df, config), names)
+        metrics = _long(wide(df, config), names) if names else None
+    curved = curve_metrics(df, config)
+    if curved is not None:
+        metrics = curved if metrics is None else metrics.unionByName(curved, allowMissingColumns=True)
+    if metrics is None:
+        raise ValueError("there are no metrics")
     if config.baseline:
         metrics = model_differences(metrics, config.baseline.name)
     if options.min_slice_size > 1:

@@ -16,7 +16,7 @@ from metricloom.operators import confidence, curves, detection, multiclass, rank
 from metricloom.operators.metrics import POINTS, Row, make
 from metricloom.operators.slicing import OVERALL, SlicingSpec
 from metricloom.plans.config import EvalConfig, MetricConfig, ModelSpec, Options
-from metricloom.plans.evaluate import evaluate, wide
+from metricloom.plans.evaluate import binarized, evaluate, wide
 from metricloom.streaming.incremental import running_metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,6 +386,20 @@ def categorical_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.round("CategoricalAccuracy", 6).alias("accuracy"), F.round("CategoricalCrossEntropy", 6).alias("crossentropy"))
 
 
+BINARY_SQL = f"""WITH {SCORES}, x AS (SELECT vec_id, label, p, unnest(range(0, 10)) AS c FROM e), r AS (SELECT *, CAST(c = label AS INTEGER) AS l, p[c + 1] AS v, row_number() OVER (PARTITION BY vec_id ORDER BY p[c + 1] DESC, c) AS n FROM x),
+u AS (SELECT 'class:' || c AS sub_key, l, v > 0.1 AS up FROM r WHERE c IN (1, 4) UNION ALL SELECT 'k:2', l, v > 0.1 FROM r WHERE n = 2 UNION ALL SELECT 'top_k:3', l, n <= 3 AND v > 0.1 FROM r)
+SELECT sub_key, round(sum(CASE WHEN up THEN l ELSE 0 END) / nullif(CAST(sum(CASE WHEN up THEN 1 ELSE 0 END) AS DOUBLE), 0), 6) AS "Precision@0.1", round(sum(CASE WHEN up THEN l ELSE 0 END) / nullif(CAST(sum(l) AS DOUBLE), 0), 6) AS "Recall@0.1" FROM u GROUP BY sub_key"""
+
+
+@query("binarized_classes", BINARY_SQL)
+def binarized_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two classes against the rest, the second best class, and the best three."""
+    rows = binarized(scored(spark, sf_dir).withColumn("label", F.col("hot")), (1, 4), (2,), (3,))
+    config = EvalConfig(metrics=(MetricConfig("Precision", {"threshold": 0.1}), MetricConfig("Recall", {"threshold": 0.1})))
+    found = wide(rows, config, ["sub_key"])
+    return found.select("sub_key", *(F.round(null_if_nan(F.col(f"`{n}`")), 6).alias(n) for n in ("Precision@0.1", "Recall@0.1")))
+
+
 @query("vocabulary_labels", "SELECT CAST(coalesce(list_position(['A', 'N'], l_returnflag), 0) - 1 AS INTEGER) AS class, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 def vocabulary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples(spark, sf_dir).groupBy(inputs.class_index(F.col("l_returnflag"), ["A", "N"]).alias("class")).agg(F.count("*").alias("n"))
@@ -537,6 +551,18 @@ def detection_at_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("threshold", *(F.round(F.try_divide("tp", F.col("tp") + F.col(c)), 6).alias(n) for c, n in (("fp", "precision"), ("fn", "recall"))))
 
 
+@query("detection_under_constraints")
+def detection_under_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and the threshold at a recall, and the greatest recall, over matched boxes."""
+    rows = detection.matched(images(spark, sf_dir))
+    cells, out = curves.matrices(curves.histogram(rows), [1e-12, *(i / 100 for i in range(1, 101))]), None
+    for name, bound in (("PrecisionAtRecall", 0.4), ("ThresholdAtRecall", 0.4), ("RecallAtPrecision", 0.5)):
+        one = curves.constrained(cells, name, bound).select(F.lit(name).alias("metric"), F.round("value", 6).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    most = curves.exact_matrices(rows, [1e-12]).select(F.lit("MaxRecall").alias("metric"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("value"))
+    return out.unionByName(most)
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of the assistant against the turns of the user before and after."""
     turns = table(spark, sf_dir, "conversations")
@@ -577,6 +603,13 @@ def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "label", F.round("prediction", 8).alias("prediction"), "weight", names)
 
 
+@query("evaluated_curves", f"WITH {HIST}{TH200}{CELLS}{STEPS} SELECT slice, 'AUC' AS metric, round(coalesce(sum(CASE WHEN tp2 IS NOT NULL THEN {AREAS['roc_interpolation']} END), 0), 6) AS value FROM p GROUP BY slice UNION ALL SELECT slice, 'RecallAtPrecision@0.2', round(coalesce(max(CASE WHEN ({RATE_SQL['precision']}) >= 0.2 THEN {RATE_SQL['tpr']} END), 0), 6) FROM m GROUP BY slice UNION ALL SELECT slice, 'MeanLabel', round(sum(wl) / sum(w), 6) FROM b GROUP BY slice")
+def evaluated_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of curves beside one over sums, by one configuration."""
+    config = EvalConfig((ModelSpec(MODELS["label"], "score", "l_quantity"),), SPECS, (MetricConfig("AUC"), MetricConfig("RecallAtPrecision", {"bound": 0.2}), MetricConfig("MeanLabel")))
+    return evaluate(examples(spark, sf_dir), config)["metrics"].select("slice", "metric", F.round(null_if_nan(F.col("value")), 6).alias("value"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long table of common metrics for all slices."""
     config = EvalConfig((ModelSpec(MODELS["label"], "score", "l_quantity"),), SPECS, tuple(MetricConfig(n) for n in ("ExampleCount", "MeanLabel", "MeanPrediction", "Calibration", "BinaryAccuracy", "Precision", "Recall")))

@@ -164,3 +164,18 @@ def test_stream(spark, tmp_path):
 def test_no_rows(frame):
     config = EvalConfig((ModelSpec("label", "prediction", "weight"),), (OVERALL, SlicingSpec(("gender",))), binary_metrics())
     assert evaluate(frame.limit(0), config)["metrics"].collect() == []
+
+
+def test_curves_and_sub_keys_by_configuration(spark):
+    from metricloom.plans.evaluate import binarized, wide
+
+    rows = [(1.0, 0.9), (0.0, 0.8), (1.0, 0.7), (0.0, 0.1)]
+    df = spark.createDataFrame(rows, "label double, prediction double")
+    config = EvalConfig(metrics=(MetricConfig("AUC"), MetricConfig("AUCPrecisionRecall"), MetricConfig("SensitivityAtSpecificity", {"bound": 0.9}), MetricConfig("ExampleCount")))
+    got = {r.metric: r.value for r in evaluate(df, config)["metrics"].collect()}
+    assert got["AUC"] == pytest.approx(0.75) and got["SensitivityAtSpecificity@0.9"] == 0.5 and got["ExampleCount"] == 4 and 0.5 < got["AUCPrecisionRecall"] < 1
+    with pytest.raises(ValueError, match="no metrics"):
+        evaluate(df, EvalConfig())
+    arrays = spark.createDataFrame([([0.0, 1.0, 0.0], [0.2, 0.5, 0.3]), ([1.0, 0.0, 0.0], [0.1, 0.2, 0.7])], "label array<double>, prediction array<double>")
+    found = {r.sub_key: r for r in wide(binarized(arrays, (1,), (1, 2), (2,)), EvalConfig(metrics=(MetricConfig("TruePositives", {"threshold": 0.15}), MetricConfig("FalsePositives", {"threshold": 0.15}))), ["sub_key"]).collect()}
+    assert {k: (r["TruePositives@0.15"], r["FalsePositives@0.15"]) for k, r in found.items()} == {"class:1": (1, 1), "k:1": (1, 1), "k:2": (0, 2), "top_k:2": (1, 3)}
