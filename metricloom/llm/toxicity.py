@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,10 @@ from metricloom.llm.common import fold, map_batches
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the model is fitted on at most, taken in the order of a hash of their key.
 SAMPLE_ROWS = 10_000
+#: Stretches with known words that the field's six weights are fitted on at most, the first of each class by a hash. For
+#: the fit alone, sequences are cut in gaps of so many unknown words, across which the chain remembers nothing, and after
+#: so many known ones.
+FIELD_ROWS, FIELD_GAP, FIELD_WORDS = 2_000, 50, 24
 #: Entries of the lexicon at most, the strongest first.
 LEXICON_ENTRIES = 20_000
 #: Beginnings of a word, in characters, that may stand for it.
@@ -124,13 +130,16 @@ class Model:
     weights: np.ndarray
     calibration: np.ndarray
     lexicon: Lexicon | None = field(default=None, repr=False, compare=False)
+    chain: Chain | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "lexicon": None}
+        return {**self.__dict__, "lexicon": None, "chain": None}
 
     def evidence(self, n: int, at: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the marginals say about the document, and the marginals."""
-        p = Chain(self.weights).marginals(n, at, odds)
+        if self.chain is None:
+            self.chain = Chain(self.weights)
+        p = self.chain.marginals(n, at, odds)
         top = float(p.max(initial=1e-6))
         return np.array([1.0, math.log(max(top, 1e-6) / max(1 - top, 1e-6)), math.log1p(p.sum())]), p
 
@@ -189,21 +198,31 @@ def _minimise(loss, x: np.ndarray, rounds: int = 60) -> np.ndarray:
         if s @ y > 1e-12:
             r, eye = 1 / (s @ y), np.eye(len(x))
             inverse = (eye - r * np.outer(s, y)) @ inverse @ (eye - r * np.outer(y, s)) + r * np.outer(s, s)
-        if last - value < 1e-7:
+        if last - value < 1e-6:
             break
     return x
 
 
+def _stretches(label: int, n: int, at: np.ndarray, odds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """A sequence in parts between long gaps, each with half a gap around it."""
+    if not len(at):
+        return
+    cuts = np.union1d(np.flatnonzero(np.diff(at) > FIELD_GAP) + 1, np.arange(FIELD_WORDS, len(at), FIELD_WORDS))
+    for a, o in zip(np.split(at, cuts), np.split(odds, cuts), strict=True):
+        low, high = max(0, int(a[0]) - FIELD_GAP // 2), min(n, int(a[-1]) + 1 + FIELD_GAP // 2)
+        yield label, high - low, a - low, o
+
+
 def _field(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Weights by conditional likelihood; a known token's label is its document's."""
     start = np.array([-6.0, -2.0, 1.0, -1.0, 0.0, 0.0])
-    rows = [r for r in rows if len(r[2])]
+    rows = [w for y in (0, 1) for w in islice((w for r in rows if r[0] == y for w in _stretches(*r)), FIELD_ROWS)]
     if not rows:
         return start
     groups = []  # sequences of like lengths stand side by side
     rows.sort(key=lambda r: len(r[2]))
-    for k in range(0, len(rows), 2000):
-        part = rows[k : k + 2000]
+    for k in range(0, len(rows), 1000):
+        part = rows[k : k + 1000]
         width = max(len(r[2]) for r in part)
         real = np.array([[i < len(r[2]) for i in range(width)] for r in part])
         at, odds = np.zeros((len(part), width), np.int64), np.zeros((len(part), width))
@@ -217,7 +236,7 @@ def _field(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
         groups.append((n, at, odds, real, toxic, stay, toxic.sum() - stay, toxic.sum() - stay - last))
 
     def loss(w: np.ndarray) -> float:
-        chain, total = Chain(w), 0.0
+        chain, total = Chain(np.clip(w, -20, 20)), 0.0
         for n, at, odds, real, toxic, stay, enter, leave in groups:
             log_z = chain.messages(n, at, odds, real)[2]
             total += log_z.sum() - (chain.emission(odds) * toxic).sum() - stay * w[5] - enter * w[3] - leave * w[4]
@@ -261,7 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         found = [tokens(x or "", lexicon) for x in batch.column(text).to_pylist()]
         return {"label": batch.column("label"), "n": [f[0] for f in found], "at": [f[1] for f in found], "odds": [f[2] for f in found]}
 
-    seen = [(r.label, r.n, np.array(r.at, np.int64), np.array(r.odds)) for r in map_batches(sample, known_tokens, "label int, n long, at array<bigint>, odds array<double>").collect()]
+    found = map_batches(sample, known_tokens, "label int, n long, at array<bigint>, odds array<double>").orderBy(F.xxhash64("n", "at"), "n", "label")
+    seen = [(r.label, r.n, np.array(r.at, np.int64), np.array(r.odds)) for r in found.collect()]
     model = Model(odds, _field(list(seen)), np.zeros(3))
     y = np.array([r[0] for r in seen], float)
     weight = np.array([totals[c] / max(1, counts[c]) for c in y.astype(int)])
@@ -290,8 +310,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns; null texts are clean unless the model says all are."""
-    from collections.abc import Iterator
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([model.score(x or "")[0] < 0.5 for x in batch.column(text).to_pylist()], pa.bool_()))
