@@ -63,8 +63,8 @@ def curve(rows: DataFrame, specs: Sequence[SlicingSpec] = ()) -> DataFrame:
 
 
 def average_precision(rows: DataFrame, recalls: Sequence[float] = tuple(i / 100 for i in range(101)), specs: Sequence[SlicingSpec] = ()) -> DataFrame:
-    """``slice_key, iou, class_id, value``: the mean over recalls of the best precision at that recall or more; null
-    without positives."""
+    """``slice_key, iou, class_id, value, recall``: the mean over recalls of the best precision at that recall or more,
+    and the greatest recall; null without positives."""
     from pyspark.sql import Window
 
     reached = F.size(F.filter(F.lit(list(map(float, recalls))).cast("array<double>"), lambda r: r <= F.col("recall")))
@@ -72,7 +72,7 @@ def average_precision(rows: DataFrame, recalls: Sequence[float] = tuple(i / 100
     down = Window.partitionBy("slice_key", "iou", "class_id").orderBy(F.desc("threshold"))
     best = F.coalesce(F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
     steps = points.withColumn("part", best * (F.col("reached") - F.coalesce(F.lag("reached").over(down), F.lit(0))))
-    return steps.groupBy("slice_key", "iou", "class_id").agg(F.when(F.max("positives") > 0, F.sum("part") / len(recalls)).alias("value"))
+    return steps.groupBy("slice_key", "iou", "class_id").agg(F.when(F.max("positives") > 0, F.sum("part") / len(recalls)).alias("value"), F.max("recall").alias("recall"))
 
 
 def average_recall(rows: DataFrame, specs: Sequence[SlicingSpec] = ()) -> DataFrame:

@@ -538,10 +538,9 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("object_detection")
 def object_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average precision and recall for each class at the ten overlaps, and their means."""
+    """Average precision and recall for each class at the ten overlaps."""
     rows = detection.matched(images(spark, sf_dir), iou=detection.IOUS, classes=(0, 1), most=100)
-    p, r = (f(rows).select("class_id", F.round("iou", 2).alias("iou"), F.round("value", 6).alias(n)) for f, n in ((detection.average_precision, "average_precision"), (detection.average_recall, "average_recall")))
-    return p.join(r, ["class_id", "iou"])
+    return detection.average_precision(rows).select("class_id", F.round("iou", 2).alias("iou"), F.round("value", 6).alias("average_precision"), F.round("recall", 6).alias("average_recall"))
 
 
 @query("detection_at_threshold")
