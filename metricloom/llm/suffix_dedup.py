@@ -233,7 +233,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, anchor_pieces: int = ANCHOR_P
     Ranges may overlap. Rows without any are left out; null texts have none.
     """
     found = find_pieces(rows, length)
-    again = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    # as a table of its own: a join of two plain shuffles is one that Spark splits at hot anchors
+    again = checkpointed(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"))
     shared = checkpointed(found.join(again, "anchor"))
     distinct = checkpointed(shared.groupBy("anchor", "piece").agg(F.sum("times").alias("n"), F.min(F.struct("row", "start", "size")).alias("one")))
     different = distinct.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
