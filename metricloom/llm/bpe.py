@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import record
+from metricloom.llm.common import record, slices_of
 
 SHIFT = 9
 
@@ -69,7 +69,7 @@ class RankQueue:
 class BytePairs:
     """Encoder and decoder for one table of ranks; pre-tokens are the matches of ``pattern``."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: int = 100_000) -> None:
         import regex
 
         self.ranks, self.limit = ranks, cache_entries
@@ -242,7 +242,7 @@ def encoder(path: str, pattern: str) -> BytePairs:
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about ``limit`` characters of text, or one row."""
-    for batch in batches:
+    for batch in slices_of(batches, 2_000):
         texts = [x or "" for x in batch.column(text).to_pylist()]
         start, held = 0, 0
         for i, x in enumerate(texts):
@@ -254,7 +254,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             yield batch.slice(start), texts[start:]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", block_chars: int = 6_000_000) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", block_chars: int = 7_000_000) -> DataFrame:
     """All columns and ``ids``, the token ids of each text, as ``array<int>``; a column of that name is replaced.
 
     A null text has no ids, as the empty one. Rows and repeated rows stay as they are; an empty table stays empty.
@@ -289,7 +289,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return kept.mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_chars: int = 6_000_000) -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_chars: int = 7_000_000) -> DataFrame:
     """Encode each text, decode its ids, and return ``key, n_tokens, ids_sha256, decoded_sha256``: ids leave no worker.
 
     One row for each row of the input, null keys and repeated rows included; a null text counts as empty. Other columns

@@ -26,16 +26,25 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | dict], schema: str) -> DataFrame:
-    """``mapInArrow`` with one function call a batch; a dict becomes a batch of the schema's columns."""
+#: Rows that are Python objects at a time: batches come larger, their rows as Arrow only.
+ROWS = 1_000
+
+
+def slices_of(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = ROWS) -> DataFrame:
+    """``mapInArrow`` with a function call for so many rows; its dict becomes a batch of the schema's columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield record(fn(batch), fields)
+        for batch in slices_of(batches, rows):
+            yield record(fn(batch), fields)
 
     return df.mapInArrow(run, schema)
 

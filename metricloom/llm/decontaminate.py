@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import LOWER, as_bytes, extended, record
+from metricloom.llm.common import LOWER, as_bytes, extended, record, slices_of
 
 WINDOW = 10
 #: Words of the items in one automaton: at most twice as many states, some 100 MB.
@@ -247,7 +247,7 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "i
 def _cut(docs: DataFrame, text: str, block: Block, max_coverage: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = block.automaton()
-        for batch in batches:
+        for batch in slices_of(batches):
             column = batch.column(text)
             out, keep, changed = column.to_pylist(), [], False
             for k, x in enumerate(out):

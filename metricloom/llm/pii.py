@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import extended, map_batches
+from metricloom.llm.common import extended, map_batches, slices_of
 
 DIGITS, VOWELS, CONSONANTS, HEX = "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789abcdef"
 CYRILLIC, GREEK = "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
@@ -235,7 +235,7 @@ def surrogate(df: DataFrame, secret: bytes, text: str = "text", spans: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Surrogates(secret)
-        for batch in batches:
+        for batch in slices_of(batches):
             column = batch.column(text)
             texts, found = column.to_pylist(), []
             for i, x in enumerate(texts):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import fold, map_batches
+from metricloom.llm.common import fold, map_batches, slices_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the model is fitted on at most, taken in the order of a hash of their key.
@@ -46,7 +46,7 @@ def features(word: str) -> list[str]:
 class Lexicon(dict):
     """Log-odds by word, from the strongest feature; remembers a bounded number of words."""
 
-    def __init__(self, odds: dict[str, float], limit: int = 300_000) -> None:
+    def __init__(self, odds: dict[str, float], limit: int = 100_000) -> None:
         super().__init__()
         self.odds, self.limit = odds, limit
 
@@ -170,7 +170,7 @@ def _lexicon(sample: DataFrame, text: str, counts: dict[int, int]) -> dict[str,
         return {"feature": names, "clean": [seen[0][f] for f in names], "toxic": [seen[1][f] for f in names]}
 
     smooth = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1.0))
-    found = map_batches(sample, count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = map_batches(sample, count, "feature string, clean long, toxic long", 10_000).groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = smooth("toxic", counts.get(1, 0)) - smooth("clean", counts.get(0, 0))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     expected = (F.col("toxic") + F.col("clean")) * share
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns; null texts are clean unless the model says all are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             yield batch.filter(pa.array([model.score(x or "")[0] < 0.5 for x in batch.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
