@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import LOWER, as_bytes, extended, record, slices_of
+from metricloom.llm.common import LOWER, as_bytes, checkpointed, extended, map_batches, record, slices_of
 
 WINDOW = 10
 #: Words of the items in one automaton: at most twice as many states, some 100 MB.
@@ -236,12 +236,55 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def remove(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without their hit spans; a span gives way to a line end. All columns stay.
 
-    A document with more than ``max_coverage`` of its words hit goes whole. What comes together around a cut is searched
-    again until nothing is found. A text without hits, null or empty ones included, is left as it is.
+    A document with more than ``max_coverage`` of its words hit, by the items of all blocks together, goes whole. What
+    comes together around a cut is searched again for all items until nothing is found. A text without hits, null or empty
+    ones included, is left as it is.
     """
-    for block in item_blocks(items, item, item_text, window, block_words):
-        docs = _cut(docs, text, block, max_coverage)
-    return docs
+    blocks = list(item_blocks(items, item, item_text, window, block_words))
+    if len(blocks) == 1:
+        return _cut(docs, text, blocks[0], max_coverage)
+    names, row = docs.columns, "__row"
+    docs = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    todo = docs.select(row, F.col(text).alias("text"))
+    done = None
+    while True:
+        shape = extended(todo.select(row), n_words="long", spans="array<array<bigint>>", items="array<string>")
+        hits = reduce(DataFrame.unionAll, (_scan(todo, "text", block, shape, [row]).where("size(items) > 0") for block in blocks))
+        spans = hits.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        cut = checkpointed(_cut_spans(todo.join(spans, row), row, max_coverage))
+        if cut.isEmpty():
+            break
+        done = cut if done is None else checkpointed(done.join(cut.select(row), row, "left_anti").unionAll(cut))
+        todo = cut.where("stays").select(row, "text")
+    if done is None:
+        return docs.select(*names)
+    new = done.select(row, F.col("text").alias("__new"), F.col("stays").alias("__stays"))
+    kept = docs.join(new, row, "left").where("coalesce(__stays, true)")
+    return kept.select(*(F.coalesce("__new", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in names))
+
+
+def _without(data: bytes, spans: list[list[int]]) -> bytes:
+    """The text with a line end in place of each span of words."""
+    places = [m.span() for m in SPOT.finditer(data.translate(WORD_BYTES))]
+    parts, at = [], 0
+    for s, e in spans:
+        parts.append(data[at : places[s][0]])
+        at = places[e - 1][1]
+    return b"\n".join([*parts, data[at:]])
+
+
+def _cut_spans(found: DataFrame, row: str, max_coverage: float) -> DataFrame:
+    """``row, text, stays``: the texts without their ``spans``, and whether these are few enough for the rest to stay."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out, stays = [], []
+        for x, given in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+            spans = _merge([list(s) for s in given])
+            stays.append(sum(e - s for s, e in spans) <= max_coverage * len(words(x)))
+            out.append(_without(x, spans).decode() if stays[-1] else None)
+        return {row: batch.column(row), "text": out, "stays": stays}
+
+    return map_batches(found, run, f"{row} long, text string, stays boolean")
 
 
 def _cut(docs: DataFrame, text: str, block: Block, max_coverage: float) -> DataFrame:
@@ -260,12 +303,7 @@ def _cut(docs: DataFrame, text: str, block: Block, max_coverage: float) -> DataF
                     if sum(e - s for s, e in spans) > max_coverage * len(sequence):
                         stays = False
                         break
-                    places = [m.span() for m in SPOT.finditer(data.translate(WORD_BYTES))]
-                    parts, at = [], 0
-                    for s, e in spans:
-                        parts.append(data[at : places[s][0]])
-                        at = places[e - 1][1]
-                    data = b"\n".join([*parts, data[at:]])
+                    data = _without(data, spans)
                     out[k], changed = data.decode(), True
                 keep.append(stays)
             if changed:

@@ -81,3 +81,22 @@ def test_removal(spark):
     empty = spark.createDataFrame([], bench.schema)
     assert de.remove(docs, empty).count() == 6 and de.remove(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in de.digest(de.matches(docs, empty)).collect()} == {0}
+
+
+def test_removal_is_alike_with_one_block_and_many(spark):
+    rng = random.Random(6)
+    items = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcdef"]
+    rest = lambda n: " ".join(f"r{rng.randrange(10**6)}" for _ in range(n))
+    first, last = items[0].split(), items[-1].split()
+    texts = [f"{items[0]} {rest(16)} {items[-1]}", f"{rest(40)} {items[0]} {rest(5)} {items[-1]}!", rest(9), None, ""]
+    texts.append(" ".join(first[:6]) + f" {items[-1]} " + " ".join(first[6:]) + " " + rest(40))  # a cut joins an item of the first block
+    texts.append(" ".join(last[:6]) + f" {items[0]} " + " ".join(last[6:]) + " " + rest(40))
+    texts += [" ".join(rng.choice([*items, rest(10), rest(3), rest(25)]) for _ in range(6)) for _ in range(60)]
+    bench = spark.createDataFrame([(str(i), x) for i, x in enumerate(items)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, x, "t", i) for i, x in enumerate([*texts, texts[1]])], "doc_id long, text string, spans string, row int")
+    one, many = (de.remove(docs, bench, block_words=n) for n in (1000, 24))
+    assert many.schema.names == docs.columns
+    wanted = sorted(map(str, one.collect()))
+    assert sorted(map(str, many.collect())) == wanted
+    assert len(wanted) < len(texts) and not any("doc_id=0," in x for x in wanted)
+    assert sorted(map(str, de.remove(docs.where("doc_id in (2, 3, 4)"), bench, block_words=24).collect())) == [x for x in wanted if re.match(r"Row\(doc_id=[234],", x)]
