@@ -29,8 +29,8 @@ NAMES = {
     ("f", "cyrillic"): "анна мария елена ольга наталья татьяна ирина светлана юлия екатерина".split(),
     ("m", "cyrillic"): "иван пётр сергей алексей дмитрий андрей николай михаил олег борис".split(),
 }
-# Titles by the gender that they tell, if any.
-TITLES = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "herr": "m", "frau": "f", "mme": "f", "mlle": "f", "monsieur": "m", "madame": "f", "señor": "m", "señora": "f", "dr": "", "prof": "", "г-н": "m", "г-жа": "f"}
+# Titles.
+TITLES = "mr mrs ms miss herr frau mme mlle monsieur madame señor señora dr prof г-н г-жа".split()
 GIVEN = {name: key for key, names in NAMES.items() for name in names}
 
 # Each pattern begins at a character that texts seldom hold, or at a word's start, so a scan passes text quickly.
@@ -135,8 +135,8 @@ class Surrogates:
             return re.sub(r"\s", "", text)
         return text if kind in ("secret", "ip") else text.lower()
 
-    def replace(self, kind: str, text: str, title: str = "") -> str:
-        new = getattr(self, f"_{kind}")(text, title)
+    def replace(self, kind: str, text: str) -> str:
+        new = getattr(self, f"_{kind}")(text)
         own, other = self.normal(kind, text), self.normal(kind, new)
         if self.back.setdefault((kind, other), own) != own:
             raise ValueError(f"two {kind} entities have one surrogate")
@@ -154,12 +154,12 @@ class Surrogates:
     def _cased(pattern: str, text: str) -> str:
         return "".join(t.upper() if p.isupper() else t for p, t in zip(pattern, text, strict=True))
 
-    def _email(self, text: str, _: str) -> str:
+    def _email(self, text: str) -> str:
         local, _, domain = text.lower().partition("@")
         host, _, top = domain.rpartition(".")
         return self._cased(text, f"{self.letters(local, 'local')}@{self.letters(host, 'host')}.{top}")
 
-    def _ip(self, text: str, _: str) -> str:
+    def _ip(self, text: str) -> str:
         value = int.from_bytes(map(int, text.split(".")), "big")
         public = lambda v: 0 < v >> 24 < 224 and v >> 24 not in (10, 127)
         own = public(value)
@@ -168,25 +168,25 @@ class Surrogates:
             if public(value) == own:
                 return ".".join(map(str, value.to_bytes(4, "big")))
 
-    def _card(self, text: str, _: str) -> str:
+    def _card(self, text: str) -> str:
         digits = re.sub(r"\D", "", text)
         body = self.letters(digits[:-1], "card", lambda x: x[0] != "0" or digits[0] == "0")
         return self._filled(text, body + str(luhn(body)))
 
-    def _phone(self, text: str, _: str) -> str:
+    def _phone(self, text: str) -> str:
         digits = re.sub(r"\D", "", text)
         return self._filled(text, digits[:-10] + self.letters(digits[-10:], "phone"))
 
-    def _ssn(self, text: str, _: str) -> str:
+    def _ssn(self, text: str) -> str:
         return self._filled(text, self.letters(re.sub(r"\D", "", text), "ssn"))
 
-    def _iban(self, text: str, _: str) -> str:
+    def _iban(self, text: str) -> str:
         own = re.sub(r"\s", "", text)
         account = self.letters(own[4:].lower(), "iban" + own[:2]).upper()
         left = iter(f"{own[:2]}{mod97(own[:2], account):02d}{account}")
         return "".join(c if c.isspace() else next(left) for c in text)
 
-    def _secret(self, text: str, _: str) -> str:
+    def _secret(self, text: str) -> str:
         low = text.lower()
         for hexes, form in ((HEX, low), (HEX.upper(), text.upper())):
             if text == form and set(text) <= set(hexes):  # of digits alone: as in lower case
@@ -195,9 +195,8 @@ class Surrogates:
         hexlike = lambda x: {*self._cased(text, x)} <= {*HEX} or {*self._cased(text, x)} <= {*HEX.upper()}
         return self._cased(text, self.letters(low, "secret" + case, lambda x: not hexlike(x)))
 
-    def _person(self, text: str, title: str) -> str:
+    def _person(self, text: str) -> str:
         parts = text.lower().split(" ")
-        gender = TITLES.get(title.lower(), "")
         out = []
         for i, part in enumerate(parts):
             known = GIVEN.get(part) if i == 0 else None
@@ -205,7 +204,8 @@ class Surrogates:
                 names = NAMES[known]
                 out.append(names[self.permute(names.index(part), len(names), f"given{known}")])
             else:
-                out.append(self.letters(part, "name" if i or len(parts) == 1 else "given" + gender, lambda x: x not in GIVEN))
+                # one permutation whatever the title; surnames may be listed names too, so theirs is walked past none
+                out.append(self.letters(part, "name") if i else self.letters(part, "name" if len(parts) == 1 else "given", lambda x: x not in GIVEN))
         return " ".join(p[:1].upper() + p[1:] for p in out)
 
 
@@ -213,8 +213,7 @@ def replaced(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[int, in
     """The text with surrogates, and start, end, kind and surrogate of each entity of the original."""
     parts, at, found = [], 0, []
     for s, e, kind in entities(text):
-        title = re.search(r"(\S+?)\.? $", text[:s][-20:]) if kind == "person" else None
-        new = surrogates.replace(kind, text[s:e], title[1] if title else "")
+        new = surrogates.replace(kind, text[s:e])
         parts += [text[at:s], new]
         found.append((s, e, kind, new))
         at = e

@@ -1,5 +1,6 @@
 """Surrogates: kinds and formats hold, distinct entities stay distinct, equal ones equal."""
 
+import itertools
 import random
 import re
 
@@ -50,6 +51,21 @@ def test_distinct_entities_stay_distinct():
         assert len(set(seen.values())) == len(seen)
 
 
+def test_given_names_do_not_depend_on_titles(spark):
+    own = pii.Surrogates(KEY)
+    titles = ["Mr.", "Mrs.", "Dr.", "Prof.", "Frau"]
+    assert len({pii.replaced(f"{t} Xyz Smith", own)[1][0][3] for t in titles}) == 1
+    short = [f"{a}{b}" for a in "BCDFGHJKLM" for b in "aeiou"]
+    texts = [f"{titles[i % 5]} {x} Smith and {titles[i % 3]} {x} Smith" for i, x in enumerate(short)]
+    texts += [f"Dr. Bo {x.capitalize()}" for x in (*pii.GIVEN, "zohn", "qohn")]
+    frame = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert pii.collisions(frame, KEY).collect() == []
+    pairs = [pii.replaced(x, own)[1] for x in texts[:50]]
+    assert all(a[3] == b[3] for a, b in pairs) and len({a[3] for a, _ in pairs}) == 50
+    around = [x for x in map("".join, itertools.product(pii.CONSONANTS, pii.VOWELS, pii.CONSONANTS, pii.CONSONANTS)) if x[1] == "o"]
+    assert len({own.replace("person", f"Bo {x.capitalize()}") for x in around}) == len(around)
+
+
 def test_frames(spark, sf_dir):
     rows = [(1, "a@b.example", "x", 1), (2, None, None, 2), (None, "", "x", None), (1, "a@b.example", "x", 1), (3, "word " * 30000 + "10.0.0.1", "", 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, kind string, entities int")
