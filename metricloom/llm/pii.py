@@ -67,8 +67,9 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     digits = lambda x: re.sub(r"\D", "", x)
     if "@" in text:
         add("email", spans(AT))
-    if any(d in text for d in DIGITS):
+    if "=" in text or ":" in text:
         add("secret", spans(SECRET, 1))
+    if any(d in text for d in DIGITS):
         add("iban", spans(IBAN), lambda x: mod97(x[:2], re.sub(r"\s", "", x)[4:]) == int(x[2:4]))
         add("ip", spans(IP4))
         add("card", spans(CARD), lambda x: luhn(digits(x)[:-1]) == int(digits(x)[-1]))

@@ -66,6 +66,13 @@ def test_given_names_do_not_depend_on_titles(spark):
     assert len({own.replace("person", f"Bo {x.capitalize()}") for x in around}) == len(around)
 
 
+def test_secret_without_digits():
+    for text in ("password=correct-horse-battery-staple", "the Token: correct_horse_battery_staple"):
+        new, found = pii.replaced(text, pii.Surrogates(KEY))
+        assert [k for _, _, k, _ in found] == ["secret"] and "staple" not in new
+        assert pii.replaced(text + " 7", pii.Surrogates(KEY))[0] == new + " 7"
+
+
 def test_frames(spark, sf_dir):
     rows = [(1, "a@b.example", "x", 1), (2, None, None, 2), (None, "", "x", None), (1, "a@b.example", "x", 1), (3, "word " * 30000 + "10.0.0.1", "", 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, kind string, entities int")
