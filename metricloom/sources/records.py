@@ -12,19 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Compressed bytes taken and bytes made at a time.
+BLOCK = 1 << 20
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """What the gzip members of a file hold, one member after another, a block at a time; zero bytes between are passed."""
+    member, started = zlib.decompressobj(31), False
+    for at in range(0, len(data), BLOCK):
+        rest = data[at : at + BLOCK]
+        while rest or not member.eof:
+            if not started and not (rest := rest.lstrip(b"\0")):
+                break
+            started = True
+            block = member.decompress(rest, BLOCK)
+            if block:
+                yield block
+            rest = member.unconsumed_tail
+            if member.eof:
+                rest, member, started = member.unused_data, zlib.decompressobj(31), False
+            elif not rest and len(block) < BLOCK:
+                break
+    if started:
+        raise ValueError("a record file ends within a gzip member")
+
+
 def frames(data: bytes) -> Iterator[bytes]:
     """Messages of a file: eight bytes of length, four of a checksum, the message, four of a checksum."""
-    if data[:2] == b"\x1f\x8b":
-        data = zlib.decompress(data, 31)
-    at = 0
-    while at < len(data):
-        if at + 12 > len(data):
-            raise ValueError("a record file ends within a frame")
-        (size,) = struct.unpack_from("<Q", data, at)
-        if at + 16 + size > len(data):
-            raise ValueError("a record file ends within a message")
-        yield data[at + 12 : at + 12 + size]
-        at += 16 + size
+    held, at = b"", 0
+    for block in _inflated(data) if data[:2] == b"\x1f\x8b" else (data,):
+        held, at = held[at:] + block, 0
+        while at + 12 <= len(held):
+            (size,) = struct.unpack_from("<Q", held, at)
+            if at + 16 + size > len(held):
+                break
+            yield held[at + 12 : at + 12 + size]
+            at += 16 + size
+    if at < len(held):
+        raise ValueError("a record file ends within a " + ("frame" if at + 12 > len(held) else "message"))
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -85,7 +110,10 @@ def features(message: bytes) -> dict[str, list]:
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Examples with the columns of ``schema``: arrays get all values, other columns the first; a missing feature is null."""
+    """Examples with the columns of ``schema``: arrays get all values, other columns the first; a missing feature is null.
+
+    A file's bytes as they are stored are in one task's memory, at most 2 GB; what gzip files hold is not.
+    """
     shape = spark.createDataFrame([], schema).schema
     arrow = to_arrow_schema(shape)
 

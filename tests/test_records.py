@@ -1,11 +1,12 @@
 """Record files written byte by byte."""
 
 import gzip
+import random
 import struct
 
 import pytest
 
-from metricloom.sources.records import read_records
+from metricloom.sources.records import BLOCK, frames, read_records
 
 
 def varint(n):
@@ -45,3 +46,17 @@ def test_records(spark, tmp_path):
     (tmp_path / "a.rec").write_bytes(data[:-3])
     with pytest.raises(Exception, match="ends within"):
         rows.collect()
+
+
+def test_gzip_members_are_all_read():
+    messages = [bytes([i]) * n for i, n in enumerate([5, 0, 3 * BLOCK, 70, BLOCK - 16, 9])] + [random.Random(1).randbytes(3 * BLOCK)]
+    framed = [struct.pack("<Q", len(m)) + b"crc." + m + b"crc." for m in messages]
+    assert list(frames(b"".join(map(gzip.compress, framed)))) == messages
+    whole = b"".join(framed)
+    for cut in (7, BLOCK, BLOCK + 33):  # members end within messages
+        parts = gzip.compress(whole[:cut]), gzip.compress(whole[cut:])
+        assert list(frames(b"".join(parts))) == list(frames(bytes(600).join(parts) + bytes(9))) == messages
+    with pytest.raises(ValueError, match="ends within"):
+        list(frames(gzip.compress(whole)[:-5]))
+    with pytest.raises(ValueError, match="ends within a message"):
+        list(frames(gzip.compress(whole[:-2])))
