@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -53,15 +54,35 @@ def record(columns: dict, fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == f.type else (x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)) for f, x in ((f, columns[f.name]) for f in fields)], schema=fields)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder of ``spark.checkpoint.dir``; only where it is unset, as in tests, a folder of our own is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines of a cluster share.
+
+    Only where it is unset and Spark runs in one process, as in tests, a folder of our own stands for it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    out = df.checkpoint(eager=True)
-    return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))  # new names: what Spark inferred of the old ones doesn't follow into unions
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: rows are computed once, written to a table in the shared folder and read from there.
+
+    What a frame makes of places in a scan, such as row numbers, is fixed by that, whatever executors come or go later.
+    Columns stand under numbers in the table, so any names are allowed. Tables stay in a folder named after the application.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path).toDF(*df.columns)
 
 
 def extended(df: DataFrame, **kinds: str):

@@ -217,7 +217,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     blocks = list(item_blocks(items, item, item_text, window, block_words))
     if len(blocks) == 1:
         return _scan(docs.select(key, text), text, blocks[0], schema, [key])
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, text)
+    rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), key, text))
     whole = rows.select("row", key, text)
     one = extended(whole.select("row", key), n_words="long", spans="array<array<bigint>>", items="array<string>")
     hits = None

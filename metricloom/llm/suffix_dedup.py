@@ -276,7 +276,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("text"))
+    # numbered once and written: every later scan must see a text under the same number
+    rows = checkpointed(df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("text")))
     found = repeats(rows.select("row", "text"), length, anchor_pieces)
     schema = extended(df.select(key), n_bytes="long", spans="array<array<int>>", kept="binary")
     fields = to_arrow_schema(schema)
