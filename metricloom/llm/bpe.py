@@ -16,7 +16,7 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets by rank under two levels of bitmap words."""
+    """Buckets by rank under two levels of bitmap words; ``put`` adds to a bucket, as to a list or to a heap."""
 
-    def __init__(self) -> None:
-        self.summary, self.words, self.buckets = 0, {}, {}
+    def __init__(self, put=list.append) -> None:
+        self.summary, self.words, self.buckets, self.put = 0, {}, {}, put
 
     def push(self, rank: int, entry) -> None:
         bucket = self.buckets.get(rank)
@@ -48,7 +48,7 @@ class RankQueue:
             self.words[word] = self.words.get(word, 0) | 1 << (rank & (1 << SHIFT) - 1)
             self.summary |= 1 << word
         else:
-            bucket.append(entry)
+            self.put(bucket, entry)
 
     def first(self) -> int:
         """The lowest rank with entries, or -1."""
@@ -66,13 +66,21 @@ class RankQueue:
         return self.buckets.pop(rank)
 
 
+class Numbers(dict):
+    """A number for each pre-token, by first appearance."""
+
+    def __missing__(self, x: str) -> int:
+        n = self[x] = len(self)
+        return n
+
+
 class BytePairs:
     """Encoder and decoder for one table of ranks; pre-tokens are the matches of ``pattern``."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: int = 100_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_entries: int = 100_000) -> None:
         import regex
 
-        self.ranks, self.limit = ranks, cache_entries
+        self.ranks, self.limit = ranks, kept_entries
         self.split = regex.compile(pattern).findall
         size = max(ranks.values()) + 1
         self.tokens = [b""] * size
@@ -90,12 +98,12 @@ class BytePairs:
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], np.int64(2**62))
         self.pair_ranks = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.numbers, self.ids = Numbers(), []
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; -1 where there is no merge."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -103,19 +111,17 @@ class BytePairs:
         """One merge at a time, lowest rank first, then leftmost."""
         if data in self.ranks:
             return (self.ranks[data],)
-        token, n, pairs, queue = [int(self.single[b]) for b in data], len(data), self.pairs, RankQueue()
-        after, before, inside = list(range(1, n + 1)), list(range(-1, n - 1)), {}
+        token, n, pairs, queue = self.single[np.frombuffer(data, np.uint8)].tolist(), len(data), self.pairs, RankQueue(heapq.heappush)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
         def offer(at: int) -> None:
             if at >= 0 and after[at] < n and (rank := pairs.get(token[at] << 32 | token[after[at]])) is not None:
                 queue.push(rank, at)
-                heapq.heapify(queue.buckets[rank]) if rank in inside else None
 
         for at in range(n - 1):
             offer(at)
         while (rank := queue.first()) >= 0:
             bucket = queue.buckets[rank]
-            heapq.heapify(bucket)
             at = heapq.heappop(bucket)
             if not bucket:
                 queue.take(rank)
@@ -134,10 +140,10 @@ class BytePairs:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes + 1)
         n = int(ends[-1]) if len(ends) else 0
-        token = self.single[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)] if texts else np.zeros(0, np.int64)
+        token = self.single[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)] if texts else np.zeros(0, np.int32)
         token[ends - 1] = -2  # a break joins nothing
         word = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
-        after, before = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         queue, later, again = RankQueue(), [], set()
 
         def deal(at: np.ndarray, rank: np.ndarray) -> None:
@@ -213,22 +219,25 @@ class BytePairs:
         return out
 
     def encode_texts(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text; the pre-tokens that are not in the cache are merged together."""
-        matches = [self.split(text) for text in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        unseen = [x for x in set(chain.from_iterable(matches)) if x not in cache]
+        """Ids of each text; the pre-tokens that were not seen before are merged together.
+
+        Texts stand as numbers of pre-tokens meanwhile, so a pre-token is held once however often it occurs.
+        """
+        if len(self.numbers) > self.limit:
+            self.numbers, self.ids = Numbers(), []
+        known = self.numbers.__getitem__
+        found = [np.fromiter(map(known, self.split(text)), np.int32) for text in texts]
         rest = []
-        for x, data in zip(unseen, (x.encode() for x in unseen), strict=True):
+        for x in islice(self.numbers, len(self.ids), None):
+            data = x.encode()
             rank = self.ranks.get(data)
-            if rank is not None:
-                cache[x] = (rank,)
-            else:
-                rest.append((x, data))
-        cache.update(zip((x for x, _ in rest), self.encode_many([d for _, d in rest]), strict=True))
-        for found in matches:
-            yield list(chain.from_iterable(map(cache.__getitem__, found)))
+            if rank is None:
+                rest.append((len(self.ids), data))
+            self.ids.append((rank,))
+        for (at, _), ids in zip(rest, self.encode_many([d for _, d in rest]), strict=True):
+            self.ids[at] = ids
+        for numbers in found:
+            yield list(chain.from_iterable(map(self.ids.__getitem__, numbers.tolist())))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

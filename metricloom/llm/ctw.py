@@ -3,17 +3,18 @@
 Each byte is eight binary decisions, each made in the context of the bytes before it. A node of a context of d bytes keeps
 how often its decision went either way; its Krichevsky-Trofimov estimate is weighed against its children, the contexts
 one byte longer, by the probability that either gives the whole training text. The posterior weights mix the estimates of
-all depths into the probability of each byte.
-
-Text counts never meet in one place. Documents stand in blocks of bounded bytes. A block asks for each distinct string
-of ``DEPTH + 1`` bytes and each word that it holds, together with how often its training documents hold it; the requests
-go to buckets by the three nearest context bytes, so each bucket sees whole subtrees from depth three on; only the at
-most 65,536 contexts of depth two and less are summed over buckets and sent to all. Answers go back to the blocks.
+all depths into the probability of each byte; a context that training never held has estimate and probability one half.
+
+Text counts never meet in one place. Documents stand in blocks of bounded bytes, written once. A block asks for each
+distinct string of ``DEPTH`` context bytes and one more, and for each word that it holds, with the counts of its training
+documents. The requests go to buckets by the nearest four context bytes, where counts of a string are summed; only the
+distinct strings go on to parts by the nearest three, which hold whole subtrees from there on, so a common context costs
+what it has of different strings and not what the corpus has of it. The at most 65,536 contexts of depth two and less are
+summed over all parts and sent to all. Probabilities go back to the buckets, and from there to the blocks.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -24,14 +25,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import LOWER, as_bytes, checkpointed, extended, fold, record
+from metricloom.llm.common import LOWER, as_bytes, checkpointed, fold, record, slices_of
 
-DEPTH, SHALLOW = 5, 3
-#: Bytes of text in a block, and of text whose strings are sorted at a time.
-BLOCK_BYTES, SORT_BYTES = 24_000_000, 3_000_000
+#: Context bytes at most; with the byte that follows they fill 64 bits. From ``SHALLOW`` on a part holds whole subtrees.
+DEPTH, SHALLOW = 7, 3
+#: Bytes of text in a block, and of text whose strings are sorted at a time; distinct strings in a part.
+BLOCK_BYTES, SORT_BYTES, PART_STRINGS = 24_000_000, 3_000_000, 200_000
 END = b"\n"  # no word, so it can stand for the end among them
 WORDS, STRINGS = 0, 1
-
+U = np.uint64
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series eight places up."""
@@ -42,104 +44,171 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(down)
 
 
-def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Logarithm of the Krichevsky-Trofimov probability of a sequence of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - 2 * 0.5723649429247001
+class LogGamma:
+    """Logarithms of the gamma function at whole numbers and a shift: small ones from a table."""
 
+    def __init__(self, shift: float, size: int = 4096) -> None:
+        self.shift, self.table = shift, log_gamma(np.arange(size) + shift)
 
-def look(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted code stands among sorted nodes, and whether it does."""
-    if not len(nodes):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
-    return at, nodes[at] == wanted
+    def __call__(self, n: np.ndarray) -> np.ndarray:
+        at = np.minimum(n, len(self.table) - 1).astype(np.int64)
+        out = self.table[at]
+        large = np.flatnonzero(n >= len(self.table))
+        out[large] = log_gamma(n[large] + self.shift)
+        return out
 
 
-def grouped(codes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct codes and the sums of the values."""
-    nodes, inverse = np.unique(codes, return_inverse=True)
-    return nodes, *(np.bincount(inverse, v, len(nodes)) for v in values)
+AT_HALF, AT_ONE = LogGamma(0.5), LogGamma(1.0)
 
 
-def weigh(counts: list[tuple[np.ndarray, np.ndarray]], deeper: list[np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each of the eight decisions at one depth: nodes, counts, weight of the node's own estimate, log probability.
+def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Logarithm of the Krichevsky-Trofimov probability of a sequence of so many zeros and ones."""
+    return AT_HALF(zeros) + AT_HALF(ones) - AT_ONE(zeros + ones) - 2 * 0.5723649429247001
 
-    ``counts``: codes and counts by the number of bits known, 0 to 8; ``deeper``: sums of the children's log probabilities.
-    """
-    out = []
-    for j in range(8):
-        nodes, n = counts[j]
-        at, there = look(counts[j + 1][0], nodes << 1 | 1)
-        ones = np.where(there, counts[j + 1][1][at], 0.0) if len(counts[j + 1][0]) else np.zeros(len(nodes))
-        own = log_estimate(n - ones, ones)
-        if deeper is None:
-            weight, total = np.ones(len(nodes)), own
-        else:
-            total = np.logaddexp(own, deeper[j]) - np.log(2)
-            weight = np.exp(own - np.log(2) - total)
-        out.append((nodes, n, weight, total))
-    return out
 
+class Level:
+    """The nodes of one depth: sorted strings (context from the nearest byte on, then the byte) and their runs.
 
-def below(level: list, counts: list, depth: int) -> tuple[list, list]:
-    """Counts and sums of log probabilities for the contexts one byte shorter than ``depth``."""
-    out, sums = [], []
-    for j in range(9):
-        nodes, n = counts[j]
-        parents = nodes & (1 << 8 * (depth - 1) + j) - 1
-        codes, total, s = grouped(parents, n, level[j][3] if j < 8 else n)
-        out.append((codes, total))
-        sums.append(s)
-    return out, sums
-
-
-def deep(keys: np.ndarray, n: np.ndarray) -> tuple[dict, list, list]:
-    """Levels from ``DEPTH`` down to ``SHALLOW`` of the strings that training holds, and what the level below needs."""
-    seen = n > 0
-    codes, counted = keys[seen], n[seen]
-    counts = [grouped(codes >> (8 - j), counted) for j in range(9)]
-    levels, sums = {}, None
-    for d in range(DEPTH, SHALLOW - 1, -1):
-        levels[d] = (weigh(counts, sums), counts)
-        counts, sums = below(levels[d][0], counts, d)
-    return levels, counts, sums
-
-
-def shallow(counts: list, sums: list) -> dict:
-    levels = {}
-    for d in range(SHALLOW - 1, -1, -1):
-        levels[d] = (weigh(counts, sums), counts)
+    A node of j known bits is the run of strings that agree but for the last 8 - j bits.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, below: tuple | None) -> None:
+        self.keys, self.counts = keys, n
+        self.starts, self.weight, self.one, self.total, self.n = [], [], [], [], []
+        for j in range(8):
+            head = keys >> U(8 - j)
+            run = np.concatenate(([True], head[1:] != head[:-1]))
+            starts = np.flatnonzero(run)
+            bit = (keys >> U(7 - j)) & U(1)
+            count, ones = np.add.reduceat(n, starts), np.add.reduceat(n * bit, starts)
+            own = log_estimate(count - ones, ones)
+            if below is None:
+                weight, total = np.ones(len(starts)), own
+            else:
+                child, to = below
+                parents = (np.cumsum(run) - 1)[to[child.starts[j]]]
+                total = np.logaddexp(own, np.bincount(parents, child.total[j], len(starts))) - np.log(2)
+                weight = np.exp(own - np.log(2) - total)
+            self.starts.append(starts)
+            self.n.append(count)
+            self.total.append(total)
+            self.weight.append(weight)
+            self.one.append((ones + 0.5) / (count + 1.0))
+
+    def parents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Strings without the farthest context byte, and where each string goes."""
+        return np.unique(self.keys >> U(16) << U(8) | self.keys & U(255), return_inverse=True)
+
+
+def levels(keys: np.ndarray, n: np.ndarray, last: int, depth: int = DEPTH, below: tuple | None = None) -> tuple[list[Level], list[np.ndarray]]:
+    """Levels from ``depth`` down to ``last``, and where the strings of each go in the next, one more than the last too."""
+    out, to = [], []
+    for d in range(depth, last - 1, -1):
+        out.append(level := Level(keys, n, below))
         if d:
-            counts, sums = below(levels[d][0], counts, d)
-    return levels
+            keys, at = level.parents()
+            n = np.bincount(at, n, len(keys))
+            below = (level, at)
+            to.append(at)
+    return out, to
 
 
-def log10_of(keys: np.ndarray, levels: dict) -> np.ndarray:
-    """log10 of the probability of the last byte of each string after those before it."""
+def upper(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[Level]:
+    """Levels below ``SHALLOW`` from sums over all parts: of each number of known bits, nodes, counts and logs of children."""
+
+    class Sums:  # what a Level needs of the one below it
+        pass
+
+    keys, n, _ = found[8]
+    sums = Sums()
+    sums.starts, sums.total = [], []
+    for j in range(8):
+        nodes, _, logs = found[j]
+        sums.starts.append(np.searchsorted(keys, nodes << U(8 - j)))
+        sums.total.append(logs)
+    return levels(keys, n, 0, SHALLOW - 1, (sums, np.arange(len(keys))))[0]
+
+
+def node_sums(keys: np.ndarray, n: np.ndarray) -> dict:
+    """What ``upper`` adds up, of the strings of one part: ``j, node, n, s``."""
+    found, to = levels(keys, n, SHALLOW)
+    level, at = found[-1], to[-1]
+    parents = np.unique(at, return_index=True)[1]
+    short = (level.keys >> U(16) << U(8) | level.keys & U(255))[parents]
+    rows = [(8, short, np.bincount(at, level.counts), np.zeros(len(short)))]
+    for j in range(8):
+        head = short >> U(8 - j)
+        run = np.cumsum(np.concatenate(([True], head[1:] != head[:-1]))) - 1
+        own = run[at[level.starts[j]]]
+        rows.append((j, head[np.unique(run, return_index=True)[1]], np.bincount(own, level.n[j]), np.bincount(own, level.total[j])))
+    keep = [r[2] > 0 for r in rows]
+    return {
+        "j": np.repeat([r[0] for r in rows], [int(k.sum()) for k in keep]),
+        "node": np.concatenate([r[1][k] for r, k in zip(rows, keep, strict=True)]).view(np.int64),
+        "n": np.concatenate([r[2][k] for r, k in zip(rows, keep, strict=True)]),
+        "s": np.concatenate([r[3][k] for r, k in zip(rows, keep, strict=True)]),
+    }
+
+
+def log10_of(keys: np.ndarray, n: np.ndarray, top: list[Level]) -> np.ndarray:
+    """log10 of the probability of the last byte of each of a part's sorted strings after those before it."""
+    found, to = levels(keys, n, SHALLOW)
+    found, to = found[::-1], to[::-1]
+    short = np.unique(found[0].keys >> U(16) << U(8) | found[0].keys & U(255))
     out = np.zeros(len(keys))
     for j in range(8):
-        p = np.full(len(keys), np.nan)
-        for d in range(DEPTH, -1, -1):
-            level, counts = levels[d]
-            code = keys & (1 << 8 * (d + 1)) - 1
-            at, there = look(level[j][0], code >> (8 - j))
-            if not there.any():
-                continue
-            to, seen = look(counts[j + 1][0], code >> (7 - j))
-            child = np.where(seen, counts[j + 1][1][to], 0.0)
-            own = (child + 0.5) / (level[j][1][at] + 1.0)
-            weight = level[j][2][at]
-            p = np.where(there, np.where(np.isnan(p), own, weight * own + (1 - weight) * p), p)
-        out += np.log10(np.where(np.isnan(p), 0.5, p))
+        bit = (short >> U(7 - j)) & U(1) == 1
+        p, rest = np.zeros(len(short)), np.ones(len(short))
+        for d, level in enumerate(reversed(top)):
+            code = (short >> U(8 * (SHALLOW - d)) << U(8) | short & U(255)) >> U(8 - j)
+            nodes = level.keys[level.starts[j]] >> U(8 - j)
+            at = np.minimum(np.searchsorted(nodes, code), max(len(nodes) - 1, 0))
+            there = nodes[at] == code if len(nodes) else np.zeros(len(code), bool)
+            one = np.where(there, level.one[j][at], 0.5) if len(nodes) else 0.5
+            weight = np.where(there, level.weight[j][at], 0.5) if len(nodes) else 0.5
+            p, rest = p + rest * weight * np.where(bit, one, 1 - one), rest * (1 - weight)
+        for level, at in zip(found, to, strict=True):
+            run = np.repeat(np.arange(len(level.starts[j])), np.diff(np.append(level.starts[j], len(level.keys))))
+            one, weight = level.one[j][run], level.weight[j][run]
+            own = np.where((level.keys >> U(7 - j)) & U(1) == 1, one, 1 - one)
+            p, rest = p[at] + rest[at] * weight * own, rest[at] * (1 - weight)
+        out += np.log10(p)
     return out
 
 
-def pack(keys: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes(), 1)
+def pack(values: np.ndarray, kept: int | None = None) -> bytes:
+    """Compressed with bytes of like significance together; only the ``kept`` more significant ones."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes[values.itemsize - kept :].tobytes() if kept else planes.tobytes())
+
+
+def unpack(data: bytes, kind: type, kept: int | None = None) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(kept or width, -1)
+    out = np.zeros((planes.shape[1], width), np.uint8)
+    out[:, width - len(planes) :] = planes.T
+    return out.view(kind).ravel()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint64), dtype=np.uint64)
+def pack_keys(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=U(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def pack_logs(values: np.ndarray) -> bytes:
+    """With 16 bits after the first one: exact to some millionths of a value."""
+    return pack((values.astype(np.float32).view(np.uint32) + np.uint32(128)) & np.uint32(0xFFFFFF00), 3)
+
+
+def unpack_logs(data: bytes) -> np.ndarray:
+    return unpack(data, np.uint32, 3).view(np.float32)
 
 
 def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +217,12 @@ def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(b"".join(chain.from_iterable((pad, x, b"\0") for x in texts)), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     n = len(a) - DEPTH
-    keys = np.zeros(max(n, 0), np.uint64)
-    for i in range(DEPTH + 1):
-        keys <<= np.uint64(8)
-        keys |= a[i : i + n]
+    keys = np.zeros(max(n, 0), U)
+    for i in range(1, DEPTH + 1):  # the nearest byte first
+        keys <<= U(8)
+        keys |= a[DEPTH - i : DEPTH - i + n]
+    keys <<= U(8)
+    keys |= a[DEPTH:]
     ok = np.ones(len(keys), bool)
     ends = np.cumsum(sizes + DEPTH)[:-1]
     for i in range(1, DEPTH + 1):
@@ -162,7 +233,7 @@ def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words), U, len(words))
 
 
 def slices(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
@@ -176,74 +247,66 @@ def slices(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def requests(texts: list[bytes], train: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Kind, bucket, keys and training counts of all distinct words and strings of a block."""
-    counted: Counter = Counter()
-    asked: set = set()
+def spread(keys: np.ndarray, count: int, shift: int) -> np.ndarray:
+    """Number below ``count`` by a hash of the keys without their last ``shift`` bits."""
+    return ((keys >> U(shift)) * U(0x9E3779B97F4A7C15) >> U(32)) % U(count)
+
+
+def dealt(keys: np.ndarray, to: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers with any keys, and the places of these."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(count + 1)).tolist()
+    for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if e > s:
+            yield b, order[s:e]
+
+
+def block_strings(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of a block and how often its training documents hold them."""
     parts = []
     for s, e in slices(texts, SORT_BYTES):
-        for x, t in zip(texts[s:e], train[s:e], strict=True):
-            words = x.split()
-            if t:
-                counted.update(words)
-                counted[END] += 1
-            else:
-                asked.update(words)
         keys, sizes = strings(texts[s:e])
-        parts.append(np.unique(keys << np.uint64(1) | np.repeat(train[s:e], sizes).astype(np.uint64), return_counts=True))
+        learn = np.repeat(train[s:e], sizes)
+        parts.append(np.unique(keys[learn], return_counts=True))
+        rest = np.unique(keys[~learn])
+        parts.append((rest, np.zeros(len(rest), np.int64)))
     keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     keys, inverse = np.unique(keys, return_inverse=True)
-    n = np.bincount(inverse, n, len(keys)) * (keys & np.uint64(1)).astype(float)
-    nodes, inverse = np.unique(keys >> np.uint64(1), return_inverse=True)
-    yield from _deal(STRINGS, nodes, np.bincount(inverse, n, len(nodes)), ((nodes >> np.uint64(8)) & np.uint64(0xFFFFFF)) * np.uint64(2654435761) >> np.uint64(8), buckets)
-    words = list(counted) + [w for w in asked | {END} if w not in counted]
-    hashes = word_hashes(words)
-    order = np.argsort(hashes)
-    yield from _deal(WORDS, hashes[order], np.array([counted[w] for w in words], float)[order], hashes[order] >> np.uint64(7), buckets)
-
-
-def _deal(kind: int, keys: np.ndarray, n: np.ndarray, spread: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    bucket = (spread % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-    for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if e > s:
-            at = order[s:e]
-            yield kind, b, pack(keys[at]), zlib.compress(n[at].astype(np.uint32).tobytes(), 1)
-
-
-class Table:
-    """Values by key for keys that are all there: most by one look into a table, the rest by search."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys, self.values = keys, values
-        bits = max(4, int(4 * len(keys)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        slots = self._slot(keys)
-        taken = np.bincount(slots, minlength=1 << bits)
-        self.table = np.zeros(1 << bits)
-        self.table[slots] = values
-        self.table[taken > 1] = np.nan
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out = self.table[self._slot(keys)]
-        rest = np.flatnonzero(np.isnan(out))
-        out[rest] = self.values[np.searchsorted(self.keys, keys[rest])]
-        return out
+    return keys, np.bincount(inverse, n, len(keys))
+
+
+def block_words(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of hashed words and ends."""
+    counted: Counter = Counter()
+    for x, t in zip(texts, train.tolist(), strict=True):
+        if t:
+            counted.update(x.split())
+            counted[END] += 1
+        else:
+            counted.update(dict.fromkeys([*x.split(), END], 0))
+    hashes, inverse = np.unique(word_hashes(list(counted)), return_inverse=True)
+    return hashes, np.bincount(inverse, np.fromiter(counted.values(), float, len(counted)), len(hashes))
+
 
+class Block:
+    """Rows of a block as compressed Arrow."""
 
-def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each request, the distinct ones, their training counts and each request key's place."""
-    asked = [unpack(x) for x in table.column("keys").to_pylist()]
-    n = [np.frombuffer(zlib.decompress(x), np.uint32) for x in table.column("counts").to_pylist()]
-    keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    return asked, keys, np.bincount(inverse, np.concatenate(n), len(keys)), inverse
+    @staticmethod
+    def packed(parts: list[pa.RecordBatch]) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as out:
+            for x in parts:
+                out.write_batch(x)
+        return sink.getvalue().to_pybytes()
 
+    def __init__(self, payload: bytes) -> None:
+        table = pa.ipc.open_stream(payload).read_all()
+        self.keys = table.column("k")
+        self.texts = [x.translate(LOWER) for c in table.column("text").chunks for x in as_bytes(c)]
+        self.train = np.array(table.column("train").to_pylist(), bool)
 
-def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, part_strings: int = PART_STRINGS) -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` for each row; ``train``: a column, true for rows to learn from.
 
     ``score`` is the log10 probability of the lower-cased text's bytes and its end; ``-score / log10(2)`` over its bytes
@@ -255,114 +318,173 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_b
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
-    docs = df.select(F.col(key).alias("k"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
-    buckets = 2 * max(8, docs.rdd.getNumPartitions())
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
-        """Parts of batches by block; each block ends where its bytes are full."""
-        number, held = TaskContext.get().partitionId() << 24, 0
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
+    shape = lambda ddl: spark.createDataFrame([], ddl).schema
+    docs = df.select(F.col(f"`{key}`").alias("k"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text}`").alias("text"))
+
+    held_fields = to_arrow_schema(shape("block long, size long, payload binary"))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows; each ends where its bytes are full."""
+        number, held, parts = TaskContext.get().partitionId() << 24, 0, []
+
+        def flush() -> pa.RecordBatch:
+            return record({"block": [number], "size": [held], "payload": [Block.packed(parts)]}, held_fields)
+
+        for batch in slices_of(batches):
             start = 0
-            for i, x in enumerate(texts):
-                if held and held + len(x) > block_bytes:
+            for i, size in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()):
+                if held and held + size > block_bytes:
                     if i > start:
-                        yield number, batch.slice(start, i - start), texts[start:i]
-                    number, start, held = number + 1, i, 0
-                held += len(x)
-            if start < len(texts):
-                yield number, batch.slice(start), texts[start:]
+                        parts.append(batch.slice(start, i - start))
+                    yield flush()
+                    number, start, held, parts = number + 1, i, 0, []
+                held += size
+            if start < len(batch):
+                parts.append(batch.slice(start))
+        if parts:
+            yield flush()
+
+    # numbered once and written: what is asked for and what is scored must be the same blocks
+    blocks = checkpointed(docs.mapInArrow(hold, shape("block long, size long, payload binary")))
+    buckets = max(16, 2 * -(-(blocks.agg(F.sum("size")).first()[0] or 0) // block_bytes))
+    columns = "kind int, bucket int, block long, size long, total double, seen long, keys binary, counts binary"
+
+    def rows_of(kind: int, bucket: int, block: int, keys: np.ndarray, n: np.ndarray) -> tuple:
+        return kind, bucket, block, len(keys), float(n.sum()), int((n > 0).sum()), pack_keys(keys), pack(n.astype(np.uint64))
 
-    asked_schema = spark.createDataFrame([], "block long, kind int, bucket int, keys binary, counts binary").schema
-    asked_fields = to_arrow_schema(asked_schema)
+    def by_column(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+        return record(dict(zip(fields.names, map(list, zip(*rows, strict=True)) if rows else [[] for _ in fields], strict=True)), fields)
+
+    asked_fields = to_arrow_schema(shape(columns))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(number: int, texts: list[bytes], train: list) -> pa.RecordBatch:
-            rows = [(number, *r) for r in requests(texts, np.array(train, bool), buckets)]
-            return record(dict(zip(asked_fields.names, map(list, zip(*rows, strict=True)), strict=True)), asked_fields)
-
-        now, texts, train = None, [], []
-        for number, batch, part in blocks(batches):
-            if number != now and texts:
-                yield flush(now, texts, train)
-                texts, train = [], []
-            now = number
-            texts += [x.translate(LOWER) for x in part]
-            train += batch.column("train").to_pylist()
-        if texts:
-            yield flush(now, texts, train)
-
-    asked = checkpointed(docs.mapInArrow(ask, asked_schema))
-    grouped_by = asked.groupBy("kind", "bucket")
-
-    nodes_schema = spark.createDataFrame([], "j int, node long, n double, s double").schema
-    nodes_fields = to_arrow_schema(nodes_schema)
-
-    def sums(table: pa.Table) -> pa.Table:
-        """Counts and log probabilities of the depth-two contexts' children; of words the counts, under j = -1."""
-        _, keys, n, _ = _merged(table)
-        if table.column("kind")[0].as_py() == WORDS:
-            rows = {"j": [-1], "node": [0], "n": [float(n.sum())], "s": [float((n > 0).sum())]}
-        else:
-            _, counts, s = deep(keys.astype(np.int64), n)
-            rows = {"j": np.repeat(np.arange(9), [len(c[0]) for c in counts]).tolist(), "node": np.concatenate([c[0] for c in counts]), "n": np.concatenate([c[1] for c in counts]), "s": np.concatenate(s)}
-            rows = {c: pa.array(v) for c, v in rows.items()}
-        return pa.Table.from_batches([record(rows, nodes_fields)])
-
-    found = grouped_by.applyInArrow(sums, nodes_schema).groupBy("j", "node").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
-    words = found[found.j == -1]
-    total, distinct = float(words.n.sum()), float(words.s.sum())
-    parts = [found[found.j == j].sort_values("node") for j in range(9)]
-    top = shallow([(p.node.to_numpy(np.int64), p.n.to_numpy(float)) for p in parts], [p.s.to_numpy(float) for p in parts])
-
-    answer_schema = spark.createDataFrame([], "block long, kind int, keys binary, answers binary").schema
-    answer_fields = to_arrow_schema(answer_schema)
-
-    def answer(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        asked, keys, n, inverse = _merged(table)
-        values = n if kind == WORDS else log10_of(keys.astype(np.int64), {**deep(keys.astype(np.int64), n)[0], **top})
-        each = np.split(values[inverse].astype(np.float32 if kind == STRINGS else np.uint32), np.cumsum([len(x) for x in asked])[:-1])
-        rows = {"block": table.column("block").combine_chunks(), "kind": [kind] * len(asked), "keys": table.column("keys").combine_chunks(), "answers": [x.tobytes() for x in each]}
-        return pa.Table.from_batches([record(rows, answer_fields)])
-
-    placed_schema = extended(docs, block="long")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch, _ in blocks(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * len(batch), pa.int64())], schema=to_arrow_schema(placed_schema))
-
-    out_schema = extended(df.select(key), n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double")
+        for batch in slices_of(batches, 1):
+            block, number = Block(batch.column("payload")[0].as_py()), batch.column("block")[0].as_py()
+            for kind, (keys, n), shift in ((STRINGS, block_strings(block.texts, block.train), 32), (WORDS, block_words(block.texts, block.train), 0)):
+                yield by_column([rows_of(kind, b, number, keys[at], n[at]) for b, at in dealt(keys, spread(keys, buckets, shift), buckets)], asked_fields)
+
+    asked = checkpointed(blocks.mapInArrow(ask, shape(columns)))
+
+    def add_up(table: pa.Table) -> pa.Table:
+        """The distinct keys of a bucket and their counts over all blocks."""
+        keys = np.concatenate([unpack_keys(x) for x in table.column("keys").to_pylist()])
+        n = np.concatenate([unpack(x, np.uint64) for x in table.column("counts").to_pylist()]).astype(float)
+        keys, inverse = np.unique(keys, return_inverse=True)
+        kind, bucket = (table.column(c)[0].as_py() for c in ("kind", "bucket"))
+        return pa.Table.from_batches([by_column([rows_of(kind, bucket, 0, keys, np.bincount(inverse, n, len(keys)))], asked_fields)])
+
+    distinct = checkpointed(asked.groupBy("kind", "bucket").applyInArrow(add_up, shape(columns)))
+    sums = {r.kind: r for r in distinct.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("total").alias("total"), F.sum("seen").alias("seen")).collect()}
+    total, known = (float(sums[WORDS].total), float(sums[WORDS].seen)) if sums else (0.0, 0.0)
+    count = -(-sums[STRINGS].size // part_strings) if sums else 1
+    parted_fields = to_arrow_schema(shape("part int, bucket int, keys binary, counts binary"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices_of(batches, 1):
+            keys, n = unpack_keys(batch.column("keys")[0].as_py()), unpack(batch.column("counts")[0].as_py(), np.uint64)
+            bucket = batch.column("bucket")[0].as_py()
+            yield by_column([(b, bucket, pack_keys(keys[at]), pack(n[at])) for b, at in dealt(keys, spread(keys, count, 40), count)], parted_fields)
+
+    parts = distinct.where(F.col("kind") == STRINGS).mapInArrow(deal, shape("part int, bucket int, keys binary, counts binary")).groupBy("part")
+
+    def merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        own = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+        keys = np.concatenate(own)
+        order = np.argsort(keys)
+        return own, keys[order], np.concatenate([unpack(x, np.uint64) for x in table.column("counts").to_pylist()]).astype(float)[order], order
+
+    nodes_fields = to_arrow_schema(shape("j int, node long, n double, s double"))
+
+    def subtree_sums(table: pa.Table) -> pa.Table:
+        _, keys, n, _ = merged(table)
+        return pa.Table.from_batches([record({c: pa.array(x) for c, x in node_sums(keys, n).items()}, nodes_fields)])
+
+    # at most 65,536 contexts, of 511 nodes each
+    found = parts.applyInArrow(subtree_sums, shape("j int, node long, n double, s double")).groupBy("j", "node").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
+    each = []
+    for j in range(9):
+        own = found.filter(pa.compute.equal(found.column("j"), j)).sort_by("node")
+        each.append((own.column("node").to_numpy().astype(np.int64).view(U), own.column("n").to_numpy().astype(float), own.column("s").to_numpy().astype(float)))
+    top = upper(each) if len(each[8][0]) else []
+
+    value_fields = to_arrow_schema(shape("kind int, bucket int, keys binary, answers binary"))
+
+    def probabilities(table: pa.Table) -> pa.Table:
+        own, keys, n, order = merged(table)
+        values = np.empty(len(keys))
+        values[order] = log10_of(keys, n, top)
+        cuts = np.cumsum([len(x) for x in own])[:-1]
+        rows = {"kind": [STRINGS] * len(own), "bucket": table.column("bucket").combine_chunks(), "keys": table.column("keys").combine_chunks(), "answers": [pack_logs(x) for x in np.split(values, cuts)]}
+        return pa.Table.from_batches([record(rows, value_fields)])
+
+    values = parts.applyInArrow(probabilities, shape("kind int, bucket int, keys binary, answers binary"))
+    values = values.unionAll(distinct.where(F.col("kind") == WORDS).select("kind", "bucket", "keys", F.col("counts").alias("answers")))
+    answer_fields = to_arrow_schema(shape("block long, kind int, bucket int, answers binary"))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            kind, bucket = (left.column(c)[0].as_py() for c in ("kind", "bucket"))
+            keys = np.concatenate([unpack_keys(x) for x in right.column("keys").to_pylist()])
+            logs = kind == STRINGS
+            held = np.concatenate([unpack_logs(x) if logs else unpack(x, np.uint64) for x in right.column("answers").to_pylist()])
+            order = np.argsort(keys)
+            keys, held = keys[order], held[order]
+            for block, wanted in zip(left.column("block").to_pylist(), left.column("keys").to_pylist(), strict=True):
+                wanted = unpack_keys(wanted)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                if (keys[at] != wanted).any():
+                    raise ValueError("a block asks for a string that no bucket holds")
+                rows.append((block, kind, bucket, pack_logs(held[at]) if logs else pack(held[at])))
+        return pa.Table.from_batches([by_column(rows, answer_fields)])
+
+    asks = asked.select("kind", "bucket", "block", "keys")
+    answers = asks.groupBy("kind", "bucket").cogroup(values.groupBy("kind", "bucket")).applyInArrow(answer, shape("block long, kind int, bucket int, answers binary"))
+
+    kind = docs.schema["k"].dataType.simpleString()
+    out_schema = shape(f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out_fields = to_arrow_schema(out_schema)
 
+    def in_order(right: pa.Table, kind: int, keys: np.ndarray, shift: int) -> np.ndarray:
+        """Answers to the block's distinct keys."""
+        own = right.filter(pa.compute.equal(right.column("kind"), kind))
+        by_bucket = dict(zip(own.column("bucket").to_pylist(), own.column("answers").to_pylist(), strict=True))
+        out = np.empty(len(keys))
+        for b, at in dealt(keys, spread(keys, buckets, shift), buckets):
+            out[at] = unpack_logs(by_bucket[b]) if kind == STRINGS else unpack(by_bucket[b], np.uint64)
+        return out
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], schema=out_fields)
-        tables = {}
-        for kind, width in ((WORDS, np.uint32), (STRINGS, np.float32)):
-            part = right.filter(pa.compute.equal(right.column("kind"), kind))
-            keys = np.concatenate([unpack(x) for x in part.column("keys").to_pylist()])
-            values = np.concatenate([np.frombuffer(x, width) for x in part.column("answers").to_pylist()]).astype(float)
-            order = np.argsort(keys)
-            tables[kind] = Table(keys[order], values[order])
-        texts = [x.translate(LOWER) for x in as_bytes(left.column("text"))]
-        rows = [np.zeros(0)] * 4
-        for s, e in slices(texts, SORT_BYTES):
-            keys, sizes = strings(texts[s:e])
-            scores = np.add.reduceat(tables[STRINGS](keys), np.cumsum(sizes) - sizes)
-            tokens = [[*x.split(), END] for x in texts[s:e]]
-            known = {w: None for w in chain.from_iterable(tokens)}
-            known = dict(zip(known, tables[WORDS](word_hashes(list(known))).tolist(), strict=True))
+        block = Block(left.column("payload")[0].as_py())
+        spans, parts = list(slices(block.texts, SORT_BYTES)), []
+        scores = np.zeros(len(block.texts))
+        for s, e in spans:
+            own, n = strings(block.texts[s:e])
+            own, inverse = np.unique(own, return_inverse=True)
+            parts.append((own, inverse.astype(np.int32), np.cumsum(n) - n))
+        keys, where = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        logs = in_order(right, STRINGS, keys, 32)[where]
+        words = np.unique(word_hashes(list({END, *chain.from_iterable(x.split() for x in block.texts)})))
+        counts = in_order(right, WORDS, words, 0)
+        rows = [np.zeros(0)] * 3
+        at = 0
+        for (s, e), (own, inverse, starts) in zip(spans, parts, strict=True):
+            scores[s:e] = np.add.reduceat(logs[at : at + len(own)][inverse], starts)
+            at += len(own)
+            tokens = [[*x.split(), END] for x in block.texts[s:e]]
+            told = {w: None for w in chain.from_iterable(tokens)}
+            told = dict(zip(told, counts[np.searchsorted(words, word_hashes(list(told)))].tolist(), strict=True))
             n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            c = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), float, int(n.sum()))
+            c = np.fromiter(map(told.__getitem__, chain.from_iterable(tokens)), float, int(n.sum()))
             starts = np.cumsum(n) - n
-            base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))), starts)
-            new = (n, np.add.reduceat((c > 0).astype(np.int64), starts), base, scores)
-            rows = [np.concatenate(x) for x in zip(rows, new, strict=True)]
-        return pa.Table.from_batches([record({key: left.column("k").combine_chunks(), "n_tokens": pa.array(rows[0]), "n_known": pa.array(rows[1]), "train_tokens": [int(total)] * len(texts), "base_score": pa.array(rows[2]), "score": pa.array(rows[3])}, out_fields)])
+            base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (known + 1))), starts)
+            rows = [np.concatenate(x) for x in zip(rows, (n, np.add.reduceat((c > 0).astype(np.int64), starts), base), strict=True)]
+        out = {key: block.keys.combine_chunks(), "n_tokens": pa.array(rows[0]), "n_known": pa.array(rows[1]), "train_tokens": [int(total)] * len(scores), "base_score": pa.array(rows[2]), "score": pa.array(scores)}
+        return pa.Table.from_batches([record(out, out_fields)])
 
-    answers = grouped_by.applyInArrow(answer, answer_schema)
-    return docs.mapInArrow(place, placed_schema).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, out_schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, out_schema)
 
 
 def scored(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1) -> DataFrame:

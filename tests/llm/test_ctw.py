@@ -51,12 +51,12 @@ class Plain:
     def p(self, context, bits, bit, d=0):
         node = (context[self.depth - d :], bits)
         if node not in self.n:
-            return None
+            return 0.5
         counts = self.n[node]
         own = (counts[bit] + 0.5) / (sum(counts) + 1)
-        further = self.p(context, bits, bit, d + 1) if d < self.depth else None
-        if further is None:
+        if d == self.depth:
             return own
+        further = self.p(context, bits, bit, d + 1)
         w = math.exp(self.own(node) - math.log(2) - self.total(node))
         return w * own + (1 - w) * further
 
@@ -65,8 +65,7 @@ class Plain:
         for context, byte in self.steps(x):
             bits = ""
             for b in f"{byte:08b}":
-                p = self.p(context, bits, int(b))
-                out += math.log10(0.5 if p is None else p)
+                out += math.log10(self.p(context, bits, int(b)))
                 bits += b
         return out
 
@@ -89,6 +88,8 @@ def test_against_a_plain_tree(spark, block_bytes):
     rows = [(i, t, i % 4 != 1) for i, t in enumerate(texts * 3)] + [(None, "the cat", False)]
     frame = spark.createDataFrame([(k, t, str(train), 3) for k, t, train in rows], SCHEMA).repartition(3)
     got = sorted((tuple(r) for r in ctw.score(frame, frame.train == "True", "k", block_bytes=block_bytes).collect()), key=lambda r: (r[0] is None, r[0]))
+    got2 = sorted((tuple(r) for r in ctw.score(frame.repartition(5), frame.train == "True", "k", block_bytes=block_bytes, part_strings=50).collect()), key=lambda r: (r[0] is None, r[0]))
+    assert [r[:4] for r in got2] == [r[:4] for r in got] and all(a[5] == pytest.approx(b[5], rel=1e-5) for a, b in zip(got, got2, strict=True))
     plain = Plain([lower(t) for _, t, train in rows if train])
     for r, b, (k, t, _) in zip(got, base(rows), rows, strict=True):
         assert r[:4] == b[:4] and r[0] == k
@@ -98,7 +99,7 @@ def test_against_a_plain_tree(spark, block_bytes):
 def test_no_training_rows_and_no_rows(spark):
     frame = spark.createDataFrame([(1, "ab", "", 1), (2, None, "", 1)], SCHEMA)
     got = {r.k: r for r in ctw.score(frame, frame.train == "x", "k").collect()}
-    assert got[1].score == pytest.approx(24 * math.log10(0.5)) and got[2].score == pytest.approx(8 * math.log10(0.5)) and got[1].base_score == 0 and got[1].train_tokens == 0
+    assert got[1].score == pytest.approx(24 * math.log10(0.5), rel=2e-5) and got[2].score == pytest.approx(8 * math.log10(0.5), rel=2e-5) and got[1].base_score == 0 and got[1].train_tokens == 0
     assert ctw.score(frame.limit(0), frame.train == "x", "k").collect() == []
 
 
