@@ -261,18 +261,27 @@ def dealt(keys: np.ndarray, to: np.ndarray, count: int) -> Iterator[tuple[int, n
             yield b, order[s:e]
 
 
+def joined(keys: np.ndarray, n: np.ndarray, more: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct keys as one, with the sums of their counts."""
+    both = np.concatenate((keys, more))
+    order = np.argsort(both, kind="stable")  # merges the two runs
+    both = both[order]
+    starts = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    return both[starts], np.add.reduceat(np.concatenate((n, new))[order], starts)
+
+
 def block_strings(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of a block and how often its training documents hold them."""
-    parts = []
+    found = None
     for s, e in slices(texts, SORT_BYTES):
         keys, sizes = strings(texts[s:e])
         learn = np.repeat(train[s:e], sizes)
-        parts.append(np.unique(keys[learn], return_counts=True))
-        rest = np.unique(keys[~learn])
-        parts.append((rest, np.zeros(len(rest), np.int64)))
-    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys, inverse = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(inverse, n, len(keys))
+        for own, counted in ((keys[learn], True), (keys[~learn], False)):
+            if len(own):
+                own, n = np.unique(own, return_counts=True)
+                n = n.astype(np.uint32) if counted else np.zeros(len(own), np.uint32)
+                found = (own, n) if found is None else joined(*found, own, n)
+    return found
 
 
 def block_words(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +303,7 @@ class Block:
     @staticmethod
     def packed(parts: list[pa.RecordBatch]) -> bytes:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as out:
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=8))) as out:
             for x in parts:
                 out.write_batch(x)
         return sink.getvalue().to_pybytes()
@@ -449,7 +458,7 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_b
         """Answers to the block's distinct keys."""
         own = right.filter(pa.compute.equal(right.column("kind"), kind))
         by_bucket = dict(zip(own.column("bucket").to_pylist(), own.column("answers").to_pylist(), strict=True))
-        out = np.empty(len(keys))
+        out = np.empty(len(keys), np.float32 if kind == STRINGS else np.float64)
         for b, at in dealt(keys, spread(keys, buckets, shift), buckets):
             out[at] = unpack_logs(by_bucket[b]) if kind == STRINGS else unpack(by_bucket[b], np.uint64)
         return out
@@ -458,21 +467,19 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_b
         if not left.num_rows:
             return pa.Table.from_batches([], schema=out_fields)
         block = Block(left.column("payload")[0].as_py())
-        spans, parts = list(slices(block.texts, SORT_BYTES)), []
-        scores = np.zeros(len(block.texts))
+        spans, parts, keys = list(slices(block.texts, SORT_BYTES)), [], None
         for s, e in spans:
             own, n = strings(block.texts[s:e])
             own, inverse = np.unique(own, return_inverse=True)
             parts.append((own, inverse.astype(np.int32), np.cumsum(n) - n))
-        keys, where = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        logs = in_order(right, STRINGS, keys, 32)[where]
+            keys = own if keys is None else joined(keys, np.zeros(len(keys), np.uint8), own, np.zeros(len(own), np.uint8))[0]
+        logs = in_order(right, STRINGS, keys, 32)
+        scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(keys, own)][inverse].astype(float), starts) for own, inverse, starts in parts])
+        del parts, keys, logs
         words = np.unique(word_hashes(list({END, *chain.from_iterable(x.split() for x in block.texts)})))
         counts = in_order(right, WORDS, words, 0)
         rows = [np.zeros(0)] * 3
-        at = 0
-        for (s, e), (own, inverse, starts) in zip(spans, parts, strict=True):
-            scores[s:e] = np.add.reduceat(logs[at : at + len(own)][inverse], starts)
-            at += len(own)
+        for s, e in spans:
             tokens = [[*x.split(), END] for x in block.texts[s:e]]
             told = {w: None for w in chain.from_iterable(tokens)}
             told = dict(zip(told, counts[np.searchsorted(words, word_hashes(list(told)))].tolist(), strict=True))
