@@ -32,13 +32,15 @@ def _area(a: list[float]) -> float:
 MANY = 400
 
 
-def matches(truth: list[list[float]], found: list[list[float]], ious: tuple[float, ...] = (0.5,), class_id: int | None = None, area: tuple[float, float] | None = None, most: int | None = None) -> list[list[tuple[float, float]]]:
-    """Labels and predictions of one image at each overlap threshold.
+def outcomes(truth: list[list[float]], found: list[list[float]], ious: tuple[float, ...] = (0.5,), class_id: int | None = None, area: tuple[float, float] | None = None, most: int | None = None) -> list[tuple[int, int, list[tuple[float, float]]]]:
+    """Labels and predictions of one image for each run of rising overlap thresholds with the same matches.
 
     ``truth``: rows of box and class; ``found``: rows of box, class and score. Detections of the class, best first and at
     most ``most``, each take the true box that overlaps most, and at least by the threshold, among those not yet taken
     (of equal ones the later). A taken box is (1, score), another detection (0, score), another box (1, 0). Boxes outside
-    the ``area`` range don't count; a detection is within by its own area unless it took a box.
+    the ``area`` range don't count; a detection is within by its own area unless it took a box. Where all matches overlap
+    by the next threshold too, they stay as they are, so only changes are worked out again. Each item is the first
+    threshold's place, how many there are, and the pairs.
     """
     if class_id is not None:
         truth, found = [t for t in truth if t[4] == class_id], [d for d in found if d[4] == class_id]
@@ -49,19 +51,35 @@ def matches(truth: list[list[float]], found: list[list[float]], ious: tuple[floa
         shared = overlaps(np.array(found, float), np.array(truth, float)).tolist()
     else:
         shared = [[_overlap(d, t) for t in truth] for d in found]
-    out = []
-    for iou in ious:
-        free, rows = list(range(len(truth))), []
+    out: list[tuple[int, int, list[tuple[float, float]]]] = []
+    least = -1.0
+    for k, iou in enumerate(ious):
+        if out and iou <= least:
+            first, n, rows = out[-1]
+            out[-1] = (first, n + 1, rows)
+            continue
+        free, rows, least = list(range(len(truth))), [], float("inf")
         for i, d in enumerate(found):
             best, at = iou, -1
             for j in free:
                 if shared[i][j] >= best:
                     best, at = shared[i][j], j
             if at >= 0:
+                least = min(least, best)
                 free.remove(at)
                 if counts[at]:
                     rows.append((1.0, d[5]))
             elif own[i]:
                 rows.append((0.0, d[5]))
-        out.append(rows + [(1.0, 0.0) for j in free if counts[j]])
+        out.append((k, 1, rows + [(1.0, 0.0) for j in free if counts[j]]))
     return out
+
+
+def matches(truth: list[list[float]], found: list[list[float]], ious: tuple[float, ...] = (0.5,), class_id: int | None = None, area: tuple[float, float] | None = None, most: int | None = None) -> list[list[tuple[float, float]]]:
+    """The pairs of ``outcomes`` at each overlap threshold."""
+    order = sorted(range(len(ious)), key=ious.__getitem__)
+    found_at: list[list[tuple[float, float]]] = [[] for _ in ious]
+    for first, n, rows in outcomes(truth, found, tuple(ious[i] for i in order), class_id, area, most):
+        for k in range(first, first + n):
+            found_at[order[k]] = rows
+    return found_at

@@ -15,13 +15,19 @@ def nan() -> Column:
 
 
 def div(numerator: Column, denominator: Column) -> Column:
-    """The ratio; NaN unless the denominator is above 0 (a null one included)."""
-    return F.when(denominator > 0, numerator / denominator).otherwise(nan())
+    """The ratio; NaN unless the denominator is above 0, and where either is null."""
+    return F.when(denominator > 0, F.coalesce(numerator / denominator, nan())).otherwise(nan())
 
 
 def div_far(numerator: Column, denominator: Column) -> Column:
-    """The ratio; NaN if the denominator is null or within 1e-9 of 0."""
-    return F.when(F.abs(denominator) > 1e-9, numerator / denominator).otherwise(nan())
+    """The ratio; NaN if the denominator is within 1e-9 of 0, and where either is null."""
+    return F.when(F.abs(denominator) > 1e-9, F.coalesce(numerator / denominator, nan())).otherwise(nan())
+
+
+def above(prediction: Column, threshold) -> Column:
+    """Whether a prediction is positive. The rule of all metrics: NaN is above no threshold, so it counts as negative in
+    cells, flips and curves alike; a null prediction counts as neither, and only in counts of rows."""
+    return (prediction > threshold) & ~F.isnan(prediction)
 
 
 def null_if_nan(value: Column) -> Column:

@@ -19,7 +19,7 @@ def _long(frame: DataFrame, values: Values, names: Sequence[str], keep: Sequence
     return frame.select(*keep, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), v(state).cast("double").alias("value")) for m, v in values.items()))))
 
 
-def _interval(samples: DataFrame, whole: DataFrame, error: Column, n: int) -> DataFrame:
+def interval(samples: DataFrame, whole: DataFrame, error: Column, n: int) -> DataFrame:
     """Bounds around the samples' mean; fewer or undefined samples give none."""
     stats = samples.groupBy("slice_key", "metric").agg(F.avg("value").alias("mean"), error.alias("se"), F.count(F.when(~F.isnan("value"), 1)).alias("n"))
     t = t_quantile(0.975, n - 1)
@@ -46,34 +46,34 @@ def jackknife(df: DataFrame, states: dict[str, Column], values: Values, bucket:
     whole = _long(total, values, names, ["slice_key"])
     loose = _long(left, values, names, ["slice_key", "__b"])
     # pseudo-values n x - (n - 1) x_i stray (n - 1) times as far as the x_i
-    return _interval(loose, whole, F.stddev_samp("value") * ((samples - 1) / samples**0.5), samples)
+    return interval(loose, whole, F.stddev_samp("value") * ((samples - 1) / samples**0.5), samples)
 
 
 def poisson_counts(uniform: Column) -> Column:
     """How often a row is drawn, from a number in [0, 1): the inverse of the Poisson distribution with mean 1."""
     import math
 
-    out, below, bounds = F.lit(0), 0.0, []
-    for k in range(12):
+    below, out = 0.0, None
+    for k in range(12):  # most rows end at the first bounds
         below += math.exp(-1) / math.factorial(k)
-        bounds.append(below)
-    for b in bounds:
-        out = out + F.when(uniform >= b, 1).otherwise(0)
-    return out.cast("double")
+        out = F.when(uniform < below, float(k)) if out is None else out.when(uniform < below, float(k))
+    return out.otherwise(12.0)
 
 
 def bootstrap(df: DataFrame, states: dict[str, Column], values: Values, uniform: Callable[[int], Column], specs: Sequence[SlicingSpec] = (), samples: int = 20) -> DataFrame:
     """The same columns from samples in which each row counts a Poisson number of times.
 
-    ``uniform(i)``: a row's number in [0, 1) for sample ``i``, by a hash. All samples' sums are columns of one
-    aggregation, so rows are neither repeated nor moved for them.
+    ``uniform(i)``: a row's number in [0, 1) for sample ``i``, by a hash. A row's numbers and counts are columns, made
+    once; all samples' sums are columns of one aggregation, so rows are neither repeated nor moved for them.
     """
     names = list(states)
-    drawn = {f"{n}#{i}": poisson_counts(uniform(i)) * c for i in range(samples) for n, c in states.items()}
-    sums = grouped_sums(df, specs, states | drawn)
+    numbered = df.withColumns({f"__u{i}": uniform(i) for i in range(samples)} | {f"__s{k}": c for k, c in enumerate(states.values())})
+    counted = numbered.withColumns({f"__k{i}": poisson_counts(F.col(f"__u{i}")) for i in range(samples)})
+    own = {n: F.col(f"__s{k}") for k, n in enumerate(names)}
+    sums = grouped_sums(counted, specs, own | {f"{n}#{i}": F.col(f"__k{i}") * c for i in range(samples) for n, c in own.items()})
     whole = _long(sums, values, names, ["slice_key"])
     each = sums.select("slice_key", F.inline(F.array(*(F.struct(F.lit(i).alias("__b"), *(F.col(f"`{n}#{i}`").alias(n) for n in names)) for i in range(samples)))))
-    return _interval(_long(each, values, names, ["slice_key", "__b"]), whole, F.stddev_samp("value"), samples)
+    return interval(_long(each, values, names, ["slice_key", "__b"]), whole, F.stddev_samp("value"), samples)
 
 
 def hashed_bucket(columns: Sequence[str], samples: int = 20, seed: int = 0) -> Column:

@@ -4,12 +4,12 @@ Rows are summed into buckets of the prediction; all that follows works on a boun
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import div
+from metricloom.functions.scalars import above, div
 from metricloom.operators.slicing import SlicingSpec, fan_out
 
 EPS = 1e-7
@@ -18,13 +18,14 @@ EPS = 1e-7
 def histogram(df: DataFrame, specs: Sequence[SlicingSpec] = (), buckets: int = 10_000, left: float = 0.0, right: float = 1.0, by: Sequence[str] = (), label: str = "label", prediction: str = "prediction", weight: str = "weight") -> DataFrame:
     """``slice_key, *by, bucket`` and the sums ``w, wl, wp`` of rows whose prediction falls into a bucket.
 
-    Bucket 0 lies below ``left``, bucket ``buckets + 1`` holds ``right`` and above. Rows without a prediction, or with NaN,
-    are left out. Rows are summed before they fan out to slices.
+    Bucket 0 lies below ``left`` and holds NaN, which is above no threshold; bucket ``buckets + 1`` holds ``right`` and
+    above. Rows without a prediction are left out; a NaN adds nothing to ``wp``. Rows are summed before they fan out.
     """
     needed = sorted({c for s in specs for c in s.columns()} - set(by))
     w, l, p = (F.col(c).cast("double") for c in (weight, label, prediction))
-    placed = df.withColumn("bucket", F.expr(f"width_bucket(CAST(`{prediction}` AS DOUBLE), {left}D, {right}D, {buckets})")).where(F.col("bucket").isNotNull() & ~F.isnan(p))
-    first = placed.groupBy(*(f"`{c}`" for c in needed), *by, "bucket").agg(F.sum(w).alias("w"), F.sum(w * l).alias("wl"), F.sum(w * p).alias("wp"))
+    bucket = F.when(F.isnan(p), F.lit(0).cast("long")).otherwise(F.expr(f"width_bucket(CAST(`{prediction}` AS DOUBLE), {left}D, {right}D, {buckets})"))
+    placed = df.withColumn("bucket", bucket).where(F.col("bucket").isNotNull())
+    first = placed.groupBy(*(f"`{c}`" for c in needed), *by, "bucket").agg(F.sum(w).alias("w"), F.sum(w * l).alias("wl"), F.sum(w * F.nanvl(p, F.lit(0.0))).alias("wp"))
     return fan_out(first, specs).groupBy("slice_key", *by, "bucket").agg(*(F.sum(c).alias(c) for c in ("w", "wl", "wp")))
 
 
@@ -86,31 +87,23 @@ def with_rates(cells: DataFrame) -> DataFrame:
     )
 
 
-def auc(cells: DataFrame, curve: str = "ROC", method: str = "interpolation", by: Sequence[str] = ()) -> DataFrame:
-    """``slice_key, *by, value``: the area by trapezoids, or by the lesser or greater end of each step.
-
-    PR by interpolation follows the log-slope between points. Undefined terms count as none.
-    """
-    order = Window.partitionBy("slice_key", *by).orderBy("threshold")
+def _area(curve: str, method: str) -> Column:
+    """The area of one step, to the cells ``*_next`` of the next threshold; null where it is undefined."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    step = cells.withColumns({f"{c}_next": F.lead(c).over(order) for c in ("tp", "fp", "fn", "tn")}).where(F.col("tp_next").isNotNull())
     tp2, fp2, fn2, tn2 = (F.col(f"{c}_next") for c in ("tp", "fp", "fn", "tn"))
     ratio = lambda a, b: F.when(b > 0, a / b)
     if curve == "PR" and method == "interpolation":
         gone_tp, gone = tp - tp2, (tp + fp) - (tp2 + fp2)
-        slope = ratio(gone_tp, gone)
-        slope = F.coalesce(slope, F.lit(0.0))
+        slope = F.coalesce(ratio(gone_tp, gone), F.lit(0.0))
         cut = tp2 - slope * (tp2 + fp2)
         log = F.when((tp + fp > 0) & (tp2 + fp2 > 0), F.log((tp + fp) / (tp2 + fp2))).otherwise(0.0)
-        area = F.when(tp2 + fn2 > 0, slope * (gone_tp + cut * log) / (tp2 + fn2))
+        return F.when(tp2 + fn2 > 0, slope * (gone_tp + cut * log) / (tp2 + fn2))
+    if curve == "ROC":
+        x, x2, y, y2 = ratio(fp, fp + tn), ratio(fp2, fp2 + tn2), ratio(tp, tp + fn), ratio(tp2, tp2 + fn2)
     else:
-        if curve == "ROC":
-            x, x2, y, y2 = ratio(fp, fp + tn), ratio(fp2, fp2 + tn2), ratio(tp, tp + fn), ratio(tp2, tp2 + fn2)
-        else:
-            x, x2, y, y2 = ratio(tp, tp + fn), ratio(tp2, tp2 + fn2), ratio(tp, tp + fp), ratio(tp2, tp2 + fp2)
-        height = {"interpolation": (y + y2) / 2, "minoring": F.when(y.isNotNull() & y2.isNotNull(), F.least(y, y2)), "majoring": F.when(y.isNotNull() & y2.isNotNull(), F.greatest(y, y2))}[method]
-        area = (x - x2) * height
-    return step.groupBy("slice_key", *by).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("value"))
+        x, x2, y, y2 = ratio(tp, tp + fn), ratio(tp2, tp2 + fn2), ratio(tp, tp + fp), ratio(tp2, tp2 + fp2)
+    both = y.isNotNull() & y2.isNotNull()
+    return (x - x2) * {"interpolation": (y + y2) / 2, "minoring": F.when(both, F.least(y, y2)), "majoring": F.when(both, F.greatest(y, y2))}[method]
 
 
 #: Metrics that take the most of one rate where another one meets a bound: dependent rate, bounded rate, whether at least.
@@ -124,15 +117,60 @@ CONSTRAINED = {
 }
 
 
-def constrained(cells: DataFrame, name: str, bound: float | Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """``slice_key, *by, bound, value``: 0 where no threshold meets the bound."""
+def _best(name: str, bound: float) -> Column:
+    """The most of the dependent rate over thresholds that meet the bound; 0 where none does."""
     most, held, at_least = CONSTRAINED[name]
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     rates = {"tpr": div(tp, tp + fn), "tnr": div(tn, tn + fp), "fpr": div(fp, fp + tn), "precision": div(tp, tp + fp), "threshold": F.col("threshold")}
     d, c = rates[most], rates[held]
+    return F.coalesce(F.max(F.when(~F.isnan(c) & ~F.isnan(d) & ((c >= bound) if at_least else (c <= bound)), d)), F.lit(0.0))
+
+
+def summary(cells: DataFrame, areas: Mapping[str, tuple[str, str]] | None = None, bounds: Mapping[str, tuple[str, float]] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``slice_key, *by`` and a column for each area (curve, method) and each metric under a constraint (name, bound).
+
+    All of them are one aggregation over the cells: sums over the steps between thresholds and maxima over thresholds.
+    Areas are by trapezoids, or by the lesser or greater end of each step; PR by interpolation follows the log-slope
+    between points. Undefined terms count as none.
+    """
+    areas, bounds = areas or {}, bounds or {}
+    steps = cells
+    if areas:
+        order = Window.partitionBy("slice_key", *by).orderBy("threshold")
+        steps = cells.withColumns({f"{c}_next": F.lead(c).over(order) for c in ("tp", "fp", "fn", "tn")})
+    found = [F.coalesce(F.sum(F.when(F.col("tp_next").isNotNull(), _area(*a))), F.lit(0.0)).alias(n) for n, a in areas.items()]
+    return steps.groupBy("slice_key", *by).agg(*found, *(_best(*b).alias(n) for n, b in bounds.items()))
+
+
+def unpivot(frame: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``slice_key, *keep, metric, value``: a row for each named column."""
+    return frame.select("slice_key", *keep, F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in names))))
+
+
+def jackknife(cells: DataFrame, areas: Mapping[str, tuple[str, str]] | None = None, bounds: Mapping[str, tuple[str, float]] | None = None, samples: int = 20) -> DataFrame:
+    """``slice_key, metric, value, ...`` with intervals, from cells by a row's bucket ``__b``: a sample is the cells of all
+    rows less those of a bucket, so no row is looked at again."""
+    from metricloom.operators.confidence import interval
+
+    four = ("tp", "fp", "fn", "tn")
+    names = [*(areas or {}), *(bounds or {})]
+    whole = cells.groupBy("slice_key", "threshold").agg(*(F.sum(c).alias(c) for c in four))
+    lesser = cells.select("slice_key", "threshold", F.col("__b").cast("int").alias("__b"), *(F.col(c).alias(f"-{c}") for c in four))
+    each = whole.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).join(lesser, ["slice_key", "threshold", "__b"], "left")
+    left = each.select("slice_key", "threshold", "__b", *((F.col(c) - F.coalesce(F.col(f"`-{c}`"), F.lit(0.0))).alias(c) for c in four))
+    loose = unpivot(summary(left, areas, bounds, ["__b"]), names, ["__b"])
+    return interval(loose, unpivot(summary(whole, areas, bounds), names), F.stddev_samp("value") * ((samples - 1) / samples**0.5), samples)
+
+
+def auc(cells: DataFrame, curve: str = "ROC", method: str = "interpolation", by: Sequence[str] = ()) -> DataFrame:
+    """``slice_key, *by, value``: one area."""
+    return summary(cells, {"value": (curve, method)}, by=by)
+
+
+def constrained(cells: DataFrame, name: str, bound: float | Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``slice_key, *by, bound, value``: 0 where no threshold meets the bound."""
     bounds = [bound] if isinstance(bound, int | float) else list(bound)
-    meets = lambda v: ~F.isnan(c) & ~F.isnan(d) & ((c >= v) if at_least else (c <= v))
-    out = cells.groupBy("slice_key", *by).agg(*(F.coalesce(F.max(F.when(meets(v), d)), F.lit(0.0)).alias(f"v{i}") for i, v in enumerate(bounds)))
+    out = summary(cells, bounds={f"v{i}": (name, v) for i, v in enumerate(bounds)}, by=by)
     pairs = F.array(*(F.struct(F.lit(float(v)).alias("bound"), F.col(f"v{i}").alias("value")) for i, v in enumerate(bounds)))
     return out.select("slice_key", *by, F.inline(pairs))
 
@@ -162,7 +200,7 @@ def feature_sample(df: DataFrame, feature: str, wrong: str, threshold: float = 0
 
     The first by a hash of the value, so that the sample is the same for the same rows; each task keeps ``size`` values.
     """
-    hit = (F.col("prediction") > threshold) & (F.col("label") <= threshold) if wrong == "fp" else ~(F.col("prediction") > threshold) & (F.col("label") > threshold)
+    hit = above(F.col("prediction"), threshold) & (F.col("label") <= threshold) if wrong == "fp" else ~above(F.col("prediction"), threshold) & (F.col("label") > threshold)
     ranked = fan_out(df.where(hit), specs).groupBy("slice_key", feature).agg(F.count("*").alias("n")).withColumn("o", order if order is not None else F.xxhash64(feature))
     first = Window.partitionBy("slice_key").orderBy("o", feature)
     return ranked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= size).groupBy("slice_key").agg(F.array_sort(F.collect_list(feature)).alias("values"))

@@ -24,21 +24,24 @@ def matched(df: DataFrame, truth: str = "truth", found: str = "found", iou: Sequ
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     given = df.select(*(f"`{c}`" for c in rest), w.alias("weight"), F.col(truth).cast("array<array<double>>").alias("__t"), F.col(found).cast("array<array<double>>").alias("__d"))
     out = given.drop("__t", "__d")
-    schema = out.select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("iou", "double"), ("class_id", "int"), ("label", "double"), ("prediction", "double")))).schema
+    steps = sorted(set(map(float, iou)))
+    schema = out.select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("class_id", "int"), ("label", "double"), ("prediction", "double"), ("__first", "int"), ("__n", "int")))).schema
     fields, names = to_arrow_schema(schema), out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, (t, d) in enumerate(zip(batch.column("__t").to_pylist(), batch.column("__d").to_pylist(), strict=True)):
-                new = [(v, c, y, p) for c in classes for v, part in zip(iou, boxes.matches(t or [], d or [], tuple(iou), c, area, most), strict=True) for y, p in part]
+                new = [(c, y, p, first, n) for c in classes for first, n, part in boxes.outcomes(t or [], d or [], tuple(steps), c, area, most) for y, p in part]
                 at += [i] * len(new)
                 rows += new
             if rows:
                 kept = batch.select(names).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(fields)[-4:], strict=True))], schema=fields)
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(fields)[-5:], strict=True))], schema=fields)
 
-    return given.mapInArrow(run, schema)
+    # a run of thresholds with the same matches leaves Python as one row
+    each = F.explode(F.slice(F.lit(steps).cast("array<double>"), F.col("__first") + 1, F.col("__n"))).alias("iou")
+    return given.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in out.columns), each, "class_id", "label", "prediction")
 
 
 def stacked(columns: Sequence[str], count: str | None = None):

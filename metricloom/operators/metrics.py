@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import div, div_far, nan
+from metricloom.functions.scalars import above, div, div_far, nan
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,10 @@ def make(name: str, **params) -> Metric:
 
 def cell(kind: str, threshold: float) -> tuple[str, Callable[[Row], Column]]:
     """A cell's name and sum: positive above the threshold; a label between 0 and 1 counts in part for either class."""
-    above = kind in ("tp", "fp")
+    positive = kind in ("tp", "fp")
 
     def amount(r: Row) -> Column:
-        hit = r.prediction > threshold if above else ~(r.prediction > threshold)
+        hit = above(r.prediction, threshold) if positive else ~above(r.prediction, threshold)
         return F.when(hit, r.weight * (r.label if kind in ("tp", "fn") else 1 - r.label)).otherwise(0.0)
 
     return f"{kind}@{threshold:g}", amount
@@ -94,7 +94,7 @@ def _all(*cells: Column) -> Column:
     return out
 
 
-#: Point metrics by name, over the four cells.
+#: Names of point metrics, each over the four cells.
 POINTS: dict[str, Callable[..., Column]] = {
     "TruePositives": lambda tp, tn, fp, fn: tp,
     "TrueNegatives": lambda tp, tn, fp, fn: tn,
@@ -123,7 +123,7 @@ POINTS: dict[str, Callable[..., Column]] = {
     "DiagnosticOddsRatio": _odds,
     "PredictedPositiveRate": lambda tp, tn, fp, fn: div(tp + fp, _all(tp, tn, fp, fn)),
 }
-#: Other names of point metrics.
+#: Other names of point metrics.
 ALIASES = {
     "TP": "TruePositives", "TN": "TrueNegatives", "FP": "FalsePositives", "FN": "FalseNegatives", "PPV": "Precision", "TPR": "Recall",
     "TNR": "Specificity", "FPR": "FallOut", "FNR": "MissRate", "NPV": "NegativePredictiveValue",
@@ -321,7 +321,7 @@ def symmetric_prediction_difference() -> Metric:
 
 def _flip(kind: tuple[bool, bool], threshold: float) -> dict[str, Callable[[Row], Column]]:
     def amount(r: Row) -> Column:
-        before, after = r.other > threshold, r.prediction > threshold
+        before, after = above(r.other, threshold), above(r.prediction, threshold)
         return F.when((before if kind[0] else ~before) & (after if kind[1] else ~after), r.weight).otherwise(0.0)
 
     return {f"flip{int(kind[0])}{int(kind[1])}@{threshold:g}": amount}

@@ -136,17 +136,37 @@ def applies(key: Column, spec: SlicingSpec) -> Column:
     return out
 
 
+#: Columns of all specs up to which rows are first summed by all of them together.
+TOGETHER = 3
+
+
 def grouped_sums(df: DataFrame, specs: Sequence[SlicingSpec], states: dict[str, Column], by: Sequence[str] = (), kinds: dict[str, str] | None = None) -> DataFrame:
     """Sums (or ``min``, ``max`` by ``kinds``) of the states for each slice and the values of ``by``.
 
     Rows are first summed by the columns that slices need, then each of these few groups fans out to its slices: what
-    fans out is as large as the groups, not as the rows.
+    fans out is as large as the groups, not as the rows. Specs over few columns share one grouping. Many columns together
+    would make nearly as many groups as rows; then each set of columns that specs use is a grouping set of its own, and
+    its groups fan out to its own specs only.
     """
     kinds = kinds or {}
-    needed = sorted({c for s in specs for c in s.columns()} - set(by))
+    specs = tuple(dict.fromkeys(specs or (OVERALL,)))
     total = lambda name, c: getattr(F, kinds.get(name, "sum"))(c).alias(name)
-    first = df.groupBy(*(f"`{c}`" for c in [*needed, *by])).agg(*(total(n, c) for n, c in states.items()))
-    return fan_out(first, specs).groupBy("slice_key", *by).agg(*(total(n, F.col(f"`{n}`")) for n in states))
+    needed = sorted({c for s in specs for c in s.columns()} - set(by))
+    quoted = lambda names: [f"`{c}`" for c in names]
+    sets = list(dict.fromkeys(tuple(sorted(s.columns() - set(by))) for s in specs))
+    if len(needed) <= TOGETHER or len(sets) == 1 or any(s.sql for s in specs):  # two specs by SQL may name one slice
+        first = df.groupBy(*quoted([*needed, *by])).agg(*(total(n, c) for n, c in states.items()))
+        return fan_out(first, specs).groupBy("slice_key", *by).agg(*(total(n, F.col(f"`{n}`")) for n in states))
+    columns = [*needed, *by]
+    first = df.select(*quoted(columns), *(c.alias(n) for n, c in states.items())).groupingSets([quoted([*s, *by]) for s in sets], *quoted(columns))
+    first = first.agg(*(total(n, F.col(f"`{n}`")) for n in states), F.grouping_id().alias("__set"))
+    place = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
+    keys = None
+    for own in sets:  # a grouping's number has a bit for each column that is not in it
+        number = sum(p for c, p in place.items() if c not in own and c not in by)
+        mine = slice_keys(first, [s for s in specs if tuple(sorted(s.columns() - set(by))) == own])
+        keys = F.when(F.col("__set") == number, mine) if keys is None else keys.when(F.col("__set") == number, mine)
+    return first.withColumn("slice_key", F.explode(keys)).groupBy("slice_key", *by).agg(*(total(n, F.col(f"`{n}`")) for n in states))
 
 
 def hide_small(results: DataFrame, counts: DataFrame, least: int, value: str = "value") -> DataFrame:
@@ -156,7 +176,7 @@ def hide_small(results: DataFrame, counts: DataFrame, least: int, value: str = "
     """
     joined = results.join(counts.select("slice_key", F.col("n").alias("__n")), "slice_key", "left")
     small = (F.coalesce("__n", F.lit(0)) < least) & (F.size("slice_key") > 0)
-    message = F.lit(f"Example count for this slice key is lower than the minimum required value: {least}. No data is aggregated for this slice.")
+    message = F.lit(f"hidden: fewer than {least} rows")
     return joined.withColumn(value, F.when(~small, F.col(value))).withColumn("error", F.when(small, message)).drop("__n")
 
 

@@ -46,28 +46,37 @@ def validate(results: DataFrame, thresholds: Sequence[Threshold]) -> DataFrame:
     """``metric, model, threshold, slice_key, value, ok, message``: a row for each slice of each threshold's spec, and one
     for each threshold that meets no slice or no metric.
 
-    ``results``: ``slice_key, metric, model, value`` and, for changes, ``change`` against the baseline model.
+    ``results``: ``slice_key, metric, model, value`` and, for changes, ``change`` against the baseline model. Each result
+    is held against all thresholds at once, so the results are read once, and once more for thresholds that met none.
     """
+    if not thresholds:
+        raise ValueError("no thresholds: everything would pass unseen")
     if "change" not in results.columns:
         results = results.withColumn("change", F.lit(None).cast("double"))
-    out = None
+    tests = []
     for i, t in enumerate(thresholds):
-        here = results.where((F.col("metric") == t.metric) & (F.col("model") == t.model) & applies(F.col("slice_key"), t.spec))
-        ok = _passes(t, F.col("value"), F.col("change"))
-        met = here.select("metric", "model", F.lit(i).alias("threshold"), "slice_key", "value", ok.alias("ok"), F.when(~ok, F.lit("Metric value is outside its bounds.")).alias("message"))
-        none = here.agg(F.count("*").alias("n")).where("n = 0").select(
-            F.lit(t.metric).alias("metric"), F.lit(t.model).alias("model"), F.lit(i).alias("threshold"), F.lit(None).cast(results.schema["slice_key"].dataType).alias("slice_key"),
-            F.lit(None).cast("double").alias("value"), F.lit(False).alias("ok"), F.lit("Metric not found.").alias("message"),
-        )
-        one = met.unionAll(none)
-        out = one if out is None else out.unionAll(one)
-    if out is None:
-        raise ValueError("no thresholds: everything would pass unseen")
-    return out
+        here = (F.col("metric") == t.metric) & (F.col("model") == t.model) & applies(F.col("slice_key"), t.spec)
+        tests.append(F.when(here, F.struct(F.lit(i).alias("threshold"), _passes(t, F.col("value"), F.col("change")).alias("ok"))))
+    met = results.select("metric", "model", "slice_key", "value", F.inline(F.array_compact(F.array(*tests))))
+    met = met.select("metric", "model", "threshold", "slice_key", "value", "ok", F.when(~F.col("ok"), F.lit("the value breaks the threshold")).alias("message"))
+    seen = met.agg(F.collect_set("threshold").alias("seen"))
+    wanted = F.array(*(F.struct(F.lit(t.metric).alias("metric"), F.lit(t.model).alias("model"), F.lit(i).alias("threshold")) for i, t in enumerate(thresholds)))
+    missing = seen.select(F.inline(F.filter(wanted, lambda w: ~F.array_contains("seen", w["threshold"])))).select(
+        "metric", "model", "threshold", F.lit(None).cast(results.schema["slice_key"].dataType).alias("slice_key"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("ok"),
+        F.lit("no result for this threshold").alias("message"),
+    )
+    return met.unionAll(missing)
+
+
+def missing_slices(results: DataFrame, specs: Sequence[SlicingSpec]) -> DataFrame:
+    """``spec``: numbers of the specs to which no slice of the results belongs."""
+    belongs = F.filter(F.array(*(F.struct(F.lit(i).alias("spec"), applies(F.col("slice_key"), s).alias("in")) for i, s in enumerate(specs))), lambda x: x["in"])
+    seen = results.select(F.explode(F.transform(belongs, lambda x: x["spec"])).alias("spec")).agg(F.collect_set("spec").alias("seen"))
+    return seen.select(F.explode(F.array_except(F.array(*map(F.lit, range(len(specs)))), "seen")).alias("spec"))
 
 
 def verdict(validations: DataFrame) -> DataFrame:
-    """One row: whether all passed, and how many did not."""
+    """One row: whether all passed, how many did not, and how many thresholds met no result."""
     return validations.agg(F.bool_and("ok").alias("ok"), F.count(F.when(~F.col("ok"), 1)).alias("failures"), F.count(F.when(F.col("slice_key").isNull(), 1)).alias("missing"))
 
 

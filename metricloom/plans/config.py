@@ -22,8 +22,33 @@ class ModelSpec:
 
 @dataclass(frozen=True)
 class MetricConfig:
+    """A metric; for dense arrays of labels and predictions also how classes become rows.
+
+    ``class_ids``: each class against the rest; ``ks``: the k-th best prediction; ``top_ks``: the best k predictions.
+    ``average`` puts the values of ``class_ids`` together (``macro``, ``weighted_macro`` by positives, ``micro``), weighted
+    by ``class_weights`` if they are given.
+    """
+
     name: str
     params: dict = field(default_factory=dict)
+    class_ids: tuple[int, ...] = ()
+    ks: tuple[int, ...] = ()
+    top_ks: tuple[int, ...] = ()
+    average: str | None = None
+    class_weights: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for name in ("class_ids", "ks", "top_ks"):
+            object.__setattr__(self, name, tuple(getattr(self, name)))
+        object.__setattr__(self, "class_weights", {int(k): float(v) for k, v in self.class_weights.items()})
+        if self.average and (self.average not in ("macro", "weighted_macro", "micro") or not self.class_ids or self.ks or self.top_ks):
+            raise ValueError("an average is macro, weighted_macro or micro, over class_ids")
+        if self.class_weights and not self.average:
+            raise ValueError("class weights are for averages")
+
+    @property
+    def keyed(self) -> bool:
+        return bool(self.class_ids or self.ks or self.top_ks)
 
 
 @dataclass(frozen=True)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.inputs import weight_or_one
-from metricloom.operators import confidence, curves, slicing, validation
+from metricloom.functions.scalars import div
+from metricloom.operators import confidence, curves, ranking, slicing, textscores, validation
 from metricloom.operators.metrics import PAIRED, Metric, Row, make
-from metricloom.plans.config import EvalConfig, ModelSpec
+from metricloom.plans.config import EvalConfig, MetricConfig, ModelSpec, Options
 
 
 #: Metrics of whole curves; their values come from a histogram of predictions.
@@ -34,7 +35,7 @@ def plan(config: EvalConfig) -> Plan:
     for model in config.models:
         prefix = f"{model.name}/" if model.name else ""
         for wanted in config.metrics:
-            if wanted.name in CURVES:
+            if wanted.name in CURVES or wanted.name in FAMILIES or wanted.keyed:
                 continue
             metric = make(wanted.name, **wanted.params)
             if metric.name in PAIRED:
@@ -74,29 +75,132 @@ def _long(frame: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     return frame.select("slice_key", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(n).alias("metric"), column(m, n).cast("double").alias("value")) for m, n in names))))
 
 
+def _curve_names(config: EvalConfig) -> dict[int, tuple[dict, dict]]:
+    """Wanted areas and metrics under constraints by name, for each number of thresholds."""
+    out: dict[int, tuple[dict, dict]] = {}
+    for wanted in config.metrics:
+        if wanted.name in CURVES and not wanted.keyed:
+            areas, bounds = out.setdefault(wanted.params.get("num_thresholds", 200), ({}, {}))
+            if wanted.name in curves.CONSTRAINED:
+                bounds[f"{wanted.name}@{wanted.params['bound']:g}"] = (wanted.name, wanted.params["bound"])
+            else:
+                curve = "PR" if wanted.name == "AUCPrecisionRecall" else wanted.params.get("curve", "ROC")
+                areas["AUC" if curve == "ROC" else "AUCPrecisionRecall"] = (curve, wanted.params.get("method", "interpolation"))
+    return out
+
+
 def curve_metrics(df: DataFrame, config: EvalConfig) -> DataFrame | None:
-    """``slice_key, model, metric, value`` of the configured curve metrics: one histogram for each model.
+    """``slice_key, model, metric, value`` of the configured curve metrics, with intervals by jackknife if they are wanted.
 
-    Parameters: ``num_thresholds`` (200), ``curve`` and ``method`` of AUC, ``bound`` of metrics under a constraint.
+    Each model has one histogram, and all its metrics at one number of thresholds are one aggregation. A sample of the
+    jackknife is the cells of all rows less those of a bucket. Parameters: ``num_thresholds`` (200), ``curve`` and
+    ``method`` of AUC, ``bound`` of metrics under a constraint.
     """
+    wanted, out, options = _curve_names(config), None, config.options
+    jack = options.intervals == "jackknife"
+    for model in config.models if wanted else ():
+        row = _row(model, None)
+        needed = sorted({c for s in config.slices for c in s.columns()})
+        by = ["__b"] if jack else []
+        bucket = [confidence.hashed_bucket(_identity(df, options), options.samples, options.seed).cast("int").alias("__b")] if jack else []
+        rows = df.select(*(f"`{c}`" for c in needed), row.label.cast("double").alias("__label"), row.prediction.cast("double").alias("__prediction"), row.weight.alias("__weight"), *bucket)
+        hist = curves.histogram(rows, config.slices, by=by, label="__label", prediction="__prediction", weight="__weight")
+        for count, (areas, bounds) in wanted.items():
+            cells = curves.matrices(hist, curves.interpolated_thresholds(count), by=by)
+            names = [*areas, *bounds]
+            if jack:
+                one = curves.jackknife(cells, areas, bounds, options.samples)
+            else:
+                one = curves.unpivot(curves.summary(cells, areas, bounds), names)
+            one = one.withColumn("model", F.lit(model.name))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _identity(df: DataFrame, options: Options) -> list[str]:
+    return list(options.identity) or [c for c, t in df.dtypes if not t.startswith("map")]
+
+
+def _ndcg(df: DataFrame, specs, params: dict) -> DataFrame:
+    ks = params.get("ks", (1,))
+    found = ranking.ndcg(df, params["query"], params["gain"], tuple(ks), "__prediction", "__weight", specs, params.get("order", ()))
+    return found.select("slice_key", F.concat(F.lit("NDCG@"), F.col("k").cast("string")).alias("metric"), "value")
+
+
+def _min_label_position(df: DataFrame, specs, params: dict) -> DataFrame:
+    found = ranking.min_label_position(df, params["query"], "__label", "__prediction", "__weight", specs, params.get("order", ()))
+    return found.select("slice_key", F.lit("MinLabelPosition").alias("metric"), "value")
+
+
+def _query_statistics(df: DataFrame, specs, params: dict) -> DataFrame:
+    names = ["total_queries", "total_documents", "min_documents", "max_documents"]
+    return curves.unpivot(ranking.query_statistics(df, params["query"], "__weight", specs), names)
+
+
+def _bleu(df: DataFrame, specs, params: dict) -> DataFrame:
+    found = textscores.bleu(df, "__label", "__prediction", specs, **params)
+    return found.select("slice_key", F.lit("BLEU").alias("metric"), "value")
+
+
+def _rouge(df: DataFrame, specs, params: dict) -> DataFrame:
+    kind = params.get("rouge_type", "rouge1")
+    found = textscores.rouge(df, kind, "__label", "__prediction", specs, "__weight")
+    return curves.unpivot(found.select("slice_key", *(F.col(c).alias(f"{kind}/{c}") for c in ("precision", "recall", "fmeasure"))), [f"{kind}/{c}" for c in ("precision", "recall", "fmeasure")])
+
+
+#: Metrics that are no expressions over sums of rows; each takes rows with ``__label``, ``__prediction``, ``__weight``,
+#: the slices and its parameters, and gives ``slice_key, metric, value``.
+FAMILIES = {"NDCG": _ndcg, "MinLabelPosition": _min_label_position, "QueryStatistics": _query_statistics, "BLEU": _bleu, "ROUGE": _rouge}
+
+
+def family_metrics(df: DataFrame, config: EvalConfig) -> DataFrame | None:
+    """``slice_key, model, metric, value`` of rankings and text scores."""
     out = None
     for model in config.models:
-        row, hist = _row(model, None), None
         for wanted in config.metrics:
-            if wanted.name not in CURVES:
-                continue
-            if hist is None:
-                needed = sorted({c for s in config.slices for c in s.columns()})
-                rows = df.select(*(f"`{c}`" for c in needed), row.label.cast("double").alias("__label"), row.prediction.cast("double").alias("__prediction"), row.weight.alias("__weight"))
-                hist = curves.histogram(rows, config.slices, label="__label", prediction="__prediction", weight="__weight")
-            given = dict(wanted.params)
-            cells = curves.matrices(hist, curves.interpolated_thresholds(given.pop("num_thresholds", 200)))
-            if wanted.name in curves.CONSTRAINED:
-                one, name = curves.constrained(cells, wanted.name, given["bound"]).drop("bound"), f"{wanted.name}@{given['bound']:g}"
-            else:
-                curve = "PR" if wanted.name == "AUCPrecisionRecall" else given.get("curve", "ROC")
-                one, name = curves.auc(cells, curve, given.get("method", "interpolation")), wanted.name if curve == "ROC" else "AUCPrecisionRecall"
-            one = one.select("slice_key", F.lit(model.name).alias("model"), F.lit(name).alias("metric"), "value")
+            if wanted.name in FAMILIES:
+                row = _row(model, None)
+                rows = df.withColumns({"__label": row.label, "__prediction": row.prediction, "__weight": row.weight})
+                one = FAMILIES[wanted.name](rows, config.slices, wanted.params).withColumn("model", F.lit(model.name))
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
+def keyed_metrics(df: DataFrame, config: EvalConfig) -> DataFrame | None:
+    """``slice_key, model, metric, sub_key, value`` of metrics over classes: a class, the k-th best, the best k, an average.
+
+    Rows of one model and one choice of sub-keys are made once for all metrics that share it.
+    """
+    groups: dict[tuple, list] = {}
+    for wanted in config.metrics:
+        if wanted.keyed:
+            groups.setdefault((wanted.class_ids, wanted.ks, wanted.top_ks, wanted.average, tuple(sorted(wanted.class_weights.items()))), []).append(wanted)
+    out = None
+    for (classes, ks, top_ks, how, weights), wanted in groups.items():
+        for model in config.models:
+            row = _row(model, None)
+            arrays = df.withColumns({"__label": row.label, "__prediction": row.prediction, "__weight": row.weight})
+            rows = binarized(arrays, classes, ks, top_ks, "__label", "__prediction")
+            if how == "micro" and weights:
+                table = F.create_map(*(F.lit(x) for c, v in weights for x in (f"class:{c}", v)))
+                rows = rows.withColumn("__weight", F.col("__weight") * F.coalesce(F.try_element_at(table, F.col("sub_key")), F.lit(0.0)))
+            plain = [MetricConfig(w.name, w.params) for w in wanted]
+            inner = EvalConfig((ModelSpec("__label", "__prediction", "__weight"),), config.slices, tuple(plain))
+            by = [] if how == "micro" else ["sub_key"]
+            if how in ("macro", "weighted_macro"):
+                inner = replace(inner, metrics=(*plain, MetricConfig("ExampleCount"), MetricConfig("MeanLabel")))
+            found = wide(rows, inner, by)
+            names = [make(m.name, **m.params).name for m in plain]
+            if how in ("macro", "weighted_macro"):
+                weight = F.lit(1.0)
+                if weights:
+                    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for c, v in weights for x in (f"class:{c}", v))), F.col("sub_key")), F.lit(0.0))
+                if how == "weighted_macro":
+                    weight = weight * F.col("ExampleCount") * F.col("MeanLabel")
+                valued = found.withColumn("__w", weight)
+                found = valued.groupBy("slice_key").agg(*(div(F.sum(F.when(F.col("__w") != 0, F.col(f"`{n}`") * F.col("__w")).otherwise(0.0)), F.sum("__w")).alias(n) for n in names))
+            one = curves.unpivot(found, names, [] if how else ["sub_key"])
+            one = (one.withColumn("sub_key", F.lit(how)) if how else one).withColumn("model", F.lit(model.name))
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -127,8 +231,12 @@ def _sub_key(name: str):
 
 def model_differences(metrics: DataFrame, baseline: str) -> DataFrame:
     """``change``: a candidate's value less the baseline's of the same slice and metric; null for the baseline."""
-    base = metrics.where(F.col("model") == baseline).select("slice_key", "metric", F.col("value").alias("__b"))
-    return metrics.join(base, ["slice_key", "metric"], "left").withColumn("change", F.when((F.col("model") != baseline) & ~F.col("metric").isin(*PAIRED), F.col("value") - F.col("__b"))).drop("__b")
+    keys = ["slice_key", "metric"] + (["sub_key"] if "sub_key" in metrics.columns else [])
+    named = [F.coalesce("sub_key", F.lit("")).alias("__sub") if k == "sub_key" else F.col(k) for k in keys]
+    base = metrics.where(F.col("model") == baseline).select(*named, F.col("value").alias("__b"))
+    on = ["__sub" if k == "sub_key" else k for k in keys]
+    own = metrics.withColumn("__sub", F.coalesce("sub_key", F.lit(""))) if "__sub" in on else metrics
+    return own.join(base, on, "left").drop("__sub").withColumn("change", F.when((F.col("model") != baseline) & ~F.col("metric").isin(*PAIRED), F.col("value") - F.col("__b"))).drop("__b")
 
 
 def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
@@ -138,7 +246,7 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
     p, options = plan(config), config.options
     names = list(p.values)
     if options.intervals and names:
-        identity = list(options.identity) or [c for c, t in df.dtypes if not t.startswith("map")]
+        identity = _identity(df, options)
         values = {f"{m}\x00{n}": v for (m, n), v in p.values.items()}
         if options.intervals == "jackknife":
             found = confidence.jackknife(df, p.states, values, confidence.hashed_bucket(identity, options.samples, options.seed), config.slices, options.samples)
@@ -148,9 +256,9 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
         metrics = found.withColumns({"model": parts[0], "metric": parts[1]})
     else:
         metrics = _long(wide(df, config), names) if names else None
-    curved = curve_metrics(df, config)
-    if curved is not None:
-        metrics = curved if metrics is None else metrics.unionByName(curved, allowMissingColumns=True)
+    for more in (curve_metrics(df, config), family_metrics(df, config), keyed_metrics(df, config)):
+        if more is not None:
+            metrics = more if metrics is None else metrics.unionByName(more, allowMissingColumns=True)
     if metrics is None:
         raise ValueError("there are no metrics")
     if config.baseline:

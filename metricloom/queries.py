@@ -203,13 +203,8 @@ AREAS = {f"roc_{k}": f"({X} - {X2}) * {e(Y, Y2)}" for k, e in ENDS.items()} | {f
 
 @query("auc", f"WITH {HIST}{TH200}{CELLS}{STEPS} SELECT slice, " + ", ".join(f"round(coalesce(sum(CASE WHEN tp2 IS NOT NULL THEN {a} END), 0), 6) AS {n}" for n, a in AREAS.items()) + " FROM p GROUP BY slice")
 def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sliced_cells(spark, sf_dir)
-    out = None
-    for name in AREAS:
-        curve, method = name.split("_")
-        one = curves.auc(found, curve.upper(), method).withColumnRenamed("value", name)
-        out = one if out is None else out.join(one, "slice_key")
-    return shown(out, list(AREAS))
+    wanted = {name: (name.split("_")[0].upper(), name.split("_")[1]) for name in AREAS}
+    return shown(curves.summary(sliced_cells(spark, sf_dir), wanted), list(AREAS))
 
 
 BOUNDS = {"SensitivityAtSpecificity": 0.4, "SpecificityAtSensitivity": 0.4, "PrecisionAtRecall": 0.3, "RecallAtPrecision": 0.2, "RecallAtFalsePositiveRate": 0.35, "ThresholdAtRecall": 0.6}
@@ -218,12 +213,7 @@ RATE_SQL = {"tpr": over("tp", "tp + fn"), "tnr": over("tn", "tn + fp"), "fpr": o
 
 @query("metrics_under_constraints", f"WITH {HIST}{TH200}{CELLS} SELECT slice, " + ", ".join(f"round(coalesce(max(CASE WHEN ({RATE_SQL[c]}) {'>=' if ge else '<='} {BOUNDS[n]} THEN {RATE_SQL[d]} END), 0), 6) AS \"{n}\"" for n, (d, c, ge) in curves.CONSTRAINED.items()) + " FROM m GROUP BY slice")
 def metrics_under_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sliced_cells(spark, sf_dir)
-    out = None
-    for name, bound in BOUNDS.items():
-        one = curves.constrained(found, name, bound).drop("bound").withColumnRenamed("value", name)
-        out = one if out is None else out.join(one, "slice_key")
-    return shown(out, list(BOUNDS))
+    return shown(curves.summary(sliced_cells(spark, sf_dir), bounds={n: (n, b) for n, b in BOUNDS.items()}), list(BOUNDS))
 
 
 TH100 = ", th AS (SELECT -1e-6 AS t UNION ALL SELECT i / CAST(100 AS DOUBLE) FROM range(101) r(i))"
@@ -609,6 +599,50 @@ def evaluated_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(examples(spark, sf_dir), config)["metrics"].select("slice", "metric", F.round(null_if_nan(F.col("value")), 6).alias("value"))
 
 
+CONFIGURED_SQL = f"""WITH {CLASS_CELLS}, v AS (SELECT c, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r, tp + fn AS n, tp, fp, fn FROM k)
+SELECT 'Precision@0.1' AS metric, 'class:' || c AS sub_key, round(p, 6) AS value FROM v WHERE c IN (1, 4)
+UNION ALL SELECT 'Recall@0.1', 'macro', round(avg(r), 6) FROM v UNION ALL SELECT 'Recall@0.1', 'weighted_macro', round(sum(r * n) / sum(n), 6) FROM v
+UNION ALL SELECT 'Recall@0.1', 'micro', round(sum(tp) / sum(tp + fn), 6) FROM v UNION ALL SELECT 'ExampleCount', NULL, CAST(count(*) AS DOUBLE) FROM embeddings"""
+
+
+@query("configured_classes", CONFIGURED_SQL)
+def configured_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two classes, three kinds of averages and a plain count by one configuration."""
+    ten, at = tuple(range(10)), {"threshold": 0.1}
+    averages = tuple(MetricConfig("Recall", at, ten, average=how) for how in ("macro", "weighted_macro", "micro"))
+    config = EvalConfig((ModelSpec("hot", "prediction"),), (OVERALL,), (MetricConfig("ExampleCount"), MetricConfig("Precision", at, (1, 4)), *averages))
+    return evaluate(scored(spark, sf_dir), config)["metrics"].select("metric", "sub_key", F.round(null_if_nan(F.col("value")), 6).alias("value"))
+
+
+@query("configured_ranking", f"WITH {RANKED}, q AS (SELECT l_orderkey, sum(CASE WHEN n <= 3 THEN l_quantity / log2(n + 1) ELSE 0 END) / sum(CASE WHEN m <= 3 THEN l_quantity / log2(m + 1) ELSE 0 END) AS v, min(CASE WHEN label > 0 THEN n END) AS f FROM r GROUP BY l_orderkey), s AS (SELECT DISTINCT 'l_linestatus:' || l_linestatus AS slice, l_orderkey FROM base UNION ALL SELECT 'Overall', l_orderkey FROM q) SELECT slice, 'NDCG@3' AS metric, round(avg(v), 6) AS value FROM s JOIN q USING (l_orderkey) GROUP BY slice UNION ALL SELECT slice, 'MinLabelPosition', round(avg(f), 6) FROM s JOIN q USING (l_orderkey) GROUP BY slice")
+def configured_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two metrics over queries, sliced, by one configuration."""
+    metrics = (MetricConfig("NDCG", {"query": "l_orderkey", "gain": "l_quantity", "ks": [3], "order": list(ORDERED)}), MetricConfig("MinLabelPosition", {"query": "l_orderkey", "order": list(ORDERED)}))
+    config = EvalConfig((ModelSpec(MODELS["label"], "score"),), SPECS[:2], metrics)
+    return evaluate(examples(spark, sf_dir), config)["metrics"].select("slice", "metric", F.round(null_if_nan(F.col("value")), 6).alias("value"))
+
+
+CURVE_JK = f"""WITH {SLICED}, b AS (
+  SELECT slice, {JK} AS g, CAST(CASE WHEN prediction >= 1 THEN 10001 WHEN prediction < 0 THEN 0 ELSE floor(prediction * 10000) + 1 END AS BIGINT) AS bucket, sum(weight) AS w, sum(weight * label) AS wl FROM sl GROUP BY 1, 2, 3){TH200},
+c AS (SELECT slice, g, t, sum(CASE WHEN up THEN wl ELSE 0 END) AS tp, sum(CASE WHEN up THEN w - wl ELSE 0 END) AS fp, sum(CASE WHEN up THEN 0 ELSE wl END) AS fn, sum(CASE WHEN up THEN 0 ELSE w - wl END) AS tn
+  FROM (SELECT *, bucket > 0 AND (bucket - 1) / CAST(10000 AS DOUBLE) + 1e-12 >= t AS up FROM b, th) GROUP BY 1, 2, 3),
+a AS (SELECT slice, t, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM c GROUP BY 1, 2),
+m AS (SELECT a.slice, i AS g, a.t, a.tp - coalesce(c.tp, 0) AS tp, a.fp - coalesce(c.fp, 0) AS fp, a.fn - coalesce(c.fn, 0) AS fn, a.tn - coalesce(c.tn, 0) AS tn FROM a CROSS JOIN range(20) r(i) LEFT JOIN c ON c.slice = a.slice AND c.t = a.t AND c.g = i
+  UNION ALL SELECT slice, -1, t, tp, fp, fn, tn FROM a),
+p AS (SELECT *, lead(tp) OVER o AS tp2, lead(fp) OVER o AS fp2, lead(fn) OVER o AS fn2, lead(tn) OVER o AS tn2 FROM m WINDOW o AS (PARTITION BY slice, g ORDER BY t)),
+v AS (SELECT slice, g, coalesce(sum(CASE WHEN tp2 IS NOT NULL THEN {AREAS['roc_interpolation']} END), 0) AS v FROM p GROUP BY 1, 2)
+SELECT slice, 'AUC' AS metric, round(max(CASE WHEN g = -1 THEN v END), 6) AS value, round(stddev_samp(CASE WHEN g >= 0 THEN v END) * 19 / sqrt(20), 6) AS standard_error FROM v GROUP BY slice"""
+
+
+@query("curve_intervals", CURVE_JK)
+def curve_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jackknife of an area: a sample's cells are those of all rows less a bucket's."""
+    df = examples(spark, sf_dir)
+    cells = curves.matrices(curves.histogram(df.withColumn("__b", F.expr(JK)), SPECS, by=["__b"]), curves.interpolated_thresholds(200), by=["__b"])
+    found = curves.jackknife(cells, {"AUC": ("ROC", "interpolation")}, samples=20)
+    return shown(found, ["value", "standard_error"], keep=("metric",))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long table of common metrics for all slices."""
     config = EvalConfig((ModelSpec(MODELS["label"], "score", "l_quantity"),), SPECS, tuple(MetricConfig(n) for n in ("ExampleCount", "MeanLabel", "MeanPrediction", "Calibration", "BinaryAccuracy", "Precision", "Recall")))

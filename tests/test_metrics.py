@@ -135,18 +135,19 @@ def test_curves(spark):
     rows = [(float(rng.random() < 0.4), rng.randrange(1000) / 1000 + 0.0005, float(rng.randrange(1, 4))) for _ in range(400)]
     frame = spark.createDataFrame([*rows, (1.0, None, 1.0), (1.0, float("nan"), 1.0)], "label double, prediction double, weight double")
     hist = curves.histogram(frame)
+    rows.append((1.0, -1.0, 1.0))  # NaN is below every threshold, a null prediction isn't there
     assert hist.agg(F.sum("w")).first()[0] == sum(w for *_, w in rows)
     many = curves.matrices(hist, [i / 10_000 for i in range(-1, 10_002)])
     assert curves.auc(many).first().value == pytest.approx(brute_auc(rows), abs=1e-6)
     few = curves.matrices(hist, [0.1, 0.5, 0.9])
-    exact = {r.threshold: r for r in curves.exact_matrices(frame.where("prediction is not null and not isnan(prediction)"), [0.1, 0.5, 0.9]).collect()}
+    exact = {r.threshold: r for r in curves.exact_matrices(frame, [0.1, 0.5, 0.9]).collect()}
     for r in few.collect():
         assert (r.tp, r.fp, r.fn, r.tn) == (exact[r.threshold].tp, exact[r.threshold].fp, exact[r.threshold].fn, exact[r.threshold].tn)
     cells = curves.matrices(hist, curves.interpolated_thresholds(200))
     low, mid, high = (curves.auc(cells, "ROC", m).first().value for m in ("minoring", "interpolation", "majoring"))
     assert low < mid < high and abs(mid - brute_auc(rows)) < 0.01
     got = curves.constrained(cells, "RecallAtPrecision", [0.0, 2.0]).collect()
-    assert {r.bound: r.value for r in got} == {0.0: 1.0, 2.0: 0.0}
+    assert {r.bound: r.value for r in got} == {0.0: pytest.approx(1 - 1 / sum(w for y, _, w in rows if y)), 2.0: 0.0}
     plot = {round(r.lower, 3): r for r in curves.calibration_plot(hist, points=10).collect()}
     assert sum(r.w for r in plot.values()) == sum(w for *_, w in rows)
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import confidence, slicing, validation
+from metricloom.operators import confidence, curves, slicing, validation
 from metricloom.operators.slicing import OVERALL, SlicingSpec
 from metricloom.plans.config import CrossSlicingSpec, EvalConfig, MetricConfig, ModelSpec, Options, binary_metrics, multiclass_metrics, regression_metrics
 from metricloom.plans.evaluate import evaluate, lookup, pivoted
@@ -70,7 +70,7 @@ def test_evaluation_of_two_models(frame):
     assert got["Overall", "new", "MeanPrediction"].value == pytest.approx(new) and got["Overall", "new", "MeanPrediction"].change == pytest.approx(2 * new - 1)
     assert got["Overall", "old", "MeanPrediction"].change is None and got["Overall", "new", "SymmetricFlipRate"].change is None
     assert ("Overall", "old", "SymmetricFlipRate") not in got
-    assert got["gender:m", "new", "MeanPrediction"].value is None and "minimum" in got["gender:m", "new", "MeanPrediction"].error
+    assert got["gender:m", "new", "MeanPrediction"].value is None and "fewer than 2 rows" in got["gender:m", "new", "MeanPrediction"].error
     crossed = [r for r in out["cross_slices"].collect() if r.model == "new" and r.metric == "MeanPrediction" and r.value is not None]
     assert len(crossed) == 1 and crossed[0].value == pytest.approx(new - 1.4 / 5)
     table = {(r.slice, r.model): r for r in pivoted(out["metrics"], ["MeanPrediction"]).collect()}
@@ -97,7 +97,7 @@ def test_validation(spark, frame):
     out = evaluate(frame, EvalConfig(models, (OVERALL,), (MetricConfig("MeanPrediction"), MetricConfig("Calibration")), thresholds=thresholds))["validations"]
     rows = {r.threshold: r for r in out.collect()}
     assert [rows[i].ok for i in range(7)] == [True, False, True, False, False, False, False]
-    assert rows[5].message == rows[6].message == "Metric not found."
+    assert rows[5].message == rows[6].message == "no result for this threshold"
     v = validation.verdict(out)
     assert tuple(v.first()) == (False, 5, 2) and tuple(validation.merge([v, v]).first()) == (False, 10, 4)
     with pytest.raises(ValueError, match="unseen"):
@@ -179,3 +179,56 @@ def test_curves_and_sub_keys_by_configuration(spark):
     arrays = spark.createDataFrame([([0.0, 1.0, 0.0], [0.2, 0.5, 0.3]), ([1.0, 0.0, 0.0], [0.1, 0.2, 0.7])], "label array<double>, prediction array<double>")
     found = {r.sub_key: r for r in wide(binarized(arrays, (1,), (1, 2), (2,)), EvalConfig(metrics=(MetricConfig("TruePositives", {"threshold": 0.15}), MetricConfig("FalsePositives", {"threshold": 0.15}))), ["sub_key"]).collect()}
     assert {k: (r["TruePositives@0.15"], r["FalsePositives@0.15"]) for k, r in found.items()} == {"class:1": (1, 1), "k:1": (1, 1), "k:2": (0, 2), "top_k:2": (1, 3)}
+
+
+def test_grouping_sets_give_the_same_sums(spark):
+    rows = [(i % 3, i % 5, i % 2, None if i % 7 == 0 else i % 4, [i % 2, i % 3], float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, tags array<int>, x double")
+    specs = (OVERALL, SlicingSpec(("a",)), SlicingSpec(("b", "c")), SlicingSpec(("d",), {"a": 1}), SlicingSpec(("tags",)), SlicingSpec(("a",)))
+    few = [slicing.grouped_sums(df, (s,), {"x": F.col("x"), "n": F.lit(1)}) for s in specs[:5]]
+    wanted = sorted((str(r.slice_key), r.x, r.n) for f in few for r in f.collect())
+    assert sorted((str(r.slice_key), r.x, r.n) for r in slicing.grouped_sums(df, specs, {"x": F.col("x"), "n": F.lit(1)}).collect()) == wanted
+    by = slicing.grouped_sums(df, specs, {"n": F.lit(1)}, by=["c"])
+    assert sum(r.n for r in by.collect() if not r.slice_key) == 60 and by.where("size(slice_key) = 2 and slice_key[1].key = 'c'").count() == 10
+
+
+def test_configured_classes_rankings_and_texts(spark):
+    rows = [([0.0, 1.0, 0.0], [0.2, 0.5, 0.3], "q", 2.0, "a b c d", ["a b c d"]), ([1.0, 0.0, 0.0], [0.1, 0.2, 0.7], "q", 1.0, "a b", ["x y"])]
+    df = spark.createDataFrame(rows, "label array<double>, prediction array<double>, q string, gain double, text string, refs array<string>")
+    at = {"threshold": 0.15}
+    config = EvalConfig(metrics=(MetricConfig("Recall", at, (0, 1, 2)), MetricConfig("Recall", at, (0, 1, 2), average="macro", class_weights={0: 1, 1: 3}), MetricConfig("Precision", at, (0, 1), average="micro"), MetricConfig("Precision", at, top_ks=(2,))))
+    assert EvalConfig.from_json(config.to_json()) == config
+    got = {(r.metric, r.sub_key): r.value for r in evaluate(df, config)["metrics"].collect()}
+    assert got["Recall@0.15", "class:0"] == 0 and got["Recall@0.15", "class:1"] == 1 and got["Recall@0.15", "macro"] == 0.75
+    assert got["Precision@0.15", "micro"] == pytest.approx(1 / 3) and got["Precision@0.15", "top_k:2"] == 0.25
+    with pytest.raises(ValueError):
+        MetricConfig("Recall", average="macro")
+    ranked = EvalConfig((ModelSpec("label[0]", "prediction[0]"),), metrics=(MetricConfig("NDCG", {"query": "q", "gain": "gain", "ks": [1]}), MetricConfig("QueryStatistics", {"query": "q"})))
+    assert {r.metric: r.value for r in evaluate(df, ranked)["metrics"].collect()} == {"NDCG@1": 1.0, "total_queries": 1, "total_documents": 2, "min_documents": 2, "max_documents": 2}
+    texts = EvalConfig((ModelSpec("refs", "text"),), metrics=(MetricConfig("BLEU"), MetricConfig("ROUGE", {"rouge_type": "rougeL"})))
+    found = {r.metric: r.value for r in evaluate(df, texts)["metrics"].collect()}
+    assert found["rougeL/recall"] == 0.5 and 0 < found["BLEU"] < 100
+
+
+def test_missing_slices_and_curve_intervals(spark):
+    df = spark.createDataFrame([(float(i % 2), (i * 37 % 100) / 100, "a", i) for i in range(200)], "label double, prediction double, g string, i int")
+    config = EvalConfig(slices=(OVERALL, SlicingSpec(("g",))), metrics=(MetricConfig("AUC"), MetricConfig("MeanLabel")), options=Options(intervals="jackknife", identity=("i",)))
+    got = evaluate(df, config)["metrics"]
+    rows = {(r.slice, r.metric): r for r in got.collect()}
+    assert set(rows) == {(s, m) for s in ("Overall", "g:a") for m in ("AUC", "MeanLabel")} and all(r.lower < r.value < r.upper for r in rows.values())
+    assert [r.spec for r in validation.missing_slices(got, (OVERALL, SlicingSpec(("h",)), SlicingSpec(("g",), {}))).collect()] == [1]
+
+
+def test_nan_and_null_predictions(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan), (1.0, 0.9), (0.0, nan), (0.0, 0.2), (1.0, None)], "label double, prediction double")
+    names = ("TruePositives", "FalseNegatives", "TrueNegatives", "FalsePositives", "Recall", "ExampleCount")
+    got = {r.metric: r.value for r in evaluate(df, EvalConfig(metrics=tuple(map(MetricConfig, names))))["metrics"].collect()}
+    assert got == {"TruePositives": 1, "FalseNegatives": 1, "TrueNegatives": 2, "FalsePositives": 0, "Recall": 0.5, "ExampleCount": 5}
+    cells = curves.matrices(curves.histogram(df.withColumn("weight", F.lit(1.0))), [0.5]).first()
+    assert (cells.tp, cells.fn, cells.tn, cells.fp) == (1, 1, 2, 0)
+    none = evaluate(df.where("prediction is null"), EvalConfig(metrics=(MetricConfig("MeanPrediction"),)))["metrics"].first()
+    assert math.isnan(none.value)
+    models = (ModelSpec("label", "label", None, "base", True), ModelSpec("label", "prediction", None, "new"))
+    flips = {r.metric: r.value for r in evaluate(df, EvalConfig(models, metrics=(MetricConfig("PosToNegFlipRate"), MetricConfig("NegToNegFlipRate"))))["metrics"].where("model = 'new'").collect()}
+    assert flips == {"PosToNegFlipRate": 0.2, "NegToNegFlipRate": 0.4}
