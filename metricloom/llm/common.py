@@ -79,10 +79,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Columns stand under numbers in the table, so any names are allowed. Tables stay in a folder named after the application.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = _new_path(spark)
     numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    numbered.write.parquet(path)
-    return spark.read.schema(numbered.schema).parquet(path).toDF(*df.columns)
+    numbered.write.option("compression", "zstd").parquet(path)
+    return _kept(spark.read.schema(numbered.schema).parquet(path).toDF(*df.columns), path)
+
+
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """Like ``checkpointed``, with a file for each of as many hashes of ``by`` as there are shuffle partitions.
+
+    Joins and groupings on ``by`` bring the other side to these files and leave the rows where they are.
+    """
+    spark = df.sparkSession
+    path, name = _new_path(spark), f"kept_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name only: the files lie outside the warehouse and stay
+    return _kept(out, path)
+
+
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.kept_in = path
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``checkpointed`` or ``bucketed`` that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.kept_in)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def extended(df: DataFrame, **kinds: str):

@@ -1,9 +1,10 @@
 """Document fingerprints by a Merkle tree over paragraphs and sections.
 
-A section ends at an empty line, a paragraph at a line end. A paragraph's digest covers its bytes, a section's digest
-those of its paragraphs, the root's those of the sections: equal roots tell equal texts, and where two trees differ, the
-branches that differ locate the edit. Below the paragraphs stand pieces cut by content, about sixteen bytes each; the
-least of their hashes go with the root into the fingerprint, so that two fingerprints tell how alike their texts are.
+A section ends at an empty line, a paragraph at a line end. The leaves of the tree are pieces of a paragraph, cut by
+content, about sixteen bytes each. A paragraph's digest covers the digests of its leaves, a section's digest those of its
+paragraphs, the root's those of the sections: equal roots tell equal texts, and where two trees differ, the branches that
+differ locate the edit. The least leaf digests go with the root into the fingerprint: two fingerprints tell by them how
+many leaves their trees share.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 from metricloom.llm.common import as_bytes, extended, map_batches, record
 
@@ -37,21 +39,53 @@ class Tree:
     sections: list[bytes]
     paragraphs: list[list[bytes]]
     ranges: list[list[tuple[int, int]]]
+    leaves: list[bytes]
+
+
+def leaf_bounds(data: bytes) -> tuple[list[int], list[int], list[int]]:
+    """Where leaves start and end, and how many line ends stand before each.
+
+    A leaf ends where the four bytes before, all of one paragraph, say so, and with its paragraph; so a paragraph has the
+    same leaves wherever it stands. Line ends are in no leaf.
+    """
+    if not data:
+        return [], [], []
+    a = np.frombuffer(data, np.uint8)
+    line = a == 10
+    cut = line.copy()
+    cut[:-1] |= line[1:]
+    if len(a) >= 4:
+        wide = a.astype(np.uint32)
+        mixed = (wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)) * np.uint32(2654435761)
+        here = (mixed >> np.uint32(16)) % np.uint32(PIECE) == 0
+        cut[3:] |= here & ~(line[:-3] | line[1:-2] | line[2:-1] | line[3:])
+    cut[-1] = True
+    ends = np.flatnonzero(cut) + 1
+    starts = np.concatenate(([0], ends[:-1]))
+    held = ~line[starts]
+    before = np.cumsum(line)[starts]
+    return starts[held].tolist(), ends[held].tolist(), before[held].tolist()
 
 
 def tree(data: bytes) -> Tree:
-    paragraphs, ranges, at = [], [], 0
+    sha = hashlib.sha256
+    starts, ends, before = leaf_bounds(data)
+    leaves = [sha(data[s:e]).digest() for s, e in zip(starts, ends, strict=True)]
+    first = np.searchsorted(before, np.arange(data.count(b"\n") + 2)).tolist()  # of each paragraph, its first leaf
+    paragraphs, ranges, at, number = [], [], 0, 0
     for section in data.split(b"\n\n"):
         digests, places = [], []
         for paragraph in section.split(b"\n"):
-            digests.append(hashlib.sha256(b"p" + paragraph).digest())
+            digests.append(_sha(leaves[first[number] : first[number + 1]], b"p"))
             places.append((at, at + len(paragraph)))
             at += len(paragraph) + 1
+            number += 1
         paragraphs.append(digests)
         ranges.append(places)
         at += 1
+        number += 1
     sections = [_sha(d, b"s") for d in paragraphs]
-    return Tree(_sha(sections, b"r"), sections, paragraphs, ranges)
+    return Tree(_sha(sections, b"r"), sections, paragraphs, ranges, leaves)
 
 
 def _differ(a: list[bytes], b: list[bytes]) -> tuple[int, int, int]:
@@ -82,40 +116,23 @@ def edited_range(a: Tree, b: Tree) -> tuple[int, int] | None:
     return at, at
 
 
-def pieces(data: bytes) -> np.ndarray:
-    """Hashes of the pieces: they end after a line end and where the four bytes before say so."""
-    from xxhash import xxh3_64_intdigest
-
-    if not data:
-        return np.zeros(0, np.uint64)
-    a = np.frombuffer(data, np.uint8)
-    cut = a == 10
-    if len(a) >= 4:
-        wide = a.astype(np.uint32)
-        mixed = (wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)) * np.uint32(2654435761)
-        cut[3:] |= (mixed >> np.uint32(16)) % np.uint32(PIECE) == 0
-    ends = (np.flatnonzero(cut) + 1).tolist()
-    if not ends or ends[-1] != len(data):
-        ends.append(len(data))
-    return np.fromiter((xxh3_64_intdigest(data[s:e]) for s, e in zip([0, *ends], ends, strict=False)), np.uint64, len(ends))
-
-
 class Print:
-    """A fingerprint: the root in hex, a colon, and the least piece hashes in base64."""
+    """A fingerprint: the root in hex, a colon, and the beginnings of the least leaf digests in base64."""
 
     __slots__ = ("root", "least", "tree")
 
     def __init__(self, data: bytes) -> None:
         self.tree = tree(data)
         self.root = self.tree.root.hex()
-        self.least = np.unique(np.unique(pieces(data))[:SKETCH] >> np.uint64(32)).astype(">u4")
+        own = np.unique(np.frombuffer(b"".join(self.tree.leaves), ">u8")[::4])[:SKETCH]
+        self.least = np.unique(own >> np.uint64(32)).astype(">u4")
 
     def __str__(self) -> str:
         return f"{self.root}:{base64.b64encode(self.least.tobytes()).decode()}"
 
 
 def likeness(root_a: str, a: np.ndarray, root_b: str, b: np.ndarray) -> float:
-    """Share of pieces in common (twice the common ones over all), estimated from the least hashes; 1 for equal roots."""
+    """Share of leaves in common (twice the common ones over all), estimated from the least digests; 1 for equal roots."""
     if root_a == root_b:
         return 1.0
     union = np.union1d(a, b)[:SKETCH]
@@ -169,16 +186,20 @@ def beside_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     The next document has the next lower key, then, among equal keys, the next MD5; null keys come last, and after the
     last comes the first. Rows are dealt out by ranges of the key, each range sorted in one task; the first row of every
     range also goes to the range before it, so each text moves once. The ranges' first keys, one for each range, are all
-    that is collected. Equal keys stay in one range. A null text counts as empty; an empty table gives no rows.
+    that is collected. Keys are numbers; equal keys stay in one range. A null text counts as empty; an empty table gives
+    no rows.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[key].dataType, NumericType):
+        raise ValueError(f"the key {key} is no number")
     docs = df.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(docs.select(F.col("k").cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges)), reverse=True)
     part = F.when(F.col("k").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b > F.col("k").cast("double"))) if bounds else F.lit(0))
     dealt = docs.withColumn("part", part.cast("int")).withColumn("m", F.md5("t"))
-    # the order within a range: higher keys first, then lower MD5s
-    tops = dealt.groupBy("part").agg(F.min_by(F.struct("k", "m"), F.struct((-F.col("k")).alias("k"), "m")).alias("top")).orderBy("part").collect()
+    # the order within a range: higher keys first, then lower MD5s; a decimal also holds the least long's opposite
+    down = -(F.col("k").cast("decimal(38,0)") if isinstance(df.schema[key].dataType, IntegralType) else F.col("k"))
+    tops = dealt.groupBy("part").agg(F.min_by(F.struct("k", "m"), F.struct(down.alias("k"), "m")).alias("top")).orderBy("part").collect()
     order = [r.part for r in tops]
     back = [(r.top.k, r.top.m, order[i - 1]) for i, r in enumerate(tops)]
     kind = docs.schema["k"].dataType.simpleString()

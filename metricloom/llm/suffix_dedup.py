@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import as_bytes, checkpointed, extended, map_batches, record
+from metricloom.llm.common import as_bytes, checkpointed, discard, extended, map_batches, record
 
 LENGTH = 400
 GRAM = 64
@@ -236,6 +236,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, anchor_pieces: int = ANCHOR_P
     # as a table of its own: a join of two plain shuffles is one that Spark splits at hot anchors
     again = checkpointed(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"))
     shared = checkpointed(found.join(again, "anchor"))
+    discard(again)
     distinct = checkpointed(shared.groupBy("anchor", "piece").agg(F.sum("times").alias("n"), F.min(F.struct("row", "start", "size")).alias("one")))
     different = distinct.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
     wanted = distinct.join(different, "anchor").select("anchor", "piece", "pieces", "one.*")
