@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.common import LOWER, as_bytes, checkpointed, fold, record, slices_of
 
-#: Context bytes at most; with the byte that follows they fill 64 bits. From ``SHALLOW`` on a part holds whole subtrees.
-DEPTH, SHALLOW = 7, 3
+#: Context bytes at most; with the byte that follows they stand in 64 bits. From ``SHALLOW`` on a part holds whole subtrees.
+DEPTH, SHALLOW = 6, 3
+#: Bits behind the nearest four and the nearest three context bytes of a string.
+BY_FOUR, BY_THREE = 8 * (DEPTH - 3), 8 * (DEPTH - 2)
 #: Bytes of text in a block, and of text whose strings are sorted at a time; distinct strings in a part.
 BLOCK_BYTES, SORT_BYTES, PART_STRINGS = 24_000_000, 3_000_000, 200_000
 END = b"\n"  # no word, so it can stand for the end among them
@@ -369,7 +371,7 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_b
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches, 1):
             block, number = Block(batch.column("payload")[0].as_py()), batch.column("block")[0].as_py()
-            for kind, (keys, n), shift in ((STRINGS, block_strings(block.texts, block.train), 32), (WORDS, block_words(block.texts, block.train), 0)):
+            for kind, (keys, n), shift in ((STRINGS, block_strings(block.texts, block.train), BY_FOUR), (WORDS, block_words(block.texts, block.train), 0)):
                 yield by_column([rows_of(kind, b, number, keys[at], n[at]) for b, at in dealt(keys, spread(keys, buckets, shift), buckets)], asked_fields)
 
     asked = checkpointed(blocks.mapInArrow(ask, shape(columns)))
@@ -392,7 +394,7 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_b
         for batch in slices_of(batches, 1):
             keys, n = unpack_keys(batch.column("keys")[0].as_py()), unpack(batch.column("counts")[0].as_py(), np.uint64)
             bucket = batch.column("bucket")[0].as_py()
-            yield by_column([(b, bucket, pack_keys(keys[at]), pack(n[at])) for b, at in dealt(keys, spread(keys, count, 40), count)], parted_fields)
+            yield by_column([(b, bucket, pack_keys(keys[at]), pack(n[at])) for b, at in dealt(keys, spread(keys, count, BY_THREE), count)], parted_fields)
 
     parts = distinct.where(F.col("kind") == STRINGS).mapInArrow(deal, shape("part int, bucket int, keys binary, counts binary")).groupBy("part")
 
@@ -473,7 +475,7 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_b
             own, inverse = np.unique(own, return_inverse=True)
             parts.append((own, inverse.astype(np.int32), np.cumsum(n) - n))
             keys = own if keys is None else joined(keys, np.zeros(len(keys), np.uint8), own, np.zeros(len(own), np.uint8))[0]
-        logs = in_order(right, STRINGS, keys, 32)
+        logs = in_order(right, STRINGS, keys, BY_FOUR)
         scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(keys, own)][inverse].astype(float), starts) for own, inverse, starts in parts])
         del parts, keys, logs
         words = np.unique(word_hashes(list({END, *chain.from_iterable(x.split() for x in block.texts)})))
