@@ -299,6 +299,32 @@ def block_words(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.bincount(inverse, np.fromiter(counted.values(), float, len(counted)), len(hashes))
 
 
+class Table:
+    """Values by key: keys stand in the order of their hashes, whose first bits tell where to look."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = U(64 - bits)
+        slots = self._slots(keys)
+        order = np.argsort(slots, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        held = np.bincount(slots, minlength=1 << bits)
+        self.starts = (np.cumsum(held) - held).astype(np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.starts[self._slots(keys)]
+        open_ = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys)
+        while len(open_):
+            at[open_] += 1
+            if (at[open_] >= len(self.keys)).any():
+                raise KeyError("a string of the block has no answer")
+            open_ = open_[self.keys[at[open_]] != keys[open_]]
+        return self.values[at]
+
+
 class Block:
     """Rows of a block as compressed Arrow."""
 
@@ -469,19 +495,18 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", block_b
         if not left.num_rows:
             return pa.Table.from_batches([], schema=out_fields)
         block = Block(left.column("payload")[0].as_py())
-        spans, parts, keys = list(slices(block.texts, SORT_BYTES)), [], None
+        spans, keys = list(slices(block.texts, SORT_BYTES)), None
         for s, e in spans:
-            own, n = strings(block.texts[s:e])
-            own, inverse = np.unique(own, return_inverse=True)
-            parts.append((own, inverse.astype(np.int32), np.cumsum(n) - n))
+            own = np.unique(strings(block.texts[s:e])[0])
             keys = own if keys is None else joined(keys, np.zeros(len(keys), np.uint8), own, np.zeros(len(own), np.uint8))[0]
-        logs = in_order(right, STRINGS, keys, BY_FOUR)
-        scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(keys, own)][inverse].astype(float), starts) for own, inverse, starts in parts])
-        del parts, keys, logs
+        logs = Table(keys, in_order(right, STRINGS, keys, BY_FOUR))
+        del keys
         words = np.unique(word_hashes(list({END, *chain.from_iterable(x.split() for x in block.texts)})))
         counts = in_order(right, WORDS, words, 0)
-        rows = [np.zeros(0)] * 3
+        rows, scores = [np.zeros(0)] * 3, np.zeros(0)
         for s, e in spans:
+            own, n = strings(block.texts[s:e])
+            scores = np.concatenate((scores, np.add.reduceat(logs(own).astype(float), np.cumsum(n) - n)))
             tokens = [[*x.split(), END] for x in block.texts[s:e]]
             told = {w: None for w in chain.from_iterable(tokens)}
             told = dict(zip(told, counts[np.searchsorted(words, word_hashes(list(told)))].tolist(), strict=True))

@@ -11,20 +11,46 @@ from metricloom.llm import toxicity as tox
 from metricloom.llm.queries import op8_toxicity
 
 
-def test_marginals_and_log_z_by_enumeration():
-    w = np.array([-1.3, -0.7, 0.9, -0.4, 0.3, 0.6])
-    chain = tox.Chain(w)
-    n, at, odds = 9, np.array([1, 2, 6]), np.array([2.0, 0.5, 1.5])
-    emit = [dict(zip(at, w[1] + w[2] * odds, strict=True)).get(i, w[0]) for i in range(n)]
-    step = {(0, 0): 0.0, (0, 1): w[3], (1, 0): w[4], (1, 1): w[5]}
-    total, toxic = 0.0, np.zeros(n)
-    for y in itertools.product((0, 1), repeat=n):
-        s = math.exp(sum(emit[i] * y[i] for i in range(n)) + sum(step[a, b] for a, b in zip((0, *y), y, strict=False)))
+def enumerated(emission, steps):
+    """Log of the sum over all labellings of one document, and the share of those with each word toxic."""
+    step = {(0, 0): 0.0, (0, 1): steps[1], (1, 0): steps[2], (1, 1): steps[3]}
+    total, toxic = 0.0, np.zeros(len(emission))
+    for y in itertools.product((0, 1), repeat=len(emission)):
+        s = math.exp(sum(e * v for e, v in zip(emission, y, strict=True)) + sum(step[a, b] for a, b in zip((0, *y), y, strict=False)))
         total += s
         toxic += s * np.array(y)
-    _, _, log_z = chain.messages(np.array([n]), at[None], odds[None], np.ones((1, 3), bool))
-    assert log_z[0] == pytest.approx(math.log(total))
-    assert chain.marginals(n, at, odds) == pytest.approx(toxic[at] / total)
+    return math.log(total), toxic / total
+
+
+def test_marginals_and_log_z_by_enumeration():
+    rng = np.random.default_rng(1)
+    sizes, steps = np.array([0, 7, 1, 0, 9, 2, 0]), np.array([-0.3, -0.4, 0.3, 0.6])
+    emission = rng.normal(size=sizes.sum())
+    chain = tox.Chain(emission, sizes, steps)
+    parts = [enumerated(e, steps) for e in np.split(emission, np.cumsum(sizes)[:-1]) if len(e)]
+    assert chain.log_z() == pytest.approx(sum(z for z, _ in parts))
+    assert chain.marginal == pytest.approx(np.concatenate([p for _, p in parts]))
+
+
+def test_slopes_by_differences():
+    rng = np.random.default_rng(2)
+    sizes, steps = np.array([6, 0, 1, 8]), np.array([-0.5, -0.2, 0.1, 0.4])
+    words = tox.Words()
+    ids, found = words(["Bad words here and BAD there", "", "one", "a b c d bad and good c"])
+    assert (found == sizes).all()
+    gold, weights = rng.integers(0, 2, len(ids)), rng.normal(size=tox.BUCKETS + 1) / 4
+    weights[tox.BUCKETS] = 0
+    value, slope, by_step = tox.likelihood(ids, sizes, gold, words.buckets, weights, steps)
+    assert value > 0
+    for at in rng.choice(np.unique(words.buckets[words.buckets < tox.BUCKETS]), 12, replace=False):
+        d = np.zeros(tox.BUCKETS + 1)
+        d[at] = 1e-5
+        up, down = (tox.likelihood(ids, sizes, gold, words.buckets, weights + s * d, steps)[0] for s in (1, -1))
+        assert slope[at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+    for i in range(4):
+        d = np.eye(4)[i] * 1e-5
+        up, down = (tox.likelihood(ids, sizes, gold, words.buckets, weights, steps + s * d)[0] for s in (1, -1))
+        assert by_step[i] == pytest.approx((up - down) / 2e-5, abs=1e-5)
 
 
 @pytest.fixture(scope="module")
@@ -54,10 +80,22 @@ def test_learns_words_and_beginnings(tables):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in tox.score(docs, model).collect())
 
 
+def test_neighbours_tell_words_apart(spark):
+    """Words that are toxic side by side, among words that all documents have."""
+    rows = [(i, " ".join([f"w{i % 13}x", "you", "frog" if i % 2 else "pond", "filth" if i % 2 else "green", f"w{i % 7}y"]), int(i % 2)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tox.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    scores, spans = model.score(["you frog filth", "w1x you pond green", ""])
+    assert scores[0] > 0.5 > scores[1] and spans[0] and not spans[1] and scores[2] < 0.5
+
+
 def test_odd_tables(spark, tables):
     docs, labels = tables
     for d, lab in ((docs, labels.limit(0)), (docs.limit(0), labels), (docs, labels.where("toxic = 1"))):
         assert tox.score(d, tox.fit(d, lab)).count() == d.count()
+    named = docs.selectExpr("doc_id AS k", "text AS label", "label AS text")
+    same = tox.fit(named, labels.withColumnRenamed("doc_id", "k"), "k", "label")
+    assert {r.k: r.predicted for r in tox.score(named, same, "k", "label").collect()}[None] == 1
 
 
 def test_query_held_out(spark, sf_dir):
