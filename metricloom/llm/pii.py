@@ -4,13 +4,16 @@ Entities found in a text are brought to a normal form, split into characters by
 letters of a script) and read as a number in mixed radix. A keyed Feistel permutation of the numbers below the product of
 the radices, walked until it meets the entity's own constraints (check digits, address ranges), gives the surrogate. A
 permutation never maps two entities to one, and always maps an entity alike: distinctness and coreference hold across all
-documents and machines without any table. Given names permute within a list by gender. Each worker also checks its pairs.
+documents and machines without any table. Given names permute within a list by gender. A person who is named with a title
+is found again in the same text without it, by the whole name or by a part. Each worker also checks its pairs.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -41,6 +44,11 @@ PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{2,4}(
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SECRET = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)["']?\s*[=:]\s*["']?([A-Za-z0-9_\-+/]{16,})""")
+# Tokens that tell themselves by how they begin: web tokens, cloud and code-hosting keys, and private keys between marks.
+TOKEN = re.compile(r"(?<![\w-])(?:eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})(?![\w-])")
+PRIVATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]{16,}?)\s+-----END")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
+BORN = re.compile(r"(?i)(?<!\w)(?:born(?: on)?|date of birth|dob|geboren am|née? le|nacid[oa] el)[:\s]+((?:19|20)\d\d-\d\d-\d\d|\d\d[./-]\d\d[./-](?:19|20)\d\d)(?!\d)")
 PERSON = re.compile(r"(?<!\w)(" + "|".join(t.capitalize() for t in TITLES) + r")\.? ([A-ZА-ЯÀ-Ý][\wÀ-ÿ]+(?: [A-ZА-ЯÀ-Ý][\wÀ-ÿ]+)?)")
 
 
@@ -54,6 +62,36 @@ def mod97(country: str, account: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
 
 
+def born(text: str) -> tuple[datetime.date, str] | None:
+    """A date and its form, day before month unless the year stands first; None if there is no such day."""
+    form = "%Y-%m-%d" if text[4:5] == "-" else f"%d{text[2]}%m{text[5]}%Y"
+    try:
+        return datetime.datetime.strptime(text, form).date(), form
+    except ValueError:
+        return None
+
+
+def is_ip6(text: str) -> bool:
+    try:
+        return ipaddress.ip_address(text).version == 6 and sum(map(bool, text.split(":"))) > 2
+    except ValueError:
+        return False
+
+
+def mentions(text: str, names: list[str]) -> Iterator[tuple[int, int, str]]:
+    """Where persons are named again without a title: by the whole name, by the surname, by the given name."""
+    wanted: dict[str, str] = {}
+    for name in names:
+        given, _, surname = name.rpartition(" ")
+        wanted[name] = "person"
+        for part, kind in ((surname, "surname"), (given, "given")):
+            if len(part) > 2:
+                wanted.setdefault(part, "person" if not given else kind)
+    choices = "|".join(sorted(map(re.escape, wanted), key=len, reverse=True))
+    for m in re.finditer(rf"(?<!\w)(?:{choices})(?!\w)", text):
+        yield *m.span(), wanted[m[0]]
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of what is found, without overlaps; where kinds meet the one named first stands."""
     found: list[tuple[int, int, str]] = []
@@ -69,13 +107,23 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         add("email", spans(AT))
     if "=" in text or ":" in text:
         add("secret", spans(SECRET, 1))
+    add("secret", spans(TOKEN))
+    if "PRIVATE KEY" in text:
+        add("secret", spans(PRIVATE, 1))
     if any(d in text for d in DIGITS):
+        if ":" in text:
+            add("ip6", spans(IP6), is_ip6)
+        add("born", spans(BORN, 1), lambda x: born(x) is not None)
         add("iban", spans(IBAN), lambda x: mod97(x[:2], re.sub(r"\s", "", x)[4:]) == int(x[2:4]))
         add("ip", spans(IP4))
         add("card", spans(CARD), lambda x: luhn(digits(x)[:-1]) == int(digits(x)[-1]))
         add("ssn", spans(SSN))
         add("phone", spans(PHONE), lambda x: 8 <= len(digits(x)) <= 15)
     add("person", spans(PERSON, 2))
+    names = sorted({text[s:e] for s, e, kind in found if kind == "person"})
+    if names:
+        for s, e, kind in mentions(text, names):
+            add(kind, iter([(s, e)]))
     return sorted(found)
 
 
@@ -134,6 +182,10 @@ class Surrogates:
             return re.sub(r"\D", "", text)[-10:]
         if kind == "iban":
             return re.sub(r"\s", "", text)
+        if kind == "ip6":
+            return ipaddress.ip_address(text).exploded
+        if kind == "born":
+            return born(text)[0].isoformat()
         return text if kind in ("secret", "ip") else text.lower()
 
     def replace(self, kind: str, text: str) -> str:
@@ -196,18 +248,35 @@ class Surrogates:
         hexlike = lambda x: {*self._cased(text, x)} <= {*HEX} or {*self._cased(text, x)} <= {*HEX.upper()}
         return self._cased(text, self.letters(low, "secret" + case, lambda x: not hexlike(x)))
 
+    def _part(self, part: str, role: str) -> str:
+        """One name: a listed one within its list, any other among those not listed, whatever the title."""
+        known = GIVEN.get(part)
+        if known:
+            names = NAMES[known]
+            return names[self.permute(names.index(part), len(names), f"given{known}")]
+        return self.letters(part, role, lambda x: x not in GIVEN)
+
+    def _surname(self, text: str) -> str:
+        return self._part(text.lower(), "name").capitalize()
+
+    def _given(self, text: str) -> str:
+        return self._part(text.lower(), "given").capitalize()
+
     def _person(self, text: str) -> str:
-        parts = text.lower().split(" ")
-        out = []
-        for i, part in enumerate(parts):
-            known = GIVEN.get(part) if i == 0 else None
-            if known:
-                names = NAMES[known]
-                out.append(names[self.permute(names.index(part), len(names), f"given{known}")])
-            else:
-                # one permutation whatever the title; surnames may be listed names too, so theirs is walked past none
-                out.append(self.letters(part, "name") if i else self.letters(part, "name" if len(parts) == 1 else "given", lambda x: x not in GIVEN))
-        return " ".join(p[:1].upper() + p[1:] for p in out)
+        given, _, surname = text.rpartition(" ")
+        return f"{self._given(given)} {self._surname(surname)}" if given else self._surname(surname)
+
+    def _ip6(self, text: str) -> str:
+        """The first two bytes, which tell the kind of address, stay."""
+        value = int(ipaddress.ip_address(text))
+        new = ipaddress.ip_address(value >> 112 << 112 | self.permute(value & (1 << 112) - 1, 1 << 112, "ip6"))
+        return new.compressed if "::" in text else new.exploded
+
+    def _born(self, text: str) -> str:
+        """Another day of the same century's, in the same form."""
+        day, form = born(text)
+        first, days = datetime.date(day.year // 100 * 100, 1, 1), 36524 if day.year < 2000 else 36525
+        return (first + datetime.timedelta(days=self.permute((day - first).days, days, f"born{first.year}"))).strftime(form)
 
 
 def replaced(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[int, int, str, str]]]:
