@@ -93,6 +93,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Classifier(np.array([r.x for r in rows]), np.array([r.y for r in rows], float)) if rows else None
 
 
+def site_of(url: Column, depth: int = 1) -> tuple[Column, Column]:
+    """Host (lower-cased, without ``www.`` and port) and the first ``depth`` parts of the path of a URL, for ``score``.
+
+    What is no URL has the empty host and path, as null has; a page at the root has the empty path.
+    """
+    text = F.coalesce(url, F.lit(""))
+    host = F.regexp_replace(F.lower(F.regexp_extract(text, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    parts = F.filter(F.split(F.regexp_extract(text, r"^[A-Za-z][\w+.-]*://[^/?#]*/([^?#]*)", 1), "/"), lambda x: x != "")
+    folders = F.when(F.size(parts) > 1, F.slice(parts, 1, F.size(parts) - 1)).otherwise(F.array().cast("array<string>"))  # the last is the page
+    return host, F.when(host == "", F.lit("")).otherwise(F.array_join(F.slice(folders, 1, depth), "/"))
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 

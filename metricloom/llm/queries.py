@@ -100,4 +100,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT doc_id, i, md5(b[i + 1 : i + 400]) AS h FROM d, unnest(range(0, greatest(octet_length(b) - 399, 0))) AS t(i)),
+        r AS (SELECT doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+        n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM r),
+        g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
+        s AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM g GROUP BY doc_id, span),
+        k AS (SELECT doc_id, e AS s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), octet_length(b)) AS e FROM s JOIN d USING (doc_id)
+              UNION ALL SELECT doc_id, 0, coalesce(min(s), max(octet_length(b))) FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+        x AS (SELECT doc_id, sha256(unhex(string_agg(hex(b[k.s + 1 : k.e]), '' ORDER BY k.s))) AS kept_sha256 FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n.spans, 0) AS BIGINT) AS n_spans, kept_sha256
+        FROM d JOIN x USING (doc_id) LEFT JOIN (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM s GROUP BY doc_id) n USING (doc_id)""",
 }

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from metricloom.llm import quality
 from metricloom.llm.queries import op9_quality
@@ -57,6 +58,50 @@ def test_host_effect_by_hand(spark, tables):
     assert got[7].host_effect == pytest.approx(math.log(t / (1 - t)) - math.log(p / n / (1 - p / n)))
 
 
+def test_sites_of_urls(spark):
+    urls = {"https://www.Example.org:80/blog/2020/x.html?q=/a/b": ("example.org", "blog"), "http://u:p@h.net/page": ("h.net", ""), "ftp://h.net": ("h.net", ""), "no url/at/all": ("", ""), None: ("", ""), "https://a.b/c/d/#/e": ("a.b", "c")}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = df.select("url", *(c.alias(n) for c, n in zip(quality.site_of(F.col("url")), "hp", strict=True))).collect()
+    assert {r.url: (r.h, r.p) for r in got} == urls
+    assert df.where("url like '%blog%'").select(quality.site_of(F.col("url"), 2)[1]).first()[0] == "blog/2020"
+
+
+def test_query_against_plain_sums(spark, sf_dir):
+    """Scores of the query from its own document probabilities, by sums over hosts and paths in Python."""
+    from zlib import crc32
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang").collect()}
+    y = {}
+    for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
+        if crc32(str(r.doc_id).encode()) % 5:
+            y[r.doc_id] = max(r.quality, y.get(r.doc_id, 0))
+    rows = {r.doc_id: r for r in op9_quality(spark, sf_dir).collect()}
+    odds = lambda p: math.log(p / (1 - p))
+
+    def strength(sites):
+        n, ys = sum(s[0] for s in sites), sum(s[1] for s in sites)
+        spread = max(0.0, (sum((s[1] - s[2]) ** 2 for s in sites) - sum(s[3] for s in sites)) / sum(s[0] ** 2 for s in sites))
+        mean = min(max(ys / n, 1e-3), 1 - 1e-3)
+        return min(quality.MAX_STRENGTH, mean * (1 - mean) / spread) if spread else quality.MAX_STRENGTH
+
+    hosts, paths = {}, {}
+    for k, v in y.items():
+        d, p = docs[k], rows[k].p_document
+        for sites, at in ((hosts, d.source), (paths, (d.source, d.lang))):
+            s = sites.setdefault(at, [0, 0, 0.0, 0.0])
+            for i, x in enumerate((1, v, p, p * (1 - p))):
+                s[i] += x
+    effect = lambda s, m, e: odds((s[1] + m * e) / (s[0] + m)) - odds(e)
+    own = {h: effect(s, strength(hosts.values()), s[2] / s[0]) for h, s in hosts.items()}
+    moved = {at: 1 / (1 + math.exp(-(odds(s[2] / s[0]) + own[at[0]]))) for at, s in paths.items()}
+    m = strength([(s[0], s[1], moved[at] * s[0], s[3]) for at, s in paths.items()])
+    for k, r in rows.items():
+        at = (docs[k].source, docs[k].lang)
+        host, path = own.get(at[0], 0.0), effect(paths[at], m, moved[at]) if at in paths else 0.0
+        assert (r.host_effect, r.path_effect) == (pytest.approx(host, abs=1e-6), pytest.approx(path, abs=1e-6))
+        assert odds(r.score) == pytest.approx(odds(r.p_document) + host + path, abs=1e-6) and r.predicted == (r.score >= 0.5)
+
+
 def test_odd_tables(spark, tables):
     docs, labels = tables
     assert {r.score for r in quality.score(docs, labels.limit(0), "host", "path").collect()} == {0.5}

@@ -22,12 +22,15 @@ def several_files(spark, sf_dir, tmp_path_factory):
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op2_packing"])  # its pools are those of the scan
 def test_rows_do_not_depend_on_splits(spark, several_files, name):
+    def plain(x):  # sums of floats come in another order on other batches
+        return round(x, 9) if isinstance(x, float) else [plain(y) for y in x] if isinstance(x, list | tuple) else x
+
     def rows(before, after):
         spark.conf.set(SETTING, before)
         try:
             df = queries.QUERIES[name](spark, several_files)
             spark.conf.set(SETTING, after)
-            return sorted(map(str, df.collect()))
+            return sorted(str(plain(r)) for r in df.collect())
         finally:
             spark.conf.unset(SETTING)
 
