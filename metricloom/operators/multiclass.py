@@ -125,17 +125,17 @@ def attributions(df: DataFrame, column: str, absolute: bool = False, mean: bool
     return totals.join(counts, "slice_key").select("slice_key", "feature", div_far(F.col("value"), F.col("n")).alias("value"))
 
 
-def fixed_sample(df: DataFrame, column: str, size: int, specs: Sequence[SlicingSpec] = (), weight: str | None = None, seed: int = 0, identity: Sequence[str] = ()) -> DataFrame:
+def fixed_sample(df: DataFrame, column: str, size: int, specs: Sequence[SlicingSpec] = (), weight: str | None = None, seed: int = 0, identity: Sequence[str] = (), uniform: Column | None = None) -> DataFrame:
     """``slice_key, values``: a uniform sample of ``size`` values, or by weight (the greatest u^(1/w)), for each slice.
 
-    The random number of a row is a hash of ``identity`` (all columns by default) and the seed. Each task keeps the best
-    ``size`` rows of a slice before rows move.
+    The random number of a row, in (0, 1), is ``uniform`` or a hash of ``identity`` (all columns by default) and the seed;
+    of equal ones the lesser value comes first. Each task keeps the best ``size`` rows of a slice before rows move.
     """
     from pyspark.sql import Window
 
     names = identity or [c for c, t in df.dtypes if not t.startswith("map")]
-    u = (F.pmod(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in names)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = uniform if uniform is not None else (F.pmod(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in names)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     ranked = fan_out(df.withColumn("__o", F.when(w > 0, F.pow(u, 1 / w))).where("__o is not null"), specs).select("slice_key", F.col(column).alias("__v"), "__o")
-    order = Window.partitionBy("slice_key").orderBy(F.desc("__o"))
+    order = Window.partitionBy("slice_key").orderBy(F.desc("__o"), "__v")
     return ranked.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size).groupBy("slice_key").agg(F.sort_array(F.collect_list("__v")).alias("values"))

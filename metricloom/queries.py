@@ -429,9 +429,12 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(name, "feature", *(F.round(c, 6 if "mean" in c else 4).alias(c) for c in ("total", "total_absolute", "mean", "mean_absolute")))
 
 
-@query("fixed_size_sample")
+DRAW = "(CAST((l_orderkey * 15485863 + l_partkey * 7919 + l_suppkey * 31 + l_linenumber * 104729) % 1000003 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000003 AS DOUBLE)"
+
+
+@query("fixed_size_sample", f"WITH {SLICED}, o AS (SELECT slice, l_partkey, power({DRAW}, 1 / weight) AS o FROM sl WHERE slice NOT LIKE '%_X_%'), r AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY o DESC, l_partkey) AS n FROM o) SELECT slice, CAST(row_number() OVER (PARTITION BY slice ORDER BY l_partkey) - 1 AS INTEGER) AS i, l_partkey FROM r WHERE n <= 20")
 def fixed_size_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = multiclass.fixed_sample(examples(spark, sf_dir), "l_partkey", 20, SPECS[:2], "weight", identity=("l_orderkey", "l_linenumber", "l_partkey"))
+    found = multiclass.fixed_sample(examples(spark, sf_dir), "l_partkey", 20, SPECS[:2], "weight", uniform=F.expr(DRAW))
     return found.select(slicing.slice_name(F.col("slice_key")).alias("slice"), F.posexplode("values").alias("i", "l_partkey"))
 
 
