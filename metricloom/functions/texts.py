@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Sequence
 
 ORDER = 4
-#: Punctuation that stands alone, and a full stop, comma or dash beside a digit, in the standard tokenisation.
+#: Punctuation that stands alone, and a full stop, comma or dash beside a digit, in the standard tokenisation.
 SYMBOLS = re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])")
 NEAR_DIGITS = ((re.compile(r"([^0-9])([\.,])"), r"\1 \2 "), (re.compile(r"([\.,])([^0-9])"), r" \1 \2"), (re.compile(r"([0-9])(-)"), r"\1 \2 "))
 
