@@ -4,6 +4,7 @@ Rows are summed into buckets of the prediction; all that follows works on a boun
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,10 +53,10 @@ def matrices(hist: DataFrame, thresholds: Sequence[float], buckets: int = 10_000
     Buckets are put between thresholds first; sums from the end run over at most one row for each threshold.
     """
     ordered = sorted(set(thresholds))
-    start = F.when(F.col("bucket") == 0, F.lit(float("-inf"))).otherwise(F.lit(left) + (F.col("bucket") - 1) * ((right - left) / buckets))
-    # how many thresholds lie at or below the bucket's start
     points = F.lit(ordered).cast("array<double>")
-    binned = hist.withColumn("at", F.size(F.filter(points, lambda t: t <= start + 1e-12))).groupBy("slice_key", *by, "at").agg(F.sum("w").alias("w"), F.sum("wl").alias("wl"))
+    # how many thresholds lie at or below each bucket's start
+    before = [0, *(bisect_right(ordered, left + b * ((right - left) / buckets) + 1e-12) for b in range(buckets + 1))]
+    binned = hist.withColumn("at", F.element_at(F.lit(before).cast("array<int>"), F.col("bucket").cast("int") + 1)).groupBy("slice_key", *by, "at").agg(F.sum("w").alias("w"), F.sum("wl").alias("wl"))
     groups = binned.groupBy("slice_key", *by).agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("w", "wl")))).alias("m"))
     every = groups.select("slice_key", *by, "m", F.posexplode(points).alias("i", "threshold"))
     amount = lambda name, lo, hi: F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda a, k: a + F.coalesce(F.try_element_at("m", k)[name], F.lit(0.0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,26 @@ def matched(df: DataFrame, truth: str = "truth", found: str = "found", iou: Sequ
     schema = out.select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("class_id", "int"), ("label", "double"), ("prediction", "double"), ("__first", "int"), ("__n", "int")))).schema
     fields, names = to_arrow_schema(schema), out.columns
 
+    def flat(column: pa.Array, width: int) -> tuple:
+        """All boxes as rows of numbers, and the image of each."""
+        filled = pa.array(column.to_pylist(), column.type) if column.offset else column
+        outer = np.where(filled.is_null().to_numpy(zero_copy_only=False), 0, filled.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        inner = filled.flatten()
+        numbers = inner.flatten().to_numpy(zero_copy_only=False)
+        if len(numbers) != width * len(inner):
+            raise ValueError(f"a box has {width} numbers here")
+        return numbers.reshape(-1, width), np.repeat(np.arange(len(column)), outer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for i, (t, d) in enumerate(zip(batch.column("__t").to_pylist(), batch.column("__d").to_pylist(), strict=True)):
-                new = [(c, y, p, first, n) for c in classes for first, n, part in boxes.outcomes(t or [], d or [], tuple(steps), c, area, most) for y, p in part]
-                at += [i] * len(new)
-                rows += new
-            if rows:
-                kept = batch.select(names).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(fields)[-5:], strict=True))], schema=fields)
+            t, t_of = flat(batch.column("__t"), 5)
+            d, d_of = flat(batch.column("__d"), 6)
+            for c in classes:
+                for at, label, score, first, n in boxes.matched(t, t_of, d, d_of, len(batch), steps, c, area, most):
+                    if len(at):
+                        kept = batch.select(names).take(pa.array(at))
+                        new = (pa.array(np.full(len(at), c)) if c is not None else pa.nulls(len(at)), pa.array(label), pa.array(score), pa.array(first), pa.array(n))
+                        yield pa.RecordBatch.from_arrays([*kept.columns, *(x.cast(f.type) for x, f in zip(new, list(fields)[-5:], strict=True))], schema=fields)
 
     # a run of thresholds with the same matches leaves Python as one row
     each = F.explode(F.slice(F.lit(steps).cast("array<double>"), F.col("__first") + 1, F.col("__n"))).alias("iou")

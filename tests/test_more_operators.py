@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def test_ranking(spark):
 def plain_match(truth, found, iou):
     free, rows = dict(enumerate(truth)), []
     for d in sorted(found, key=lambda d: -d[5]):
-        scored = [(boxes._overlap(d, t), j) for j, t in free.items() if boxes._overlap(d, t) >= iou]
+        scored = [(boxes.overlaps(np.array([d]), np.array([t]))[0, 0], j) for j, t in free.items() if boxes.overlaps(np.array([d]), np.array([t]))[0, 0] >= iou]
         if scored:
             free.pop(max(scored)[1])
             rows.append((1.0, d[5]))
@@ -103,7 +104,7 @@ def test_boxes(spark, monkeypatch):
     rng = random.Random(1)
     box = lambda: [x := rng.randrange(20), y := rng.randrange(20), x + rng.randrange(1, 15), y + rng.randrange(1, 15)]
     for many in (400, 0):
-        monkeypatch.setattr(boxes, "MANY", many)
+        monkeypatch.setattr(boxes, "PAIRS", many)
         for _ in range(40):
             truth = [[*map(float, box()), 0.0] for _ in range(rng.randrange(6))]
             found = [[*map(float, box()), 0.0, rng.random()] for _ in range(rng.randrange(6))]
