@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -108,11 +109,16 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``checkpointed`` or ``bucketed`` that no later plan reads."""
+    """Delete tables of ``checkpointed`` or ``bucketed`` that no later plan reads.
+
+    Spark deletes the shuffle files of plans that are gone when the driver collects its garbage, so it is told to.
+    """
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.kept_in)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
 
 
 def extended(df: DataFrame, **kinds: str):
