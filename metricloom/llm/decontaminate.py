@@ -2,7 +2,8 @@
 
 Documents stream through the automaton, which tracks the longest run of words up to each place that stands in an item.
 A run of ``window`` words or more is a hit, and so is the whole of a shorter item. The automaton is built from items of a
-bounded number of words; a larger benchmark is dealt with block after block, each over all documents.
+bounded number of words. Of a larger benchmark only those items matter that have a window in common with the documents,
+which a join of hashes tells; they are dealt with block after block, each over all documents.
 """
 
 from __future__ import annotations
@@ -177,6 +178,35 @@ def item_blocks(items: DataFrame, item: str, text: str, window: int, limit: int
         yield Block(held, window)
 
 
+def occurring(items: DataFrame, docs: DataFrame, item_text: str, text: str, window: int, limit: int) -> DataFrame:
+    """The items that can occur in the documents: all of a benchmark of ``limit`` words or fewer, else those with a window
+    whose hash the documents have, and those shorter than a window."""
+    size = items.agg(F.sum(F.octet_length(F.col(f"`{item_text}`")))).first()[0] or 0
+    if size <= 2 * limit:  # a word takes two bytes with what parts it from the next
+        return items
+    from xxhash import xxh3_64_intdigest
+
+    def hashed(column: str):
+        def run(batch: pa.RecordBatch) -> dict:
+            out, at = [], []
+            for k, x in enumerate(as_bytes(batch.column("text"))):
+                w = words(x)
+                found = [xxh3_64_intdigest(b" ".join(w[i : i + window])) - (1 << 63) for i in range(len(w) - window + 1)]
+                if column == "id" and len(w) < window:
+                    found = [None]
+                out += found
+                at += [k] * len(found)
+            return {"h": out} if column == "h" else {"h": out, "id": batch.column("id").take(pa.array(at, pa.int64()))}
+
+        return run
+
+    kept = items.withColumn("__id", F.md5(F.coalesce(F.col(f"`{item_text}`"), F.lit(""))))
+    own = map_batches(kept.select(F.col("__id").alias("id"), F.col(f"`{item_text}`").alias("text")), hashed("id"), "h long, id string")
+    there = map_batches(docs.select(F.col(f"`{text}`").alias("text")), hashed("h"), "h long").distinct()
+    wanted = own.join(there, "h", "left_semi").unionAll(own.where("h is null")).select(F.col("id").alias("__id")).distinct()
+    return checkpointed(kept.join(wanted, "__id", "left_semi").drop("__id"))
+
+
 def _scan(df: DataFrame, text: str, block: Block, schema, keep: list[str]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -184,7 +214,7 @@ def _scan(df: DataFrame, text: str, block: Block, schema, keep: list[str]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = block.automaton()
-        for batch in batches:
+        for batch in slices_of(batches):
             n, spans, found = [], [], []
             for x in as_bytes(batch.column(text)):
                 sequence = words(x)
@@ -214,7 +244,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     there twice counts once for each id. Repeated rows stay. Other columns are not read.
     """
     schema = extended(docs.select(key), n_words="long", spans="array<array<bigint>>", items="array<string>")
-    blocks = list(item_blocks(items, item, item_text, window, block_words))
+    blocks = list(item_blocks(occurring(items, docs, item_text, text, window, block_words), item, item_text, window, block_words))
     if len(blocks) == 1:
         return _scan(docs.select(key, text), text, blocks[0], schema, [key])
     rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), key, text))
@@ -226,11 +256,14 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         hits = found if hits is None else hits.unionAll(found.where("size(items) > 0"))
     merged = hits.groupBy("row").agg(F.first(key).alias(key), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
-    @F.udf("array<array<bigint>>", useArrow=True)
-    def joined(spans):
-        return _merge([list(s) for s in spans])
+    kind = docs.schema[key].dataType.simpleString()
+
+    def join(batch: pa.RecordBatch) -> dict:
+        spans = [_merge([list(s) for s in own]) for own in batch.column("spans").to_pylist()]
+        return {**{c: batch.column(c) for c in ("k", "n_words", "items")}, "spans": spans}
 
-    return merged.select(key, "n_words", joined("spans").alias("spans"), "items")
+    out = map_batches(merged.withColumnRenamed(key, "k"), join, f"k {kind}, n_words long, spans array<array<bigint>>, items array<string>")
+    return out.withColumnRenamed("k", key)
 
 
 def remove(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -248,6 +281,8 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "i
     todo = docs.select(row, F.col(text).alias("text"))
     done = None
     while True:
+        # what a cut brings together may be of an item that did not occur before
+        blocks = list(item_blocks(occurring(items, todo, item_text, "text", window, block_words), item, item_text, window, block_words))
         shape = extended(todo.select(row), n_words="long", spans="array<array<bigint>>", items="array<string>")
         hits = reduce(DataFrame.unionAll, (_scan(todo, "text", block, shape, [row]).where("size(items) > 0") for block in blocks))
         spans = hits.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("spans"))
