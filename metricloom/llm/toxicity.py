@@ -334,8 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     At most ``sample_rows`` keys of each class are used, the first by a hash of the key, of equal hashes the lesser key;
     all words of their documents count. With several labels the larger counts, rows with a null key or label are left out,
-    as are labels other than 0 and 1. With one class or none, the model scores every text with that class's share,
-    smoothed. Columns may have any names; only the key, the text and the label are read.
+    as are labels other than 0 and 1. With one class or none, the model scores every text with the share of toxic labels,
+    smoothed, which without labels is a quarter. Columns may have any names; only the key, the text and the label are read.
     """
     k, y = F.col(f"`{key}`"), F.col(f"`{label}`")
     known = labels.where(y.isin(0, 1) & k.isNotNull()).groupBy(k.alias("k")).agg(F.max(y).cast("int").alias("label")).where(fold("k") != 0)
@@ -347,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         chosen = part if chosen is None else chosen.unionAll(part)
     rows = chosen.collect()  # at most twice ``sample_rows`` keys
     counts = {c: sum(r.label == c for r in rows) for c in (0, 1)}
-    share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
+    share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 2)
     plain = Model(np.zeros(BUCKETS + 1, np.float32), START, np.array([math.log(share / (1 - share)), 0.0, 0.0]))
     if not counts[0] or not counts[1]:
         return plain

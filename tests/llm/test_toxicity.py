@@ -93,6 +93,7 @@ def test_odd_tables(spark, tables):
     docs, labels = tables
     for d, lab in ((docs, labels.limit(0)), (docs.limit(0), labels), (docs, labels.where("toxic = 1"))):
         assert tox.score(d, tox.fit(d, lab)).count() == d.count()
+    assert tox.keep_clean(docs, tox.fit(docs, labels.limit(0))).count() == docs.count()
     named = docs.selectExpr("doc_id AS k", "text AS label", "label AS text")
     same = tox.fit(named, labels.withColumnRenamed("doc_id", "k"), "k", "label")
     assert {r.k: r.predicted for r in tox.score(named, same, "k", "label").collect()}[None] == 1
