@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe, ctw, decontaminate, merkle, packing, pii, quality, simhash, suffix_dedup, toxicity
+from metricloom.llm import alignment, bpe, ctw, decontaminate, merkle, packing, pii, quality, simhash, suffix_dedup, toxicity
 from metricloom.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,7 +78,13 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.beside_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_merkle": op10_merkle}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_merkle": op10_merkle, "op11_alignment": op11_alignment}
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
