@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import alignment, bpe, ctw, decontaminate, merkle, packing, pii, quality, simhash, suffix_dedup, toxicity
+from metricloom.llm import alignment, bpe, ctw, decontaminate, divergence, merkle, packing, pii, quality, simhash, suffix_dedup, toxicity
 from metricloom.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -84,7 +84,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_merkle": op10_merkle, "op11_alignment": op11_alignment}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_merkle": op10_merkle, "op11_alignment": op11_alignment, "op12_divergence": op12_divergence}
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,4 +122,27 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT doc_id, sha256(unhex(string_agg(hex(b[k.s + 1 : k.e]), '' ORDER BY k.s))) AS kept_sha256 FROM k JOIN d USING (doc_id) GROUP BY doc_id)
         SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n.spans, 0) AS BIGINT) AS n_spans, kept_sha256
         FROM d JOIN x USING (doc_id) LEFT JOIN (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM s GROUP BY doc_id) n USING (doc_id)""",
+    "op12_divergence": rf"""
+        WITH d AS (
+          SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+                 regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS MATERIALIZED (SELECT lang, source, id, t, count(*) AS n FROM (SELECT lang, source, id, unnest(w) AS t FROM d) GROUP BY ALL),
+        k AS (SELECT lang, t FROM o GROUP BY lang, t HAVING count(*) >= 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT g.lang, count(t) AS v FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN k USING (lang) GROUP BY g.lang),
+        c AS MATERIALIZED (SELECT lang, source, t, sum(n) AS n FROM o JOIN k USING (lang, t) GROUP BY ALL),
+        s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        a AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY ALL),
+        l AS (SELECT lang, sum(total) AS total FROM s GROUP BY lang),
+        p AS MATERIALIZED (
+          SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * (coalesce(c.n, 0) + 1) AS HUGEINT) // (s.total + v.v)::HUGEINT AS p,
+                 1 + CAST(1000000000 * (a.n + 1) AS HUGEINT) // (l.total + v.v)::HUGEINT AS q
+          FROM g JOIN k USING (lang) JOIN s USING (lang, source) JOIN v USING (lang) JOIN a USING (lang, t) JOIN l USING (lang) LEFT JOIN c USING (lang, source, t)),
+        pairs AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.t = y.t AND x.source != y.source GROUP BY ALL),
+        every AS (
+          SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g x JOIN g y ON x.lang = y.lang AND x.source != y.source LEFT JOIN pairs z ON z.lang = x.lang AND z.source = x.source AND z.item = y.source
+          UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
 }
