@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import alignment, bpe, ctw, decontaminate, divergence, merkle, packing, pii, quality, simhash, suffix_dedup, toxicity
+from metricloom.llm import alignment, bpe, ctw, decontaminate, divergence, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity
 from metricloom.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -88,7 +88,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_merkle": op10_merkle, "op11_alignment": op11_alignment, "op12_divergence": op12_divergence}
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op4_ctw": op4_ctw, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_merkle": op10_merkle, "op11_alignment": op11_alignment, "op12_divergence": op12_divergence, "op13_mixing": op13_mixing}
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -145,4 +149,30 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
         r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
         SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op13_mixing": r"""
+        WITH RECURSIVE d AS MATERIALIZED (
+          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                 CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place, md5(coalesce(text, '')) AS tie FROM documents),
+        s AS MATERIALIZED (
+          SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, sum(source_size) OVER () AS total
+          FROM (SELECT source, sum(size) AS source_size FROM d GROUP BY source)),
+        l AS (  -- each round's words and weights of those that are not at their most
+          SELECT 0 AS round, sum(source_size)::HUGEINT AS free, sum(weight)::HUGEINT AS w FROM s
+          UNION ALL
+          SELECT round + 1, (SELECT max(total) - sum(CASE WHEN 3 * source_size * l.w <= weight * l.free THEN 3 * source_size ELSE 0 END) FROM s)::HUGEINT,
+                 (SELECT sum(CASE WHEN 3 * source_size * l.w <= weight * l.free THEN 0 ELSE weight END) FROM s)::HUGEINT
+          FROM l WHERE round < 30 AND w > 0),
+        v AS (SELECT free, w FROM l WHERE w > 0 ORDER BY round DESC LIMIT 1),
+        t AS (SELECT source, source_size::BIGINT AS source_size, CASE WHEN 3 * source_size * w <= weight * free THEN CAST(3 * source_size AS DOUBLE) ELSE weight * CAST(free AS DOUBLE) / CAST(w AS DOUBLE) END AS target FROM s, v),
+        p AS MATERIALIZED (
+          SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, before + copy * source_size AS start FROM p, (SELECT unnest([0, 1, 2]) AS copy) WHERE size > 0 AND before + copy * source_size < target),
+        u AS (
+          SELECT doc_id, tie, copy, source, place, 0 AS first, size AS words, (start + size) / target AS finish FROM c WHERE start + size <= target
+          UNION ALL
+          SELECT doc_id, tie, copy, source, place, i, least(64, size - i), (start + i + least(64, size - i)) / target FROM c, unnest(range(0, least(size, CAST(ceil(target - start) AS BIGINT)), 64)) AS x(i) WHERE start + size > target),
+        r AS (SELECT doc_id, tie, words, coalesce(sum(words) OVER (ORDER BY finish, source NULLS LAST, place, doc_id, tie, copy, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u),
+        k AS (SELECT doc_id, tie, sum(greatest(0, least(words, (SELECT max(total) FROM s) - before))) AS taken FROM r GROUP BY ALL)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN k USING (doc_id, tie)""",
 }
