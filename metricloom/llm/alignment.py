@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from metricloom.llm.common import checkpointed, extended
 
 #: Bytes of text that are held as tokens at a time.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Words after which a lane ends: a long document is several lanes, so that no step waits for it alone.
 LANE_WORDS = 1_000
 #: Words that are kept with their tokens; then the store begins anew.
