@@ -178,33 +178,56 @@ def item_blocks(items: DataFrame, item: str, text: str, window: int, limit: int
         yield Block(held, window)
 
 
+def few_words(items: DataFrame, text: str, limit: int) -> bool:
+    """Whether the items have no more than about ``limit`` words: a word takes two bytes with what parts it from the next."""
+    return (items.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0) <= 2 * limit
+
+
+#: Bits of the map of item windows that tasks test documents against: 8 MB, however many windows there are.
+MAP_BITS = 1 << 26
+
+
+def window_map(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash (column ``h``); hashes are summed to words of bits by Spark, so at most ``MAP_BITS`` bits come here."""
+    place = F.pmod("h", F.lit(MAP_BITS))
+    words_ = hashes.select(F.floor(place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words_.column("w").to_numpy()] = words_.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def occurring(items: DataFrame, docs: DataFrame, item_text: str, text: str, window: int, limit: int) -> DataFrame:
-    """The items that can occur in the documents: all of a benchmark of ``limit`` words or fewer, else those with a window
-    whose hash the documents have, and those shorter than a window."""
-    size = items.agg(F.sum(F.octet_length(F.col(f"`{item_text}`")))).first()[0] or 0
-    if size <= 2 * limit:  # a word takes two bytes with what parts it from the next
+    """The items that can occur in the documents: all of a benchmark of about ``limit`` words or fewer, else those with a window
+    whose hash the documents have, and those shorter than a window.
+
+    A map of the items' hashes, of one size, goes to the tasks, and only windows of documents that it has move on.
+    """
+    if few_words(items, item_text, limit):
         return items
     from xxhash import xxh3_64_intdigest
 
-    def hashed(column: str):
+    def hashed(column: str, known: np.ndarray | None = None):
         def run(batch: pa.RecordBatch) -> dict:
             out, at = [], []
             for k, x in enumerate(as_bytes(batch.column("text"))):
                 w = words(x)
-                found = [xxh3_64_intdigest(b" ".join(w[i : i + window])) - (1 << 63) for i in range(len(w) - window + 1)]
-                if column == "id" and len(w) < window:
-                    found = [None]
-                out += found
-                at += [k] * len(found)
+                found = np.array([xxh3_64_intdigest(b" ".join(w[i : i + window])) - (1 << 63) for i in range(len(w) - window + 1)], np.int64)
+                if known is not None:
+                    place = found & np.int64(MAP_BITS - 1)
+                    found = found[known[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) > 0]
+                none = [None] if column == "id" and len(w) < window else []
+                out += [*found.tolist(), *none]
+                at += [k] * (len(found) + len(none))
             return {"h": out} if column == "h" else {"h": out, "id": batch.column("id").take(pa.array(at, pa.int64()))}
 
         return run
 
-    kept = items.withColumn("__id", F.md5(F.coalesce(F.col(f"`{item_text}`"), F.lit(""))))
-    own = map_batches(kept.select(F.col("__id").alias("id"), F.col(f"`{item_text}`").alias("text")), hashed("id"), "h long, id string")
-    there = map_batches(docs.select(F.col(f"`{text}`").alias("text")), hashed("h"), "h long").distinct()
-    wanted = own.join(there, "h", "left_semi").unionAll(own.where("h is null")).select(F.col("id").alias("__id")).distinct()
-    return checkpointed(kept.join(wanted, "__id", "left_semi").drop("__id"))
+    kept = items.select(F.struct(*(F.col(f"`{c}`") for c in items.columns)).alias("item"), F.md5(F.coalesce(F.col(f"`{item_text}`"), F.lit(""))).alias("id"))
+    own = checkpointed(map_batches(kept.select("id", F.col("item")[item_text].alias("text")), hashed("id"), "h long, id string"))
+    known = window_map(own.where("h is not null"))
+    there = map_batches(docs.select(F.col(f"`{text}`").alias("text")), hashed("h", known), "h long").distinct()
+    wanted = own.join(there, "h", "left_semi").unionAll(own.where("h is null")).select("id").distinct()
+    return checkpointed(kept.join(wanted, "id", "left_semi").select("item.*"))
 
 
 def _scan(df: DataFrame, text: str, block: Block, schema, keep: list[str]) -> DataFrame:
@@ -273,12 +296,13 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "i
     comes together around a cut is searched again for all items until nothing is found. A text without hits, null or empty
     ones included, is left as it is.
     """
-    blocks = list(item_blocks(items, item, item_text, window, block_words))
-    if len(blocks) == 1:
-        return _cut(docs, text, blocks[0], max_coverage)
-    names, row = docs.columns, "__row"
-    docs = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
-    todo = docs.select(row, F.col(text).alias("text"))
+    if few_words(items, item_text, block_words):
+        blocks = list(item_blocks(items, item, item_text, window, block_words))
+        if len(blocks) == 1:
+            return _cut(docs, text, blocks[0], max_coverage)
+    names, row = docs.columns, "row"
+    docs = checkpointed(docs.select(F.monotonically_increasing_id().alias(row), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")))
+    todo = docs.select(row, F.col("doc")[text].alias("text"))
     done = None
     while True:
         # what a cut brings together may be of an item that did not occur before
@@ -292,10 +316,9 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "i
         done = cut if done is None else checkpointed(done.join(cut.select(row), row, "left_anti").unionAll(cut))
         todo = cut.where("stays").select(row, "text")
     if done is None:
-        return docs.select(*names)
-    new = done.select(row, F.col("text").alias("__new"), F.col("stays").alias("__stays"))
-    kept = docs.join(new, row, "left").where("coalesce(__stays, true)")
-    return kept.select(*(F.coalesce("__new", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in names))
+        return docs.select("doc.*")
+    kept = docs.join(done.select(row, "text", "stays"), row, "left").where("coalesce(stays, true)")
+    return kept.select(*(F.coalesce("text", F.col("doc")[c]).alias(c) if c == text else F.col("doc")[c].alias(c) for c in names))
 
 
 def _without(data: bytes, spans: list[list[int]]) -> bytes:
@@ -323,10 +346,12 @@ def _cut_spans(found: DataFrame, row: str, max_coverage: float) -> DataFrame:
 
 
 def _cut(docs: DataFrame, text: str, block: Block, max_coverage: float) -> DataFrame:
+    names, place = docs.columns, docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = block.automaton()
         for batch in slices_of(batches):
-            column = batch.column(text)
+            column = batch.column(place)
             out, keep, changed = column.to_pylist(), [], False
             for k, x in enumerate(out):
                 data, stays = (x or "").encode(), True
@@ -342,10 +367,11 @@ def _cut(docs: DataFrame, text: str, block: Block, max_coverage: float) -> DataF
                     out[k], changed = data.decode(), True
                 keep.append(stays)
             if changed:
-                batch = batch.set_column(batch.schema.get_field_index(text), batch.schema.field(text), pa.array(out, column.type))
+                batch = batch.set_column(place, batch.schema.field(place), pa.array(out, column.type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

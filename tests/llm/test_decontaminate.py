@@ -100,3 +100,32 @@ def test_removal_is_alike_with_one_block_and_many(spark):
     assert sorted(map(str, many.collect())) == wanted
     assert len(wanted) < len(texts) and not any("doc_id=0," in x for x in wanted)
     assert sorted(map(str, de.remove(docs.where("doc_id in (2, 3, 4)"), bench, block_words=24).collect())) == [x for x in wanted if re.match(r"Row\(doc_id=[234],", x)]
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Whatever the blocks: names that the operator uses itself, and names with dots."""
+    item = " ".join(f"w{i}" for i in range(12))
+    names = ["doc_id", "text", "row", "__row", "__new", "__stays", "stays", "doc", "h", "id", "a.b"]
+    rows = [(1, f"{item} " + "other words " * 20, *("mine",) * 9), (2, None, *("yours",) * 9), (3, item, *("gone",) * 9)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    bench = spark.createDataFrame([("1", item, "x", "y"), ("2", " ".join(f"v{i}" for i in range(400)), "x", "y")], "item_id string, text string, __id string, id string")
+    for limit in (12, 10_000):
+        out = de.remove(docs, bench, block_words=limit)
+        assert out.columns == names
+        assert sorted(tuple(r)[2:] for r in out.collect()) == [("mine",) * 9, ("yours",) * 9]
+        found = {r.doc_id: r.n_hit for r in de.digest(de.matches(docs, bench, block_words=limit)).collect()}
+        assert found == {1: 12, 2: 0, 3: 12}
+
+
+def test_only_windows_that_items_may_have_leave_tasks(spark, monkeypatch):
+    """A benchmark far larger than a block: the map rules out nearly all windows, and what occurs is found."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"t{rng.randrange(10**9)}" for _ in range(n))
+    items = [(str(i), text(30)) for i in range(2_000)]
+    docs = [(i, text(50) + " " + items[i * 97][1] + " " + text(50)) for i in range(20)] + [(20 + i, text(120)) for i in range(200)]
+    bench, frame = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(de, "MAP_BITS", 1 << 20)
+    kept = de.occurring(bench, frame, "text", "text", 10, 1_000)
+    assert {r.item_id for r in kept.collect()} == {str(i * 97) for i in range(20)}
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in de.digest(de.matches(frame, bench, block_words=1_000)).collect()}
+    assert got == {i: (30, 1) if i < 20 else (0, 0) for i in range(220)}
