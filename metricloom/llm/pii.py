@@ -15,6 +15,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,13 +44,20 @@ CARD = re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\.?\d)")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d|\d)")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_SMALL = re.compile(r"(?<!\w)[a-z]{2}\d{2}[a-z0-9]{10,30}(?!\w)")
 SECRET = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)["']?\s*[=:]\s*["']?([A-Za-z0-9_\-+/]{16,})""")
 # Tokens that tell themselves by how they begin: web tokens, cloud and code-hosting keys, and private keys between marks.
 TOKEN = re.compile(r"(?<![\w-])(?:eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})(?![\w-])")
 PRIVATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]{16,}?)\s+-----END")
 IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 BORN = re.compile(r"(?i)(?<!\w)(?:born(?: on)?|date of birth|dob|geboren am|née? le|nacid[oa] el)[:\s]+((?:19|20)\d\d-\d\d-\d\d|\d\d[./-]\d\d[./-](?:19|20)\d\d)(?!\d)")
-PERSON = re.compile(r"(?<!\w)(" + "|".join(t.capitalize() for t in TITLES) + r")\.? ([A-ZА-ЯÀ-Ý][\wÀ-ÿ]+(?: [A-ZА-ЯÀ-Ý][\wÀ-ÿ]+)?)")
+SSN_SAID = re.compile(r"(?i)(?<!\w)(?:ssn|social security(?: number)?)(?: is| no\.?)?[:#\s]*(\d{9})(?!\d)")
+# Small words within surnames, which stay as they are.
+PARTICLES = "van von der den de del della di da du la le bin al".split()
+UPPER = "A-ZА-ЯÀ-Ý"
+#: A name: Quill, Jean-Pierre, O'Brien; what follows an apostrophe in small letters is no part of it.
+NAME = rf"[{UPPER}](?:[\wÀ-ÿ]+|['’][{UPPER}][\wÀ-ÿ]+)(?:-[\wÀ-ÿ]+|['’][{UPPER}][\wÀ-ÿ]+)*"
+PERSON = re.compile(rf"(?<!\w)({'|'.join(t.capitalize() for t in TITLES)})\.? ({NAME}(?:(?: (?:{'|'.join(PARTICLES)}))* {NAME})?)")
 
 
 def luhn(digits: str) -> int:
@@ -79,27 +87,58 @@ def is_ip6(text: str) -> bool:
 
 
 def mentions(text: str, names: list[str]) -> Iterator[tuple[int, int, str]]:
-    """Where persons are named again without a title: by the whole name, by the surname, by the given name."""
+    """Where persons are named again without a title: by the whole name, by the surname, by the given name.
+
+    Names are looked up by their first word, the longest one first, so the text is passed once however many there are.
+    """
     wanted: dict[str, str] = {}
     for name in names:
-        given, _, surname = name.rpartition(" ")
+        given, _, surname = name.partition(" ")
         wanted[name] = "person"
-        for part, kind in ((surname, "surname"), (given, "given")):
+        last = surname.rpartition(" ")[2]
+        for part, kind in ((surname or given, "surname" if surname else "person"), (last, "surname"), (given, "given")):
             if len(part) > 2:
-                wanted.setdefault(part, "person" if not given else kind)
-    choices = "|".join(sorted(map(re.escape, wanted), key=len, reverse=True))
-    for m in re.finditer(rf"(?<!\w)(?:{choices})(?!\w)", text):
-        yield *m.span(), wanted[m[0]]
+                wanted.setdefault(part, kind)
+    by_word: dict[str, list[str]] = {}
+    for name in sorted(wanted, key=len, reverse=True):
+        by_word.setdefault(WORD.match(name)[0], []).append(name)
+    at = 0
+    for m in WORD.finditer(text):
+        for name in by_word.get(m[0], ()) if m.start() >= at else ():
+            end = m.start() + len(name)
+            if text.startswith(name, m.start()) and not WORD.match(text[end : end + 1]):
+                yield m.start(), end, wanted[name]
+                at = end
+                break
+
+
+WORD = re.compile(r"\w+")
+
+
+class Spans:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.found: list[tuple[int, int, str]] = []
+
+    def add(self, start: int, end: int, kind: str) -> None:
+        """The span, unless one that is there overlaps it."""
+        i = bisect_left(self.starts, end)  # only the last one that begins before its end can
+        if i and self.found[i - 1][1] > start:
+            return
+        self.starts.insert(i, start)
+        self.found.insert(i, (start, end, kind))
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of what is found, without overlaps; where kinds meet the one named first stands."""
-    found: list[tuple[int, int, str]] = []
+    out = Spans()
 
     def add(kind: str, spans: Iterator[tuple[int, int]], ok: Callable[[str], bool] = lambda x: True) -> None:
         for s, e in spans:
-            if ok(text[s:e]) and not any(s < b and a < e for a, b, _ in found):
-                found.append((s, e, kind))
+            if ok(text[s:e]):
+                out.add(s, e, kind)
 
     spans = lambda pattern, group=0: (m.span(group) for m in pattern.finditer(text))
     digits = lambda x: re.sub(r"\D", "", x)
@@ -115,16 +154,18 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             add("ip6", spans(IP6), is_ip6)
         add("born", spans(BORN, 1), lambda x: born(x) is not None)
         add("iban", spans(IBAN), lambda x: mod97(x[:2], re.sub(r"\s", "", x)[4:]) == int(x[2:4]))
+        add("iban", spans(IBAN_SMALL), lambda x: mod97(x[:2], x[4:]) == int(x[2:4]))
         add("ip", spans(IP4))
         add("card", spans(CARD), lambda x: luhn(digits(x)[:-1]) == int(digits(x)[-1]))
         add("ssn", spans(SSN))
+        add("ssn", spans(SSN_SAID, 1))
         add("phone", spans(PHONE), lambda x: 8 <= len(digits(x)) <= 15)
     add("person", spans(PERSON, 2))
-    names = sorted({text[s:e] for s, e, kind in found if kind == "person"})
+    names = sorted({text[s:e] for s, e, kind in out.found if kind == "person"})
     if names:
         for s, e, kind in mentions(text, names):
-            add(kind, iter([(s, e)]))
-    return sorted(found)
+            out.add(s, e, kind)
+    return out.found
 
 
 class Surrogates:
@@ -181,7 +222,7 @@ class Surrogates:
         if kind == "phone":
             return re.sub(r"\D", "", text)[-10:]
         if kind == "iban":
-            return re.sub(r"\s", "", text)
+            return re.sub(r"\s", "", text).upper()
         if kind == "ip6":
             return ipaddress.ip_address(text).exploded
         if kind == "born":
@@ -234,10 +275,11 @@ class Surrogates:
         return self._filled(text, self.letters(re.sub(r"\D", "", text), "ssn"))
 
     def _iban(self, text: str) -> str:
-        own = re.sub(r"\s", "", text)
+        own = re.sub(r"\s", "", text).upper()
         account = self.letters(own[4:].lower(), "iban" + own[:2]).upper()
         left = iter(f"{own[:2]}{mod97(own[:2], account):02d}{account}")
-        return "".join(c if c.isspace() else next(left) for c in text)
+        new = "".join(c if c.isspace() else next(left) for c in text)
+        return new.lower() if text == text.lower() else new
 
     def _secret(self, text: str) -> str:
         low = text.lower()
@@ -256,15 +298,23 @@ class Surrogates:
             return names[self.permute(names.index(part), len(names), f"given{known}")]
         return self.letters(part, role, lambda x: x not in GIVEN)
 
+    def _name(self, text: str, role: str) -> str:
+        """Each part between hyphens and spaces by itself, written as the original is; small words within surnames stay."""
+        out = []
+        for part in re.split(r"([-\s])", text):
+            new = part if not part or part in "- " or part in PARTICLES else self._part(part.lower(), role)
+            out.append(new if new == part else self._cased(part, new) if len(new) == len(part) else new.capitalize())
+        return "".join(out)
+
     def _surname(self, text: str) -> str:
-        return self._part(text.lower(), "name").capitalize()
+        return self._name(text, "name")
 
     def _given(self, text: str) -> str:
-        return self._part(text.lower(), "given").capitalize()
+        return self._name(text, "given")
 
     def _person(self, text: str) -> str:
-        given, _, surname = text.rpartition(" ")
-        return f"{self._given(given)} {self._surname(surname)}" if given else self._surname(surname)
+        given, _, surname = text.partition(" ")
+        return f"{self._given(given)} {self._surname(surname)}" if surname else self._surname(given)
 
     def _ip6(self, text: str) -> str:
         """The first two bytes, which tell the kind of address, stay."""

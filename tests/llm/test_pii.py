@@ -137,3 +137,37 @@ def test_query_against_a_loop_and_no_collisions(spark, sf_dir):
         for *_, kind, new in found:
             originals.setdefault((kind, own.normal(kind, new)), 0)
     assert len(originals) > 50
+
+
+def test_names_with_hyphens_apostrophes_and_small_words():
+    own = pii.Surrogates(b"k")
+    text = "Mr. Jean-Pierre Dupont-Roy met Mrs. O'Brien and Dr. Anna van der Berg; O'Brien's dog, Jean-Pierre, Berg and van der Berg again. Mr. Brown's hat."
+    new, found = pii.replaced(text, own)
+    by = {}
+    for s, e, kind, surrogate in found:
+        by.setdefault(text[s:e], set()).add(surrogate)
+    assert set(by) == {"Jean-Pierre Dupont-Roy", "O'Brien", "Anna van der Berg", "Jean-Pierre", "Berg", "van der Berg", "Brown"} and all(len(x) == 1 for x in by.values())
+    one = {k: next(iter(v)) for k, v in by.items()}
+    assert one["Jean-Pierre Dupont-Roy"].split()[0] == one["Jean-Pierre"] and one["Anna van der Berg"].split()[1:] == one["van der Berg"].split() and one["van der Berg"].split()[2] == one["Berg"]
+    assert "Jean" not in new and "Pierre" not in new and "Brien" not in new and " van der " in new and re.search(r"[A-Z]'[A-Z]\w+", new) and "'s hat" in new
+    assert own.replace("person", "O'Brien") != own.replace("person", "O'Brian")
+
+
+def test_numbers_that_words_tell():
+    text = "my SSN 123456789, Social Security number is 987654321, iban de89370400440532013000 and 123456789 alone"
+    new, found = pii.replaced(text, pii.Surrogates(b"k"))
+    assert [k for *_, k, _ in found] == ["ssn", "ssn", "iban"] and new.endswith("and 123456789 alone")
+    iban = found[2][3]
+    assert iban == iban.lower() and pii.mod97(iban[:2], iban[4:]) == int(iban[2:4])
+
+
+def test_a_directory_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"Mr. Name{'abcdefghij'[i % 10]}{i} Last{i} <u{i}@h{i % 50}.example>" for i in range(n))
+        began = time.perf_counter()
+        assert len(pii.entities(text)) == 2 * n
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 12 * max(seconds(4_000), 0.02)
