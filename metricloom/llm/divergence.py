@@ -275,7 +275,7 @@ def audit(df: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = RANKS, bits:
     sizes = groups.groupBy("lang").agg(F.count("*").alias("width")).join(found.groupBy("lang").agg(F.count("*").alias("terms")), "lang")
     whole = sums.groupBy("lang").agg(F.lit(-1).alias("no"), F.sum("n").alias("n"))
     every = groups.join(sums, ["lang", "no"], "left").select("lang", "no", F.coalesce("n", F.lit(0)).alias("n")).unionAll(whole)
-    dealt = sizes.select("lang", "terms", F.ceil(F.col("terms") / F.greatest("width", F.lit(GROUP_TERMS))).cast("long").alias("deals"))
+    dealt = checkpointed(sizes.select("lang", "terms", F.ceil(F.col("terms") / F.greatest("width", F.lit(GROUP_TERMS))).cast("long").alias("deals")))
     header = every.join(dealt, "lang").select("lang", "no", (F.col("n") + F.col("terms")).alias("total"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
     rows = found.join(dealt.select("lang", "deals"), "lang").withColumn("deal", F.pmod(F.xxhash64("digest", "more"), "deals")).drop("deals")
 
