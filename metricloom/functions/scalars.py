@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ def above(prediction: Column, threshold) -> Column:
     return (prediction > threshold) & ~F.isnan(prediction)
 
 
+def numbers(values: Sequence[float], kind: str = "double") -> Column:
+    """An array of constants as one literal, however many there are; the optimizer makes it a constant."""
+    if not len(values):
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def null_if_nan(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 

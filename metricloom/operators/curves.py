@@ -10,10 +10,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import above, div
+from metricloom.functions.scalars import above, div, numbers
 from metricloom.operators.slicing import SlicingSpec, fan_out
 
 EPS = 1e-7
+#: The four sums of a confusion matrix.
+CELLS = ("tp", "fp", "fn", "tn")
 
 
 def histogram(df: DataFrame, specs: Sequence[SlicingSpec] = (), buckets: int = 10_000, left: float = 0.0, right: float = 1.0, by: Sequence[str] = (), label: str = "label", prediction: str = "prediction", weight: str = "weight") -> DataFrame:
@@ -24,12 +26,17 @@ def histogram(df: DataFrame, specs: Sequence[SlicingSpec] = (), buckets: int = 1
     """
     needed = sorted({c for s in specs for c in s.columns()} - set(by))
     w, l, p = (F.col(c).cast("double") for c in (weight, label, prediction))
-    bucket = F.when(F.isnan(p), F.lit(0).cast("long")).otherwise(F.expr(f"width_bucket(CAST(`{prediction}` AS DOUBLE), {left}D, {right}D, {buckets})"))
-    placed = df.withColumn("bucket", bucket).where(F.col("bucket").isNotNull())
+    placed = bucketed(df, prediction, buckets, left, right)
     first = placed.groupBy(*(f"`{c}`" for c in needed), *by, "bucket").agg(F.sum(w).alias("w"), F.sum(w * l).alias("wl"), F.sum(w * F.nanvl(p, F.lit(0.0))).alias("wp"))
     return fan_out(first, specs).groupBy("slice_key", *by, "bucket").agg(*(F.sum(c).alias(c) for c in ("w", "wl", "wp")))
 
 
+def bucketed(df: DataFrame, prediction: str = "prediction", buckets: int = 10_000, left: float = 0.0, right: float = 1.0) -> DataFrame:
+    """The rows with a prediction, with its ``bucket``."""
+    bucket = F.when(F.isnan(F.col(prediction).cast("double")), F.lit(0).cast("long")).otherwise(F.expr(f"width_bucket(CAST(`{prediction}` AS DOUBLE), {left}D, {right}D, {buckets})"))
+    return df.withColumn("bucket", bucket).where(F.col("bucket").isNotNull())
+
+
 def exact_matrices(df: DataFrame, thresholds: Sequence[float], specs: Sequence[SlicingSpec] = (), by: Sequence[str] = (), label: str = "label", prediction: str = "prediction", weight: str = "weight") -> DataFrame:
     """``slice_key, *by, threshold, tp, fp, fn, tn`` counted row by row at a few thresholds: positive strictly above."""
     from metricloom.operators.metrics import Row, cell
@@ -42,6 +49,36 @@ def exact_matrices(df: DataFrame, thresholds: Sequence[float], specs: Sequence[S
     return sums.select("slice_key", *by, F.inline(cells))
 
 
+def cell_examples(df: DataFrame, thresholds: Sequence[float], identity: str, size: int = 100, specs: Sequence[SlicingSpec] = (), label: str = "label", prediction: str = "prediction", order: Column | None = None) -> DataFrame:
+    """``slice_key, threshold, cell, ids``: at most ``size`` rows' ids of each cell at each of a few thresholds.
+
+    The first by a hash of the id (or by ``order``, then the id), so the same rows give the same ids. Rows are put between
+    thresholds; of each such bin and class only the first ids leave a task, and go on from one grouping of slices to all of
+    them: a cell's first ids are among the first of its bins. A label between 0 and 1 belongs to either class; repeated
+    ids count once; a null id is no example.
+    """
+    bounds = sorted(set(map(float, thresholds)))
+    needed = sorted({c for s in specs for c in s.columns()})
+    p, l = F.col(prediction).cast("double"), F.col(label).cast("double")
+    passed = F.when(F.isnan(p), 0).when(p.isNotNull(), F.size(F.filter(numbers(bounds), lambda t: t < p)))
+    classes = F.array_compact(F.array(F.when(l > 0, True), F.when(l < 1, False)))
+    rows = df.select(*(f"`{c}`" for c in needed), F.col(identity).alias("__id"), passed.alias("__bin"), F.explode(classes).alias("__on"), (F.xxhash64(identity) if order is None else order).alias("__o"))
+    rows = rows.where("__bin IS NOT NULL AND __id IS NOT NULL")
+
+    def first(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+        own = Window.partitionBy(*by).orderBy("__o", "__id")
+        # equal ids stand together: a rank without gaps counts each once
+        return frame.withColumn("__r", F.dense_rank().over(own)).where(F.col("__r") <= size).drop("__r").distinct()
+
+    kept = first(fan_out(first(rows, [*(f"`{c}`" for c in needed), "__bin", "__on"]), specs).select("slice_key", "__bin", "__on", "__id", "__o"), ["slice_key", "__bin", "__on"])
+    each = kept.select("*", F.posexplode(numbers(bounds)).alias("__i", "threshold"))
+    up = F.col("__bin") > F.col("__i")
+    cell = F.when(up, F.when(F.col("__on"), "tp").otherwise("fp")).otherwise(F.when(F.col("__on"), "fn").otherwise("tn"))
+    found = first(each.select("slice_key", "threshold", cell.alias("cell"), "__id", "__o"), ["slice_key", "threshold", "cell"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("__o", "__id"))), lambda x: x["__id"])
+    return found.groupBy("slice_key", "threshold", "cell").agg(ids.alias("ids"))
+
+
 def interpolated_thresholds(n: int) -> list[float]:
     """Just below 0, evenly between, just above 1."""
     return [-EPS, *((i + 1) / (n - 1) for i in range(n - 2)), 1 + EPS]
@@ -53,10 +90,10 @@ def matrices(hist: DataFrame, thresholds: Sequence[float], buckets: int = 10_000
     Buckets are put between thresholds first; sums from the end run over at most one row for each threshold.
     """
     ordered = sorted(set(thresholds))
-    points = F.lit(ordered).cast("array<double>")
+    points = numbers([float(t) for t in ordered])
     # how many thresholds lie at or below each bucket's start
     before = [0, *(bisect_right(ordered, left + b * ((right - left) / buckets) + 1e-12) for b in range(buckets + 1))]
-    binned = hist.withColumn("at", F.element_at(F.lit(before).cast("array<int>"), F.col("bucket").cast("int") + 1)).groupBy("slice_key", *by, "at").agg(F.sum("w").alias("w"), F.sum("wl").alias("wl"))
+    binned = hist.withColumn("at", F.element_at(numbers(before, "int"), F.col("bucket").cast("int") + 1)).groupBy("slice_key", *by, "at").agg(F.sum("w").alias("w"), F.sum("wl").alias("wl"))
     groups = binned.groupBy("slice_key", *by).agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("w", "wl")))).alias("m"))
     every = groups.select("slice_key", *by, "m", F.posexplode(points).alias("i", "threshold"))
     amount = lambda name, lo, hi: F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda a, k: a + F.coalesce(F.try_element_at("m", k)[name], F.lit(0.0)))
@@ -65,8 +102,8 @@ def matrices(hist: DataFrame, thresholds: Sequence[float], buckets: int = 10_000
     else:
         value = lambda name, k: F.coalesce(F.try_element_at("m", k)[name], F.lit(0.0))
         flat = every.select("slice_key", *by, "threshold", "i", *(value(n, F.col("i") + 1).alias(n) for n in ("w", "wl")), *(value(n, F.lit(0)).alias(f"{n}_first") for n in ("w", "wl")))
-        over = Window.partitionBy("slice_key", *by).orderBy("i")
-        end, before = over.rowsBetween(0, Window.unboundedFollowing), over.rowsBetween(Window.unboundedPreceding, -1)
+        own = Window.partitionBy("slice_key", *by)
+        end, before = own.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0), own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
         above = flat.select("slice_key", *by, "threshold", *(F.sum(n).over(end).alias(f"{n}_above") for n in ("w", "wl")), *((F.col(f"{n}_first") + F.coalesce(F.sum(n).over(before), F.lit(0.0))).alias(f"{n}_below") for n in ("w", "wl")))
     return above.select(
         "slice_key", *by, "threshold", F.col("wl_above").alias("tp"), (F.col("w_above") - F.col("wl_above")).alias("fp"), F.col("wl_below").alias("fn"), (F.col("w_below") - F.col("wl_below")).alias("tn")
@@ -107,7 +144,7 @@ def _area(curve: str, method: str) -> Column:
     return (x - x2) * {"interpolation": (y + y2) / 2, "minoring": F.when(both, F.least(y, y2)), "majoring": F.when(both, F.greatest(y, y2))}[method]
 
 
-#: Metrics that take the most of one rate where another one meets a bound: dependent rate, bounded rate, whether at least.
+#: Metrics that take the most of one rate where another one meets a bound: dependent rate, bounded rate, whether at least.
 CONSTRAINED = {
     "SensitivityAtSpecificity": ("tpr", "tnr", True),
     "SpecificityAtSensitivity": ("tnr", "tpr", True),
@@ -151,16 +188,11 @@ def unpivot(frame: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) ->
 def jackknife(cells: DataFrame, areas: Mapping[str, tuple[str, str]] | None = None, bounds: Mapping[str, tuple[str, float]] | None = None, samples: int = 20) -> DataFrame:
     """``slice_key, metric, value, ...`` with intervals, from cells by a row's bucket ``__b``: a sample is the cells of all
     rows less those of a bucket, so no row is looked at again."""
-    from metricloom.operators.confidence import interval
+    from metricloom.operators.confidence import Sampling, intervals
 
-    four = ("tp", "fp", "fn", "tn")
-    names = [*(areas or {}), *(bounds or {})]
-    whole = cells.groupBy("slice_key", "threshold").agg(*(F.sum(c).alias(c) for c in four))
-    lesser = cells.select("slice_key", "threshold", F.col("__b").cast("int").alias("__b"), *(F.col(c).alias(f"-{c}") for c in four))
-    each = whole.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).join(lesser, ["slice_key", "threshold", "__b"], "left")
-    left = each.select("slice_key", "threshold", "__b", *((F.col(c) - F.coalesce(F.col(f"`-{c}`"), F.lit(0.0))).alias(c) for c in four))
-    loose = unpivot(summary(left, areas, bounds, ["__b"]), names, ["__b"])
-    return interval(loose, unpivot(summary(whole, areas, bounds), names), F.stddev_samp("value") * ((samples - 1) / samples**0.5), samples)
+    sampling, names = Sampling("jackknife", samples), [*(areas or {}), *(bounds or {})]
+    each = sampling.samples_of(cells, ["slice_key", "threshold"], CELLS)
+    return intervals(unpivot(summary(each, areas, bounds, ["__b"]), names, ["__b"]), sampling, ["slice_key", "metric"])
 
 
 def auc(cells: DataFrame, curve: str = "ROC", method: str = "interpolation", by: Sequence[str] = ()) -> DataFrame:
@@ -181,13 +213,13 @@ def confusion_plot(hist: DataFrame, thresholds: int = 1000, buckets: int = 10_00
     return with_rates(matrices(hist, [-1e-6, *(i / thresholds for i in range(thresholds + 1))], buckets))
 
 
-def calibration_plot(hist: DataFrame, buckets: int = 10_000, points: int = 1000, left: float = 0.0, right: float = 1.0) -> DataFrame:
+def calibration_plot(hist: DataFrame, buckets: int = 10_000, points: int = 1000, left: float = 0.0, right: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """``slice_key, lower, upper, w, wl, wp``: the histogram's buckets put together to so many, and all outside at the ends."""
     each = buckets // points
     group = F.when(F.col("bucket") == 0, -1).when(F.col("bucket") == buckets + 1, points).otherwise(F.floor((F.col("bucket") - 1) / each)).cast("int")
     width = (right - left) / points
     bounds = (F.when(F.col("g") < 0, float("-inf")).otherwise(F.lit(left) + F.col("g") * width).alias("lower"), F.when(F.col("g") < 0, left).when(F.col("g") >= points, float("inf")).otherwise(F.lit(left) + (F.col("g") + 1) * width).alias("upper"))
-    return hist.withColumn("g", group).groupBy("slice_key", "g").agg(*(F.sum(c).alias(c) for c in ("w", "wl", "wp"))).select("slice_key", *bounds, "w", "wl", "wp")
+    return hist.withColumn("g", group).groupBy("slice_key", *by, "g").agg(*(F.sum(c).alias(c) for c in ("w", "wl", "wp"))).select("slice_key", *by, *bounds, "w", "wl", "wp")
 
 
 def score_distribution(hist: DataFrame, thresholds: int = 1000, buckets: int = 10_000) -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from metricloom.functions import boxes
-from metricloom.operators.slicing import SlicingSpec, fan_out
+from metricloom.functions.scalars import numbers
+from metricloom.operators.confidence import Sampling
+from metricloom.operators.slicing import SlicingSpec
 
 
 def matched(df: DataFrame, truth: str = "truth", found: str = "found", iou: Sequence[float] = (0.5,), classes: Sequence[int | None] = (None,), area: tuple[float, float] | None = None, most: int | None = None, weight: str | None = None) -> DataFrame:
@@ -61,37 +63,41 @@ def stacked(columns: Sequence[str], count: str | None = None):
     return rows if count is None else F.slice(rows, 1, F.col(count))
 
 
-def curve(rows: DataFrame, specs: Sequence[SlicingSpec] = ()) -> DataFrame:
+def curve(rows: DataFrame, specs: Sequence[SlicingSpec] = (), sampling: Sampling | None = None) -> DataFrame:
     """``slice_key, iou, class_id, threshold, tp, fp, positives``: at each distinct score of a slice, IoU and class.
 
     Scores are summed first; the running sums then go over distinct scores to four places at most, as a histogram.
     """
-    from pyspark.sql import Window
-
-    binned = fan_out(rows, specs).withColumn("threshold", F.floor(F.col("prediction") * 10_000) / 10_000).groupBy("slice_key", "iou", "class_id", "threshold").agg(
-        F.sum(F.when(F.col("prediction") > 0, F.col("weight") * F.col("label")).otherwise(0.0)).alias("t"), F.sum(F.col("weight") * (1 - F.col("label"))).alias("f"), F.sum(F.col("weight") * F.col("label")).alias("l")
-    )
-    group = Window.partitionBy("slice_key", "iou", "class_id")
+    states = {
+        "t": F.when(F.col("prediction") > 0, F.col("weight") * F.col("label")).otherwise(0.0), "f": F.col("weight") * (1 - F.col("label")), "l": F.col("weight") * F.col("label"),
+    }
+    placed = rows.withColumn("threshold", F.floor(F.col("prediction") * 10_000) / 10_000)
+    binned = (sampling or Sampling()).sums(placed, specs, states, ["iou", "class_id", "threshold"])
+    keys = _keys(sampling)
+    group = Window.partitionBy(*keys)
     down = group.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return binned.select("slice_key", "iou", "class_id", "threshold", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), F.sum("l").over(group).alias("positives"))
+    return binned.select(*keys, "threshold", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), F.sum("l").over(group).alias("positives"))
+
 
+def _keys(sampling: Sampling | None) -> list[str]:
+    return ["slice_key", "iou", "class_id", *(["__b"] if sampling else [])]
 
-def average_precision(rows: DataFrame, recalls: Sequence[float] = tuple(i / 100 for i in range(101)), specs: Sequence[SlicingSpec] = ()) -> DataFrame:
+
+def average_precision(rows: DataFrame, recalls: Sequence[float] = tuple(i / 100 for i in range(101)), specs: Sequence[SlicingSpec] = (), sampling: Sampling | None = None) -> DataFrame:
     """``slice_key, iou, class_id, value, recall``: the mean over recalls of the best precision at that recall or more,
     and the greatest recall; null without positives."""
-    from pyspark.sql import Window
-
-    reached = F.size(F.filter(F.lit(list(map(float, recalls))).cast("array<double>"), lambda r: r <= F.col("recall")))
-    points = curve(rows, specs).withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "positives")}).withColumn("reached", F.coalesce(reached, F.lit(0)))
-    down = Window.partitionBy("slice_key", "iou", "class_id").orderBy(F.desc("threshold"))
-    best = F.coalesce(F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
-    steps = points.withColumn("part", best * (F.col("reached") - F.coalesce(F.lag("reached").over(down), F.lit(0))))
-    return steps.groupBy("slice_key", "iou", "class_id").agg(F.when(F.max("positives") > 0, F.sum("part") / len(recalls)).alias("value"), F.max("recall").alias("recall"))
+    reached = F.size(F.filter(numbers(list(map(float, recalls))), lambda r: r <= F.col("recall")))
+    points = curve(rows, specs, sampling).withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "positives")}).withColumn("reached", F.coalesce(reached, F.lit(0)))
+    own = Window.partitionBy(*_keys(sampling))
+    # the best precision at a recall or more is that at a threshold or less
+    best = F.coalesce(F.max("precision").over(own.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    steps = points.withColumn("part", best * (F.col("reached") - F.coalesce(F.lag("reached").over(own.orderBy(F.desc("threshold"))), F.lit(0))))
+    return steps.groupBy(*_keys(sampling)).agg(F.when(F.max("positives") > 0, F.sum("part") / len(recalls)).alias("value"), F.max("recall").alias("recall"))
 
 
-def average_recall(rows: DataFrame, specs: Sequence[SlicingSpec] = ()) -> DataFrame:
+def average_recall(rows: DataFrame, specs: Sequence[SlicingSpec] = (), sampling: Sampling | None = None) -> DataFrame:
     """``slice_key, iou, class_id, value``: the greatest recall; null without positives."""
-    return curve(rows, specs).groupBy("slice_key", "iou", "class_id").agg(F.try_divide(F.max("tp"), F.max("positives")).alias("value"))
+    return curve(rows, specs, sampling).groupBy(*_keys(sampling)).agg(F.try_divide(F.max("tp"), F.max("positives")).alias("value"))
 
 
 def mean_over(values: DataFrame, by: Sequence[str] = ("slice_key",)) -> DataFrame:

@@ -3,7 +3,8 @@ value over them. Metrics that need the same sum share it; all sums of all metric
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -32,7 +33,57 @@ class Metric:
     intervals: bool = True
 
 
-REGISTRY: dict[str, Callable[..., Metric]] = {}
+@dataclass(frozen=True)
+class Derived:
+    """A metric over other metrics' values of the same slice, model and sub-key.
+
+    ``needs``: names of these as results have them, derived ones included; ``value`` over them, or ``sql`` that speaks of
+    them by name. ``helpers``: metrics, by name and parameters, that it brings along; they are shared with equal ones and
+    hidden unless they are configured. At the stage ``intervals`` a needed metric is a struct with ``value``,
+    ``sample_mean``, ``standard_error``, ``lower`` and ``upper``; at ``values`` it is a number, in each sample anew.
+    """
+
+    name: str
+    needs: tuple[str, ...]
+    value: Callable[[dict[str, Column]], Column] | None = None
+    sql: str | None = None
+    helpers: tuple[tuple[str, dict], ...] = ()
+    stage: str = "values"
+    intervals: bool = True
+
+    def column(self, quoted: dict[str, str]) -> Column:
+        """The value, where each needed metric stands in a column of a given quoted name."""
+        if self.sql is None:
+            return self.value({n: F.col(q) for n, q in quoted.items()})
+        return F.expr(renamed(self.sql, quoted))
+
+
+@dataclass(frozen=True)
+class CrossSlice:
+    """A function of two slices: over the needed metrics' values in either, as ``base`` and ``other``."""
+
+    name: str
+    needs: tuple[str, ...]
+    value: Callable[[Column, Column], Column] | None = None
+    sql: str | None = None
+    helpers: tuple[tuple[str, dict], ...] = ()
+    intervals: bool = True
+
+    def column(self) -> Column:
+        """The value over structs ``base`` and ``other``."""
+        return F.expr(self.sql) if self.sql is not None else self.value(F.col("base"), F.col("other"))
+
+
+def renamed(sql: str, names: dict[str, str]) -> str:
+    """SQL with column names, plain or in backquotes, replaced; strings and functions stay."""
+
+    def put(m: re.Match) -> str:
+        return names.get(m[0].strip("`"), m[0]) if m[0][0] != "'" else m[0]
+
+    return re.sub(r"'(?:[^'\\]|\\.)*'|`[^`]+`|(?<![\w.])[A-Za-z_]\w*(?![\w(])", put, sql)
+
+
+REGISTRY: dict[str, Callable[..., Metric | Derived | CrossSlice]] = {}
 
 
 def register(name: str, *aliases: str) -> Callable:
@@ -46,12 +97,26 @@ def register(name: str, *aliases: str) -> Callable:
     return add
 
 
-def make(name: str, **params) -> Metric:
+def make(name: str, **params) -> Metric | Derived | CrossSlice:
     if name not in REGISTRY:
         raise ValueError(f"unknown metric {name}")
     return REGISTRY[name](**params)
 
 
+@register("Expression")
+def expression(sql: str, needs: Sequence[str], name: str = "Expression", stage: str = "values") -> Derived:
+    """A metric that a configuration writes in SQL over other metrics' names."""
+    if stage not in ("values", "intervals"):
+        raise ValueError("a derived metric is of values or of intervals")
+    return Derived(name, tuple(needs), sql=sql, stage=stage)
+
+
+@register("CrossExpression")
+def cross_expression(sql: str, needs: Sequence[str], name: str = "CrossExpression") -> CrossSlice:
+    """A function of two slices in SQL over ``base.name`` and ``other.name``."""
+    return CrossSlice(name, tuple(needs), sql=sql)
+
+
 # --- confusion matrices at a threshold -------------------------------------------------------------------------------
 
 
@@ -66,6 +131,10 @@ def cell(kind: str, threshold: float) -> tuple[str, Callable[[Row], Column]]:
     return f"{kind}@{threshold:g}", amount
 
 
+def _at(name: str, threshold: float) -> str:
+    return name if threshold == 0.5 else f"{name}@{threshold:g}"
+
+
 def _both(cond: Column, value: Column) -> Column:
     return F.when(cond, value).otherwise(nan())
 
@@ -133,7 +202,7 @@ ALIASES = {
 def _point(name: str, formula: Callable[..., Column]) -> Callable[..., Metric]:
     def factory(threshold: float = 0.5) -> Metric:
         cells = [cell(kind, threshold) for kind in ("tp", "tn", "fp", "fn")]
-        return Metric(name if threshold == 0.5 else f"{name}@{threshold:g}", dict(cells), lambda s: formula(*(s[n] for n, _ in cells)))
+        return Metric(_at(name, threshold), dict(cells), lambda s: formula(*(s[n] for n, _ in cells)))
 
     return factory
 
@@ -334,7 +403,7 @@ FLIPS = {"NegToNegFlipRate": (False, False), "NegToPosFlipRate": (False, True),
 def _flip_rate(name: str, kind: tuple[bool, bool]) -> Callable[..., Metric]:
     def factory(threshold: float = 0.5) -> Metric:
         states = _flip(kind, threshold)
-        return Metric(name, WEIGHT | states, lambda s: div(s[next(iter(states))], s["w"]))
+        return Metric(_at(name, threshold), WEIGHT | states, lambda s: div(s[next(iter(states))], s["w"]))
 
     return factory
 
@@ -346,7 +415,7 @@ for _name, _kind in FLIPS.items():
 @register("SymmetricFlipRate")
 def symmetric_flip_rate(threshold: float = 0.5) -> Metric:
     states = _flip((False, True), threshold) | _flip((True, False), threshold)
-    return Metric("SymmetricFlipRate", WEIGHT | states, lambda s: div(_all(*(s[n] for n in states)), s["w"]))
+    return Metric(_at("SymmetricFlipRate", threshold), WEIGHT | states, lambda s: div(_all(*(s[n] for n in states)), s["w"]))
 
 
 def boolean_flip_rates(threshold: float = 0.5) -> list[Metric]:
@@ -369,3 +438,45 @@ def model_cosine_similarity() -> Metric:
 
 #: Metrics that compare two models; they have no difference of their own.
 PAIRED = {"SymmetricPredictionDifference", "SymmetricFlipRate", *FLIPS, "ModelCosineSimilarity"}
+
+
+# --- over other metrics -----------------------------------------------------------------------------------------------
+
+
+@register("FBeta")
+def f_beta(beta: float = 1.0, threshold: float = 0.5) -> Derived:
+    """The weighted harmonic mean of precision and recall, over these two as metrics of their own."""
+    p, r = _at("Precision", threshold), _at("Recall", threshold)
+    helpers = tuple((n, {"threshold": threshold}) for n in ("Precision", "Recall"))
+    return Derived(_at(f"F{beta:g}", threshold), (p, r), lambda s: div((1 + beta**2) * s[p] * s[r], beta**2 * s[p] + s[r]), helpers=helpers)
+
+
+@register("RelativeError")
+def relative_error(metric: str) -> Derived:
+    """How wide a metric's interval is against its value: half the interval over the value."""
+    return Derived(f"RelativeError({metric})", (metric,), lambda s: div((s[metric]["upper"] - s[metric]["lower"]) / 2, F.abs(s[metric]["value"])), stage="intervals")
+
+
+@register("RateRatio")
+def rate_ratio(metric: str) -> CrossSlice:
+    """A metric of the compared slice over that of the base slice."""
+    return CrossSlice(f"RateRatio({metric})", (metric,), lambda base, other: div(other[metric], base[metric]))
+
+
+@register("ProportionTest")
+def proportion_test() -> CrossSlice:
+    """The z statistic of two slices' shares of positive labels with the pooled share, over both slices' sums."""
+    helpers = (("WeightedExampleCount", {}), ("PositiveWeight", {}))
+
+    def z(base: Column, other: Column) -> Column:
+        n, m, x, y = base["ExampleCount"], other["ExampleCount"], base["PositiveWeight"], other["PositiveWeight"]
+        pooled = div(x + y, n + m)
+        return div(div(x, n) - div(y, m), F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m)))
+
+    return CrossSlice("ProportionTest", ("ExampleCount", "PositiveWeight"), z, helpers=helpers)
+
+
+@register("PositiveWeight")
+def positive_weight() -> Metric:
+    """The sum of weighted labels."""
+    return Metric("PositiveWeight", LABEL, lambda s: s["wl"])

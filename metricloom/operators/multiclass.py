@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import div, div_far
+from metricloom.functions.scalars import div, div_far, numbers
 from metricloom.operators.slicing import SlicingSpec, fan_out
 
 
@@ -26,21 +26,31 @@ def confusion(df: DataFrame, thresholds: Sequence[float] = (0.5,), specs: Sequen
 
     ``label``: the class, or a dense array whose first best is the class.
     """
+    return _sliced(confusion_rows(df, thresholds, label, prediction), specs, ["threshold", "actual", "predicted"], {"w": F.col(weight).cast("double")})
+
+
+def confusion_rows(df: DataFrame, thresholds: Sequence[float], label: str, prediction: str) -> DataFrame:
+    """Each row with its ``actual`` and ``predicted`` class at each threshold."""
     best = lambda c: F.array_position(c, F.array_max(c)).cast("int") - 1
     actual = best(F.col(label)) if df.schema[label].dataType.typeName() == "array" else F.col(label).cast("int")
     rows = df.withColumns({"actual": actual, "__best": best(F.col(prediction)), "__top": F.array_max(prediction)})
-    rows = rows.withColumn("threshold", F.explode(F.lit(list(map(float, thresholds))).cast("array<double>"))).withColumn("predicted", F.when(F.col("__top") > F.col("threshold"), F.col("__best")).otherwise(-1))
-    return _sliced(rows, specs, ["threshold", "actual", "predicted"], {"w": F.col(weight).cast("double")})
+    return rows.withColumn("threshold", F.explode(numbers(list(map(float, thresholds))))).withColumn("predicted", F.when(F.col("__top") > F.col("threshold"), F.col("__best")).otherwise(-1))
 
 
 def multi_label(df: DataFrame, thresholds: Sequence[float] = (0.5,), specs: Sequence[SlicingSpec] = (), label: str = "label", prediction: str = "prediction", weight: str = "weight") -> DataFrame:
     """``slice_key, threshold, actual, predicted`` and weights ``tp, fp, fn, tn`` of each class in rows of each actual class."""
-    rows = df.withColumn("threshold", F.explode(F.lit(list(map(float, thresholds))).cast("array<double>")))
+    rows, states = multi_label_rows(df, thresholds, label, prediction, weight)
+    return _sliced(rows, specs, ["threshold", "actual", "predicted"], states)
+
+
+def multi_label_rows(df: DataFrame, thresholds: Sequence[float], label: str, prediction: str, weight: str) -> tuple[DataFrame, dict[str, Column]]:
+    """A row for each class of each actual class of each row at each threshold, and its share in the four cells."""
+    rows = df.withColumn("threshold", F.explode(numbers(list(map(float, thresholds)))))
     rows = rows.select("*", F.posexplode(label).alias("actual", "__on")).where("__on > 0")
     rows = rows.select("*", F.posexplode(F.arrays_zip(F.col(label).alias("l"), F.col(prediction).alias("p"))).alias("predicted", "__z"))
     on, above, w = F.col("__z.l") > 0, F.col("__z.p") > F.col("threshold"), F.col(weight).cast("double")
     amount = lambda c: F.when(c, w).otherwise(0.0)
-    return _sliced(rows, specs, ["threshold", "actual", "predicted"], {"tp": amount(on & above), "fp": amount(~on & above), "fn": amount(on & ~above), "tn": amount(~on & ~above)})
+    return rows, {"tp": amount(on & above), "fp": amount(~on & above), "fn": amount(on & ~above), "tn": amount(~on & ~above)}
 
 
 def class_cells(df: DataFrame, threshold: float = 0.5, specs: Sequence[SlicingSpec] = (), label: str = "label", prediction: str = "prediction", weight: str = "weight") -> DataFrame:

@@ -180,15 +180,20 @@ def hide_small(results: DataFrame, counts: DataFrame, least: int, value: str = "
     return joined.withColumn(value, F.when(~small, F.col(value))).withColumn("error", F.when(small, message)).drop("__n")
 
 
-def cross_slices(results: DataFrame, baseline: SlicingSpec, comparisons: Sequence[SlicingSpec], on: Sequence[str] = ("metric",)) -> DataFrame:
-    """``baseline_key, comparison_key``, the shared metrics and baseline minus comparison.
+def slice_pairs(results: DataFrame, baseline: SlicingSpec, comparisons: Sequence[SlicingSpec], on: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
+    """``*on, baseline_key, base, comparison_key, other``: the values of two slices side by side.
 
     Without comparisons everything that isn't the baseline is compared. There are as many rows as baseline slices times
-    comparison slices times metrics: slices are few, and Spark joins them by metric.
+    comparison slices times what ``on`` tells apart: slices are few, and Spark joins them by that.
     """
-    base = results.where(applies(F.col("slice_key"), baseline)).select(*on, F.col("slice_key").alias("baseline_key"), F.col("value").alias("__base"))
+    base = results.where(applies(F.col("slice_key"), baseline)).select(*on, F.col("slice_key").alias("baseline_key"), F.col(value).alias("base"))
     wanted = ~applies(F.col("slice_key"), baseline) if not comparisons else F.lit(False)
     for spec in comparisons:
         wanted = wanted | applies(F.col("slice_key"), spec)
-    other = results.where(wanted).select(*on, F.col("slice_key").alias("comparison_key"), F.col("value").alias("__other"))
-    return base.join(other, list(on)).where("baseline_key != comparison_key").withColumn("value", F.col("__base") - F.col("__other")).drop("__base", "__other")
+    other = results.where(wanted).select(*on, F.col("slice_key").alias("comparison_key"), F.col(value).alias("other"))
+    return base.join(other, list(on)).where("baseline_key != comparison_key")
+
+
+def cross_slices(results: DataFrame, baseline: SlicingSpec, comparisons: Sequence[SlicingSpec], on: Sequence[str] = ("metric",)) -> DataFrame:
+    """``baseline_key, comparison_key``, the shared metrics and baseline minus comparison."""
+    return slice_pairs(results, baseline, comparisons, on).withColumn("value", F.col("base") - F.col("other")).drop("base", "other")

@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import texts
 from metricloom.functions.scalars import div
-from metricloom.operators.slicing import SlicingSpec, grouped_sums
+from metricloom.operators.confidence import Sampling
+from metricloom.operators.slicing import SlicingSpec
 
 
-def bleu(df: DataFrame, references: str = "references", hypothesis: str = "hypothesis", specs: Sequence[SlicingSpec] = (), tokenize: str = "13a", lowercase: bool = False, smooth: str = "exp", smooth_value: float | None = None, effective_order: bool = False) -> DataFrame:
+def _totals(df: DataFrame, specs: Sequence[SlicingSpec], states: dict[str, Column], sampling: Sampling | None) -> tuple[DataFrame, list[str]]:
+    """Sums of each slice, by sample if there is a sampling, and the columns that tell them apart."""
+    sums = (sampling or Sampling()).sums(df, specs, states)
+    return (sums, ["slice_key", "__b"]) if sampling else (sums.drop("__b"), ["slice_key"])
+
+
+def bleu(df: DataFrame, references: str = "references", hypothesis: str = "hypothesis", specs: Sequence[SlicingSpec] = (), tokenize: str = "13a", lowercase: bool = False, smooth: str = "exp", smooth_value: float | None = None, effective_order: bool = False, sampling: Sampling | None = None) -> DataFrame:
     """``slice_key, value, precisions, brevity, hypothesis_length, reference_length``: BLEU, 0 to 100.
 
     Orders without matches: ``exp`` halves a pseudo-match each time, ``floor`` puts ``smooth_value`` (0.1), ``add-k`` adds
@@ -30,7 +37,7 @@ def bleu(df: DataFrame, references: str = "references", hypothesis: str = "hypot
 
     n = texts.ORDER
     names = [*(f"m{i}" for i in range(n)), *(f"t{i}" for i in range(n)), "own", "other"]
-    sums = grouped_sums(df.withColumn("__c", counts(hypothesis, references)), specs, {x: F.col("__c")[i] for i, x in enumerate(names)})
+    sums, keys = _totals(df.withColumn("__c", counts(hypothesis, references)), specs, {x: F.col("__c")[i] for i, x in enumerate(names)}, sampling)
     log, orders, empty, gone, precisions = F.lit(0.0), F.lit(0), F.lit(0), F.lit(False), []
     for i in range(n):
         m, t = F.col(f"m{i}"), F.col(f"t{i}")
@@ -53,10 +60,10 @@ def bleu(df: DataFrame, references: str = "references", hypothesis: str = "hypot
     share = F.greatest(orders, F.lit(1)) if effective_order else F.lit(n)
     own, other = F.col("own"), F.col("other")
     brevity = F.when(own >= other, 1.0).when(own > 0, F.exp(1 - other / F.when(own > 0, own).otherwise(1.0))).otherwise(0.0)
-    return sums.select("slice_key", (brevity * F.exp(log / share)).alias("value"), F.array(*precisions).alias("precisions"), brevity.alias("brevity"), own.alias("hypothesis_length"), other.alias("reference_length"))
+    return sums.select(*keys, (brevity * F.exp(log / share)).alias("value"), F.array(*precisions).alias("precisions"), brevity.alias("brevity"), own.alias("hypothesis_length"), other.alias("reference_length"))
 
 
-def rouge(df: DataFrame, kind: str, references: str = "references", hypothesis: str = "hypothesis", specs: Sequence[SlicingSpec] = (), weight: str | None = None) -> DataFrame:
+def rouge(df: DataFrame, kind: str, references: str = "references", hypothesis: str = "hypothesis", specs: Sequence[SlicingSpec] = (), weight: str | None = None, sampling: Sampling | None = None) -> DataFrame:
     """``slice_key, precision, recall, fmeasure``: weighted means, each row against its best reference."""
 
     @F.pandas_udf("array<double>")
@@ -65,8 +72,8 @@ def rouge(df: DataFrame, kind: str, references: str = "references", hypothesis:
 
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     names = ("precision", "recall", "fmeasure")
-    sums = grouped_sums(df.withColumn("__c", score(hypothesis, references)), specs, {"w": w} | {x: w * F.col("__c")[i] for i, x in enumerate(names)})
-    return sums.select("slice_key", *(div(F.col(x), F.col("w")).alias(x) for x in names))
+    sums, keys = _totals(df.withColumn("__c", score(hypothesis, references)), specs, {"w": w} | {x: w * F.col("__c")[i] for i, x in enumerate(names)}, sampling)
+    return sums.select(*keys, *(div(F.col(x), F.col("w")).alias(x) for x in names))
 
 
 def plain_words(text: Column) -> Column:

@@ -75,9 +75,16 @@ def missing_slices(results: DataFrame, specs: Sequence[SlicingSpec]) -> DataFram
     return seen.select(F.explode(F.array_except(F.array(*map(F.lit, range(len(specs)))), "seen")).alias("spec"))
 
 
-def verdict(validations: DataFrame) -> DataFrame:
-    """One row: whether all passed, how many did not, and how many thresholds met no result."""
-    return validations.agg(F.bool_and("ok").alias("ok"), F.count(F.when(~F.col("ok"), 1)).alias("failures"), F.count(F.when(F.col("slice_key").isNull(), 1)).alias("missing"))
+def verdict(validations: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """One row: whether all passed, how many did not, and how many thresholds met no result.
+
+    ``missing``: specs without a slice, of ``missing_slices``; each one counts as missing, and nothing has passed then.
+    """
+    out = validations.agg(F.bool_and("ok").alias("ok"), F.count(F.when(~F.col("ok"), 1)).alias("failures"), F.count(F.when(F.col("slice_key").isNull(), 1)).alias("missing"))
+    if missing is None:
+        return out
+    gone = missing.agg(F.count("*").alias("__gone"))
+    return out.join(gone, F.lit(True)).select((F.col("ok") & (F.col("__gone") == 0)).alias("ok"), "failures", (F.col("missing") + F.col("__gone")).alias("missing"))
 
 
 def merge(parts: Sequence[DataFrame]) -> DataFrame:

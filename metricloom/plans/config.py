@@ -18,6 +18,8 @@ class ModelSpec:
     weight: str | None = None
     name: str = ""
     is_baseline: bool = False
+    #: Of a model with several outputs: which one this is; its outputs are specs of the same name.
+    output: str = ""
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,10 @@ class MetricConfig:
     ``class_ids``: each class against the rest; ``ks``: the k-th best prediction; ``top_ks``: the best k predictions.
     ``average`` puts the values of ``class_ids`` together (``macro``, ``weighted_macro`` by positives, ``micro``), weighted
     by ``class_weights`` if they are given.
+
+    ``alias``: the name in the results; one that begins with a single underscore is used by other metrics and not shown.
+    ``intervals``: whether it has them if the options ask for any. ``output_weights``: an average over outputs, with these
+    weights, beside each output's value.
     """
 
     name: str
@@ -36,6 +42,9 @@ class MetricConfig:
     top_ks: tuple[int, ...] = ()
     average: str | None = None
     class_weights: dict = field(default_factory=dict)
+    alias: str | None = None
+    intervals: bool = True
+    output_weights: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name in ("class_ids", "ks", "top_ks"):
@@ -66,6 +75,8 @@ class Options:
     #: Columns that identify a row, for reproducible samples; all columns if there are none.
     identity: tuple[str, ...] = ()
     seed: int = 0
+    #: SQL that tells a row's bucket for the jackknife, 0 to ``samples`` - 1, instead of a hash.
+    bucket: str | None = None
 
 
 @dataclass(frozen=True)
@@ -79,13 +90,20 @@ class EvalConfig:
 
     def verified(self) -> EvalConfig:
         """The configuration if it makes sense."""
-        names = [m.name for m in self.models]
+        names, keys = {m.name for m in self.models}, [(m.name, m.output) for m in self.models]
         if not self.models:
             raise ValueError("there must be a model")
-        if len(set(names)) != len(names) or (len(names) > 1 and "" in names):
-            raise ValueError("several models need distinct names")
-        if sum(m.is_baseline for m in self.models) > 1:
+        if len(set(keys)) != len(keys) or (len(names) > 1 and "" in names):
+            raise ValueError("several models need distinct names, and a model's outputs too")
+        if len({m.name for m in self.models if m.is_baseline}) > 1:
             raise ValueError("only one model can be the baseline")
+        outputs = {m.output for m in self.models}
+        if any(set(w.output_weights) - outputs for w in self.metrics):
+            raise ValueError("an average is over outputs that there are")
+        if self.options.bucket and self.options.intervals != "jackknife":
+            raise ValueError("buckets are for the jackknife")
+        if self.options.samples < 2:
+            raise ValueError("an interval takes two samples or more")
         if self.options.intervals not in (None, "jackknife", "bootstrap"):
             raise ValueError("intervals are by jackknife or bootstrap")
         if any(t.direction and not self.baseline for t in self.thresholds):
@@ -96,6 +114,10 @@ class EvalConfig:
     def baseline(self) -> ModelSpec | None:
         return next((m for m in self.models if m.is_baseline), None)
 
+    def baseline_of(self, model: ModelSpec) -> ModelSpec | None:
+        """The baseline model, with the same output."""
+        return next((m for m in self.models if m.is_baseline and m.output == model.output), None)
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1, sort_keys=True)
 

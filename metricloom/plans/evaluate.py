@@ -1,54 +1,144 @@
-"""From a configuration to results: one aggregation for all metrics of all models and slices, then expressions."""
+"""From a configuration to results: one aggregation for all metrics over sums of all models and slices, then expressions.
+
+Every source of results, sums, classes, curves, rankings, texts and boxes, gives rows ``slice_key, model, output, metric,
+sub_key, __b, value``, where ``__b`` is the sample. Metrics over other metrics, averages over outputs, functions of two
+slices and intervals are made of these rows alike, wherever they come from.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.inputs import weight_or_one
 from metricloom.functions.scalars import div
 from metricloom.operators import confidence, curves, ranking, slicing, textscores, validation
-from metricloom.operators.metrics import PAIRED, Metric, Row, make
+from metricloom.operators.confidence import Sampling
+from metricloom.operators.metrics import PAIRED, CrossSlice, Derived, Metric, Row, make
+from metricloom.plans import families, plots
 from metricloom.plans.config import EvalConfig, MetricConfig, ModelSpec, Options
 
+#: Metrics of whole curves, whose values come from a histogram of predictions, with the parameters that they take.
+CURVES = {"AUC": ("curve", "method", "num_thresholds"), "AUCPrecisionRecall": ("method", "num_thresholds")} | {n: ("bound", "num_thresholds") for n in curves.CONSTRAINED}
+#: How a curve metric is drawn unless its parameters say otherwise.
+CURVE_DEFAULTS = {"curve": "ROC", "method": "interpolation", "num_thresholds": 200}
+
+
+@dataclass(frozen=True)
+class Item:
+    """A configured metric under the name that results have it by; ``made`` if it is registered as a function of sums or values."""
+
+    config: MetricConfig
+    name: str
+    made: Metric | Derived | CrossSlice | None = None
+
+    @property
+    def group(self) -> tuple:
+        """What metrics of the same rows share: how classes become rows, and how they are averaged."""
+        c = self.config
+        return c.class_ids, c.ks, c.top_ks, c.average, tuple(sorted(c.class_weights.items()))
+
+    @property
+    def curve(self) -> bool:
+        return self.config.name in CURVES
+
 
-#: Metrics of whole curves; their values come from a histogram of predictions.
-CURVES = {"AUC", "AUCPrecisionRecall", *curves.CONSTRAINED}
+def items(config: EvalConfig) -> list[Item]:
+    """The configured metrics by name; two that would be called the same must be the same."""
+    out: dict[tuple, Item] = {}
+    for wanted in config.metrics:
+        one = Item(wanted, *_named(wanted))
+        before = out.setdefault((one.name, one.group), one)
+        if before.config != wanted:
+            raise ValueError(f"two metrics are called {one.name}: give one an alias")
+    return list(out.values())
+
+
+def _named(wanted: MetricConfig) -> tuple[str, Metric | Derived | CrossSlice | None]:
+    for known, why in ((families.FAMILIES, "several values"), (plots.PLOTS, "a plot")):
+        if wanted.name in known:
+            if wanted.alias:
+                raise ValueError(f"{wanted.name} is {why} and takes no alias")
+            return wanted.name, None
+    if wanted.name in CURVES:
+        unknown = set(wanted.params) - set(CURVES[wanted.name])
+        if unknown:
+            raise ValueError(f"{wanted.name} has no parameter {', '.join(sorted(unknown))}")
+        if wanted.alias:
+            return wanted.alias, None
+        name = "AUCPrecisionRecall" if wanted.params.get("curve") == "PR" else wanted.name
+        name += f"@{wanted.params['bound']:g}" if "bound" in CURVES[wanted.name] else ""
+        more = [f"{k}={v}" for k, v in sorted(wanted.params.items()) if k not in ("bound", "curve") and v != CURVE_DEFAULTS[k]]
+        return name + (f"[{','.join(more)}]" if more else ""), None
+    made = make(wanted.name, **wanted.params)
+    return wanted.alias or made.name, made
+
+
+def private(name: str) -> bool:
+    """Names with one underscore in front are for other metrics."""
+    return name.startswith("_") and not name.startswith("__")
 
 
 @dataclass
 class Plan:
-    """Shared sums by name, and each metric's value over them by model and metric."""
-
-    states: dict[str, Column]
-    kinds: dict[str, str]
-    values: dict[tuple[str, str], object]
+    """Shared sums by name, each metric's value over them, then metrics over values in the order that they need each other.
 
+    Values stand in columns by label, which tells model, output and metric.
+    """
 
-def plan(config: EvalConfig) -> Plan:
-    """Sums that several metrics need are there once; metrics of two models belong to the candidate."""
-    out = Plan({}, {}, {})
-    baseline = config.baseline
+    states: dict[str, Column] = field(default_factory=dict)
+    kinds: dict[str, str] = field(default_factory=dict)
+    values: dict[str, Callable[[dict[str, Column]], Column]] = field(default_factory=dict)
+    derived: list[tuple[str, Derived, dict[str, str]]] = field(default_factory=list)
+    #: Label to model, metric and whether it only helps others.
+    labels: dict[str, tuple[ModelSpec, str, bool]] = field(default_factory=dict)
+
+    def shown(self) -> list[str]:
+        return [x for x, (_, _, hidden) in self.labels.items() if not hidden]
+
+
+def _label(model: ModelSpec, name: str) -> str:
+    of = f"{model.name}#{model.output}" if model.output else model.name
+    return f"{of}/{name}" if of else name
+
+
+def plan(config: EvalConfig, found: Sequence[Item] | None = None) -> Plan:
+    """Sums that several metrics need are there once, and so is a metric that others need; metrics of two models belong to
+    the candidate. Metrics over values that are no values of sums are left out here."""
+    found = [i for i in items(config) if not i.config.keyed] if found is None else found
+    configured, out = {i.name for i in found}, Plan()
+    own = [(i.name, i.made, private(i.name)) for i in found if isinstance(i.made, Metric)]
+    over = [(i.name, i.made) for i in found if isinstance(i.made, Derived) and i.made.stage == "values"]
+    for made in (i.made for i in found if isinstance(i.made, Derived | CrossSlice)):
+        for name, params in made.helpers:
+            helper = make(name, **params)
+            if helper.name not in configured:
+                configured.add(helper.name)
+                own.append((helper.name, helper, True))
     for model in config.models:
-        prefix = f"{model.name}/" if model.name else ""
-        for wanted in config.metrics:
-            if wanted.name in CURVES or wanted.name in FAMILIES or wanted.keyed:
-                continue
-            metric = make(wanted.name, **wanted.params)
-            if metric.name in PAIRED:
-                if baseline is None:
+        prefix = _label(model, "")
+        for name, metric, hidden in own:
+            if metric.name.split("@")[0] in PAIRED:
+                if config.baseline is None:
                     raise ValueError(f"{metric.name} needs a baseline model")
-                if model == baseline:
+                if model.is_baseline:
                     continue
-            row = _row(model, baseline if metric.name in PAIRED else None)
-            for name, state in metric.states.items():
-                out.states.setdefault(prefix + name, state(row))
-                if name in metric.kinds:
-                    out.kinds[prefix + name] = metric.kinds[name]
-            out.values[model.name, metric.name] = _value(metric, prefix)
+            row = _row(model, config.baseline_of(model) if metric.name.split("@")[0] in PAIRED else None)
+            for state, amount in metric.states.items():
+                out.states.setdefault(prefix + state, amount(row))
+                if state in metric.kinds:
+                    out.kinds[prefix + state] = metric.kinds[state]
+            out.values[_label(model, name)] = _value(metric, prefix)
+            out.labels[_label(model, name)] = (model, name, hidden)
+        waiting = list(over)
+        while ready := [(n, d) for n, d in waiting if all(_label(model, x) in out.labels for x in d.needs)]:
+            for name, made in ready:
+                out.derived.append((_label(model, name), made, {x: _label(model, x) for x in made.needs}))
+                out.labels[_label(model, name)] = (model, name, private(name))
+            waiting = [x for x in waiting if x not in ready]
     return out
 
 
@@ -61,148 +151,144 @@ def _value(metric: Metric, prefix: str):
     return lambda s: metric.value({n: s[prefix + n] for n in metric.states})
 
 
+def valued(sums: DataFrame, p: Plan, keep: Sequence[str]) -> DataFrame:
+    """The columns to keep and one for each label: values over sums, then values over these."""
+    state = {n: F.col(f"`{n}`") for n in p.states}
+    out = sums.select(*(f"`{c}`" for c in keep), *(v(state).alias(label) for label, v in p.values.items()))
+    for label, made, needs in p.derived:
+        out = out.withColumn(label, made.column({n: f"`{x}`" for n, x in needs.items()}))
+    return out
+
+
 def wide(df: DataFrame, config: EvalConfig, by: Sequence[str] = ()) -> DataFrame:
     """``slice_key``, the columns of ``by`` and a column for each metric over sums, named ``model/metric`` if the model
     has a name."""
     p = plan(config.verified())
     sums = slicing.grouped_sums(df, config.slices, p.states, by, p.kinds)
-    state = {n: F.col(f"`{n}`") for n in p.states}
-    return sums.select("slice_key", *by, *(v(state).alias(f"{m}/{n}" if m else n) for (m, n), v in p.values.items()))
+    return valued(sums, p, ["slice_key", *by]).select("slice_key", *(f"`{c}`" for c in by), *(f"`{x}`" for x in p.shown()))
 
 
-def _long(frame: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
-    column = lambda m, n: F.col(f"`{m}/{n}`" if m else f"`{n}`")
-    return frame.select("slice_key", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(n).alias("metric"), column(m, n).cast("double").alias("value")) for m, n in names))))
+# --- rows of results by sample ----------------------------------------------------------------------------------------
 
 
-def _curve_names(config: EvalConfig) -> dict[int, tuple[dict, dict]]:
-    """Wanted areas and metrics under constraints by name, for each number of thresholds."""
-    out: dict[int, tuple[dict, dict]] = {}
-    for wanted in config.metrics:
-        if wanted.name in CURVES and not wanted.keyed:
-            areas, bounds = out.setdefault(wanted.params.get("num_thresholds", 200), ({}, {}))
-            if wanted.name in curves.CONSTRAINED:
-                bounds[f"{wanted.name}@{wanted.params['bound']:g}"] = (wanted.name, wanted.params["bound"])
-            else:
-                curve = "PR" if wanted.name == "AUCPrecisionRecall" else wanted.params.get("curve", "ROC")
-                areas["AUC" if curve == "ROC" else "AUCPrecisionRecall"] = (curve, wanted.params.get("method", "interpolation"))
-    return out
+def _long(frame: DataFrame, p: Plan, keep: Sequence[str] = ()) -> DataFrame:
+    rows = [F.struct(F.lit(m.name).alias("model"), F.lit(m.output).alias("output"), F.lit(n).alias("metric"), F.col(f"`{label}`").cast("double").alias("value"), F.lit(hidden).alias("__hidden")) for label, (m, n, hidden) in p.labels.items()]
+    return frame.select("slice_key", "__b", *keep, F.inline(F.array(*rows)))
 
 
-def curve_metrics(df: DataFrame, config: EvalConfig) -> DataFrame | None:
-    """``slice_key, model, metric, value`` of the configured curve metrics, with intervals by jackknife if they are wanted.
+def _of(rows: DataFrame, model: ModelSpec, hidden: Sequence[str] = ()) -> DataFrame:
+    return rows.withColumns({"model": F.lit(model.name), "output": F.lit(model.output), "__hidden": F.col("metric").isin(*hidden) if hidden else F.lit(False)})
 
-    Each model has one histogram, and all its metrics at one number of thresholds are one aggregation. A sample of the
-    jackknife is the cells of all rows less those of a bucket. Parameters: ``num_thresholds`` (200), ``curve`` and
-    ``method`` of AUC, ``bound`` of metrics under a constraint.
-    """
-    wanted, out, options = _curve_names(config), None, config.options
-    jack = options.intervals == "jackknife"
-    for model in config.models if wanted else ():
-        row = _row(model, None)
-        needed = sorted({c for s in config.slices for c in s.columns()})
-        by = ["__b"] if jack else []
-        bucket = [confidence.hashed_bucket(_identity(df, options), options.samples, options.seed).cast("int").alias("__b")] if jack else []
-        rows = df.select(*(f"`{c}`" for c in needed), row.label.cast("double").alias("__label"), row.prediction.cast("double").alias("__prediction"), row.weight.alias("__weight"), *bucket)
-        hist = curves.histogram(rows, config.slices, by=by, label="__label", prediction="__prediction", weight="__weight")
-        for count, (areas, bounds) in wanted.items():
-            cells = curves.matrices(hist, curves.interpolated_thresholds(count), by=by)
-            names = [*areas, *bounds]
-            if jack:
-                one = curves.jackknife(cells, areas, bounds, options.samples)
-            else:
-                one = curves.unpivot(curves.summary(cells, areas, bounds), names)
-            one = one.withColumn("model", F.lit(model.name))
+
+def _joined(parts: Sequence[DataFrame | None]) -> DataFrame | None:
+    out = None
+    for one in parts:
+        if one is not None:
+            one = one if "sub_key" in one.columns else one.withColumn("sub_key", F.lit(None).cast("string"))
             out = one if out is None else out.unionByName(one)
     return out
 
 
-def _identity(df: DataFrame, options: Options) -> list[str]:
-    return list(options.identity) or [c for c, t in df.dtypes if not t.startswith("map")]
-
-
-def _ndcg(df: DataFrame, specs, params: dict) -> DataFrame:
-    ks = params.get("ks", (1,))
-    found = ranking.ndcg(df, params["query"], params["gain"], tuple(ks), "__prediction", "__weight", specs, params.get("order", ()))
-    return found.select("slice_key", F.concat(F.lit("NDCG@"), F.col("k").cast("string")).alias("metric"), "value")
-
-
-def _min_label_position(df: DataFrame, specs, params: dict) -> DataFrame:
-    found = ranking.min_label_position(df, params["query"], "__label", "__prediction", "__weight", specs, params.get("order", ()))
-    return found.select("slice_key", F.lit("MinLabelPosition").alias("metric"), "value")
-
-
-def _query_statistics(df: DataFrame, specs, params: dict) -> DataFrame:
-    names = ["total_queries", "total_documents", "min_documents", "max_documents"]
-    return curves.unpivot(ranking.query_statistics(df, params["query"], "__weight", specs), names)
-
-
-def _bleu(df: DataFrame, specs, params: dict) -> DataFrame:
-    found = textscores.bleu(df, "__label", "__prediction", specs, **params)
-    return found.select("slice_key", F.lit("BLEU").alias("metric"), "value")
-
+def sampled(df: DataFrame, options: Options) -> tuple[DataFrame, Sampling]:
+    """The rows with their samples, told by the columns that identify a row, or by all columns but maps."""
+    columns = [f"`{c}`" for c in list(options.identity) or [c for c, t in df.dtypes if not t.startswith("map")]]
+    if options.intervals == "bootstrap":
+        bucket = F.xxhash64(F.lit(options.seed), *columns)
+    else:
+        bucket = F.expr(options.bucket) if options.bucket else confidence.hashed_bucket(columns, options.samples, options.seed)
+    return Sampling(options.intervals, options.samples, bucket).pinned(df)
 
-def _rouge(df: DataFrame, specs, params: dict) -> DataFrame:
-    kind = params.get("rouge_type", "rouge1")
-    found = textscores.rouge(df, kind, "__label", "__prediction", specs, "__weight")
-    return curves.unpivot(found.select("slice_key", *(F.col(c).alias(f"{kind}/{c}") for c in ("precision", "recall", "fmeasure"))), [f"{kind}/{c}" for c in ("precision", "recall", "fmeasure")])
 
+def sum_rows(df: DataFrame, config: EvalConfig, found: Sequence[Item], sampling: Sampling, keep: Sequence[str] = ()) -> DataFrame | None:
+    """Metrics over sums and metrics over these: one aggregation for all of them."""
+    p = plan(config, found)
+    if not p.labels:
+        return None
+    sums = sampling.sums(df, config.slices, p.states, keep, p.kinds)
+    return _long(valued(sums, p, ["slice_key", *keep, "__b"]), p, keep)
 
-#: Metrics that are no expressions over sums of rows; each takes rows with ``__label``, ``__prediction``, ``__weight``,
-#: the slices and its parameters, and gives ``slice_key, metric, value``.
-FAMILIES = {"NDCG": _ndcg, "MinLabelPosition": _min_label_position, "QueryStatistics": _query_statistics, "BLEU": _bleu, "ROUGE": _rouge}
 
+def curve_rows(df: DataFrame, config: EvalConfig, found: Sequence[Item], sampling: Sampling, keep: Sequence[str] = ()) -> DataFrame | None:
+    """Metrics of curves: each model has one histogram, and all its metrics at one number of thresholds are one aggregation.
 
-def family_metrics(df: DataFrame, config: EvalConfig) -> DataFrame | None:
-    """``slice_key, model, metric, value`` of rankings and text scores."""
-    out = None
-    for model in config.models:
-        for wanted in config.metrics:
-            if wanted.name in FAMILIES:
+    Parameters: ``num_thresholds`` (200), ``curve`` and ``method`` of AUC, ``bound`` of metrics under a constraint.
+    """
+    wanted: dict[int, tuple[dict, dict]] = {}
+    for item in found:
+        if item.curve:
+            params = CURVE_DEFAULTS | item.config.params
+            areas, bounds = wanted.setdefault(params["num_thresholds"], ({}, {}))
+            if "bound" in CURVES[item.config.name]:
+                bounds[item.name] = (item.config.name, params["bound"])
+            else:
+                areas[item.name] = ("PR" if item.config.name == "AUCPrecisionRecall" else params["curve"], params["method"])
+    out = []
+    for model in config.models if wanted else ():
+        hist = histogram(df, model, config.slices, sampling, keep)
+        for count, (areas, bounds) in wanted.items():
+            cells = curves.matrices(hist, curves.interpolated_thresholds(count), by=[*keep, "__b"])
+            each = sampling.samples_of(cells, ["slice_key", *keep, "threshold"], curves.CELLS)
+            found_here = curves.unpivot(curves.summary(each, areas, bounds, [*keep, "__b"]), [*areas, *bounds], [*keep, "__b"])
+            out.append(_of(found_here, model, [n for n in (*areas, *bounds) if private(n)]))
+    return _joined(out)
+
+
+def histogram(df: DataFrame, model: ModelSpec, specs: Sequence[slicing.SlicingSpec], sampling: Sampling, keep: Sequence[str] = ()) -> DataFrame:
+    """``slice_key, *keep, bucket, __b, w, wl, wp``: the histogram of a model's predictions by sample, or by the jackknife's bucket."""
+    row = _row(model, None)
+    rows = curves.bucketed(df.withColumns({"__label": row.label.cast("double"), "__prediction": row.prediction.cast("double"), "__weight": row.weight}), "__prediction")
+    w, l, p = (F.col(c) for c in ("__weight", "__label", "__prediction"))
+    return sampling.parts(rows, specs, {"w": w, "wl": w * l, "wp": w * F.nanvl(p, F.lit(0.0))}, [*keep, "bucket"])
+
+
+def family_rows(df: DataFrame, config: EvalConfig, found: Sequence[Item], sampling: Sampling) -> DataFrame | None:
+    """Rankings, text scores, sets and boxes."""
+    out = []
+    for item in found:
+        if item.config.name in families.FAMILIES:
+            for model in config.models:
                 row = _row(model, None)
                 rows = df.withColumns({"__label": row.label, "__prediction": row.prediction, "__weight": row.weight})
-                one = FAMILIES[wanted.name](rows, config.slices, wanted.params).withColumn("model", F.lit(model.name))
-                out = one if out is None else out.unionByName(one)
-    return out
+                out.append(_of(families.FAMILIES[item.config.name].rows(rows, config.slices, item.config.params, sampling), model))
+    return _joined(out)
 
 
-def keyed_metrics(df: DataFrame, config: EvalConfig) -> DataFrame | None:
-    """``slice_key, model, metric, sub_key, value`` of metrics over classes: a class, the k-th best, the best k, an average.
+def keyed_rows(df: DataFrame, config: EvalConfig, found: Sequence[Item], sampling: Sampling) -> DataFrame | None:
+    """Metrics over classes: a class, the k-th best, the best k, an average of classes.
 
     Rows of one model and one choice of sub-keys are made once for all metrics that share it.
     """
-    groups: dict[tuple, list] = {}
-    for wanted in config.metrics:
-        if wanted.keyed:
-            groups.setdefault((wanted.class_ids, wanted.ks, wanted.top_ks, wanted.average, tuple(sorted(wanted.class_weights.items()))), []).append(wanted)
-    out = None
-    for (classes, ks, top_ks, how, weights), wanted in groups.items():
+    groups: dict[tuple, list[Item]] = {}
+    for item in found:
+        if item.config.keyed:
+            if item.config.name in families.FAMILIES or item.config.name in plots.PLOTS:
+                raise ValueError(f"{item.config.name} is not of single classes")
+            groups.setdefault(item.group, []).append(item)
+    out = []
+    for (classes, ks, top_ks, how, weights), own in groups.items():
         for model in config.models:
             row = _row(model, None)
             arrays = df.withColumns({"__label": row.label, "__prediction": row.prediction, "__weight": row.weight})
             rows = binarized(arrays, classes, ks, top_ks, "__label", "__prediction")
-            if how == "micro" and weights:
-                table = F.create_map(*(F.lit(x) for c, v in weights for x in (f"class:{c}", v)))
-                rows = rows.withColumn("__weight", F.col("__weight") * F.coalesce(F.try_element_at(table, F.col("sub_key")), F.lit(0.0)))
-            plain = [MetricConfig(w.name, w.params) for w in wanted]
-            inner = EvalConfig((ModelSpec("__label", "__prediction", "__weight"),), config.slices, tuple(plain))
-            by = [] if how == "micro" else ["sub_key"]
-            if how in ("macro", "weighted_macro"):
-                inner = replace(inner, metrics=(*plain, MetricConfig("ExampleCount"), MetricConfig("MeanLabel")))
-            found = wide(rows, inner, by)
-            names = [make(m.name, **m.params).name for m in plain]
+            table = F.create_map(*(F.lit(x) for c, v in weights for x in (f"class:{c}", v))) if weights else None
+            share = F.lit(1.0) if table is None else F.coalesce(F.try_element_at(table, F.col("sub_key")), F.lit(0.0))
+            if how == "micro":
+                rows = rows.withColumn("__weight", F.col("__weight") * share)
+            inner = replace(config, models=(ModelSpec("__label", "__prediction", "__weight"),))
+            keep = [] if how == "micro" else ["sub_key"]
+            one = _joined([sum_rows(rows, inner, own, sampling, keep), curve_rows(rows, inner, own, sampling, keep)])
+            if one is None:
+                continue
             if how in ("macro", "weighted_macro"):
-                weight = F.lit(1.0)
-                if weights:
-                    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for c, v in weights for x in (f"class:{c}", v))), F.col("sub_key")), F.lit(0.0))
-                if how == "weighted_macro":
-                    weight = weight * F.col("ExampleCount") * F.col("MeanLabel")
-                valued = found.withColumn("__w", weight)
-                found = valued.groupBy("slice_key").agg(*(div(F.sum(F.when(F.col("__w") != 0, F.col(f"`{n}`") * F.col("__w")).otherwise(0.0)), F.sum("__w")).alias(n) for n in names))
-            one = curves.unpivot(found, names, [] if how else ["sub_key"])
-            one = (one.withColumn("sub_key", F.lit(how)) if how else one).withColumn("model", F.lit(model.name))
-            out = one if out is None else out.unionByName(one)
-    return out
+                if how == "weighted_macro":  # a class's share of the positives
+                    positives = sampling.sums(rows, config.slices, {"__n": F.col("__weight") * F.col("__label")}, ["sub_key"])
+                    one = one.join(positives, ["slice_key", "sub_key", "__b"])
+                    share = share * F.col("__n")
+                valued_ = one.withColumn("__w", share).groupBy("slice_key", "__b", "metric", "__hidden")
+                one = valued_.agg(div(F.sum(F.when(F.col("__w") != 0, F.col("value") * F.col("__w")).otherwise(0.0)), F.sum("__w")).alias("value"))
+            one = one.withColumn("sub_key", F.lit(how)) if how else one
+            out.append(one.withColumns({"model": F.lit(model.name), "output": F.lit(model.output)}))
+    return _joined(out)
 
 
 def binarized(df: DataFrame, class_ids: Sequence[int] = (), ks: Sequence[int] = (), top_ks: Sequence[int] = (), label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -229,56 +315,155 @@ def _sub_key(name: str):
     return lambda a, b: F.struct(F.lit(name).alias("sub_key"), a.cast("double").alias("l"), b.cast("double").alias("p"))
 
 
-def model_differences(metrics: DataFrame, baseline: str) -> DataFrame:
-    """``change``: a candidate's value less the baseline's of the same slice and metric; null for the baseline."""
-    keys = ["slice_key", "metric"] + (["sub_key"] if "sub_key" in metrics.columns else [])
-    named = [F.coalesce("sub_key", F.lit("")).alias("__sub") if k == "sub_key" else F.col(k) for k in keys]
-    base = metrics.where(F.col("model") == baseline).select(*named, F.col("value").alias("__b"))
-    on = ["__sub" if k == "sub_key" else k for k in keys]
-    own = metrics.withColumn("__sub", F.coalesce("sub_key", F.lit(""))) if "__sub" in on else metrics
-    return own.join(base, on, "left").drop("__sub").withColumn("change", F.when((F.col("model") != baseline) & ~F.col("metric").isin(*PAIRED), F.col("value") - F.col("__b"))).drop("__b")
+# --- results over results ---------------------------------------------------------------------------------------------
+
+#: What tells a result apart, beside its slice and metric.
+KEYS = ("model", "output", "sub_key")
+
+
+def _side_by_side(rows: DataFrame, keys: Sequence[str], needs: Sequence[str], value: Column) -> DataFrame:
+    """A column for each needed metric; rows where one isn't there are left out."""
+    found = rows.where(F.col("metric").isin(*needs)).groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == n, value)).alias(n) for n in needs))
+    return found.where(" AND ".join(f"`{n}` IS NOT NULL" for n in needs))
+
+
+def later_rows(rows: DataFrame, over: Sequence[tuple[str, Derived]]) -> DataFrame:
+    """The rows and those of metrics over them, in the order that they need each other."""
+    waiting = list(over)
+    order = []
+    while waiting:
+        ready = [(n, d) for n, d in waiting if not any(n2 in d.needs for n2, _ in waiting)]
+        if not ready:
+            raise ValueError(f"metrics need each other in a circle: {', '.join(sorted(n for n, _ in waiting))}")
+        order += ready
+        waiting = [x for x in waiting if x not in ready]
+    for name, made in order:
+        wide_ = _side_by_side(rows, ["slice_key", *KEYS, "__b"], made.needs, F.col("value"))
+        own = wide_.select("slice_key", *KEYS, "__b", F.lit(name).alias("metric"), made.column({n: f"`{n}`" for n in made.needs}).cast("double").alias("value"), F.lit(private(name)).alias("__hidden"))
+        rows = rows.unionByName(own)
+    return rows
+
+
+def _check_needs(config: EvalConfig, found: Sequence[Item]) -> None:
+    """Every needed metric is configured or brought along."""
+    names = {i.name for i in found} | {make(n, **p).name for i in found if isinstance(i.made, Derived | CrossSlice) for n, p in i.made.helpers}
+    names |= {n for i in found if i.config.name in families.FAMILIES for n in families.FAMILIES[i.config.name].names(i.config.params)}
+    for item in found:
+        for need in getattr(item.made, "needs", ()):
+            if need not in names:
+                raise ValueError(f"{item.name} needs {need}, which is not there")
+
+
+def output_averages(rows: DataFrame, found: Sequence[Item]) -> DataFrame:
+    """The rows and an average over a model's outputs for each metric that has weights for them; NaN without a weight."""
+    extra = []
+    for item in found:
+        if item.config.output_weights:
+            table = F.create_map(*(F.lit(x) for k, v in item.config.output_weights.items() for x in (k, float(v))))
+            own = rows.where((F.col("metric") == item.name)).withColumn("__w", F.try_element_at(table, F.col("output"))).where("__w is not null")
+            mean = own.groupBy("slice_key", "model", "metric", "sub_key", "__b", "__hidden").agg(div(F.sum(F.col("value") * F.col("__w")), F.sum("__w")).alias("value"))
+            extra.append(mean.withColumn("output", F.lit("average")))
+    for one in extra:
+        rows = rows.unionByName(one)
+    return rows
+
+
+def model_differences(metrics: DataFrame, baseline: str, paired: Sequence[str] = tuple(PAIRED)) -> DataFrame:
+    """``change``: a candidate's value less the baseline's of the same slice, metric, output and sub-key; null for the baseline."""
+    keys = ["slice_key", "metric", *(c for c in ("output", "sub_key") if c in metrics.columns)]
+    base = F.max(F.when(F.col("model") == baseline, F.col("value"))).over(Window.partitionBy(*keys))
+    return metrics.withColumn("change", F.when((F.col("model") != baseline) & ~F.col("metric").isin(*paired), F.col("value") - base))
+
+
+def crossed_rows(rows: DataFrame, config: EvalConfig, found: Sequence[Item]) -> DataFrame:
+    """``baseline_key, comparison_key, model, output, metric, sub_key, __b, value, __hidden``: differences of all metrics between two slices,
+    and the configured functions of two slices. Two values meet only if all but their slices is the same."""
+    named = rows.withColumn("sub_key", F.coalesce("sub_key", F.lit("")))
+    out = []
+    for spec in config.cross_slices:
+        out.append(slicing.cross_slices(named, spec.baseline, spec.comparisons, on=("model", "output", "sub_key", "metric", "__b", "__hidden")))
+        for item in found:
+            if isinstance(item.made, CrossSlice):
+                each = _side_by_side(named, ["slice_key", *KEYS, "__b"], item.made.needs, F.col("value"))
+                both = each.select("slice_key", *KEYS, "__b", F.struct(*(F.col(f"`{n}`").alias(n) for n in item.made.needs)).alias("value"))
+                met = slicing.slice_pairs(both, spec.baseline, spec.comparisons, on=(*KEYS, "__b"))
+                out.append(met.withColumns({"metric": F.lit(item.name), "value": item.made.column().cast("double"), "__hidden": F.lit(private(item.name))}).drop("base", "other"))
+    return _joined(out).withColumn("sub_key", F.nullif("sub_key", F.lit("")))
 
 
 def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
-    """``metrics`` (slice_key, slice, model, metric, value and more by the options), ``cross_slices`` and ``validations``
-    where they are configured."""
+    """``metrics`` (slice_key, slice, model, metric, value and more by the options), and ``plots``, ``examples`` (ids of rows in
+    cells), ``cross_slices``, ``validations`` and ``missing_slices`` where they are configured.
+
+    ``sub_key`` is there with metrics over classes, ``output`` with models of several outputs, ``error`` with a least size
+    of slices or with intervals: it says why a value or an interval is missing.
+    """
     config = config.verified()
-    p, options = plan(config), config.options
-    names = list(p.values)
-    if options.intervals and names:
-        identity = _identity(df, options)
-        values = {f"{m}\x00{n}": v for (m, n), v in p.values.items()}
-        if options.intervals == "jackknife":
-            found = confidence.jackknife(df, p.states, values, confidence.hashed_bucket(identity, options.samples, options.seed), config.slices, options.samples)
-        else:
-            found = confidence.bootstrap(df, p.states, values, confidence.hashed_uniform(identity, options.seed), config.slices, options.samples)
-        parts = F.split("metric", "\x00")
-        metrics = found.withColumns({"model": parts[0], "metric": parts[1]})
-    else:
-        metrics = _long(wide(df, config), names) if names else None
-    for more in (curve_metrics(df, config), family_metrics(df, config), keyed_metrics(df, config)):
-        if more is not None:
-            metrics = more if metrics is None else metrics.unionByName(more, allowMissingColumns=True)
-    if metrics is None:
+    found, options = items(config), config.options
+    _check_needs(config, found)
+    plain = [i for i in found if not i.config.keyed]
+    df, sampling = sampled(df, options)
+    rows = _joined([sum_rows(df, config, plain, sampling), curve_rows(df, config, plain, sampling), family_rows(df, config, plain, sampling), keyed_rows(df, config, found, sampling)])
+    drawn = plots.plot_rows(df, config, found, sampling)
+    if rows is None and drawn is None:
         raise ValueError("there are no metrics")
+    small = slicing.grouped_sums(df, config.slices, {"n": F.lit(1)}) if options.min_slice_size > 1 else None
+    out = {}
+    if drawn is not None:
+        out["plots"] = _finished(drawn, config, found, sampling, ["slice_key", "model", "output", "metric", "sub_key", "point", "measure"], small)
+    examples = plots.example_rows(df, config, found)
+    if examples is not None:
+        if small is not None:
+            examples = slicing.hide_small(examples, small, options.min_slice_size, "ids")
+        out["examples"] = examples.withColumn("slice", slicing.slice_name(F.col("slice_key")))
+    if rows is None:
+        return out
+    early = {n for _, n, _ in plan(config, plain).labels.values()} | {i.name for i in found if i.config.keyed}
+    over = [(i.name, i.made) for i in plain if isinstance(i.made, Derived) and i.made.stage == "values" and i.name not in early]
+    rows = output_averages(later_rows(rows, over), found)
+    metrics = _finished(rows, config, found, sampling, ["slice_key", "model", "output", "metric", "sub_key", "__hidden"], small)
+    for item in plain:
+        if isinstance(item.made, Derived) and item.made.stage == "intervals":
+            if not options.intervals:
+                raise ValueError(f"{item.name} needs intervals")
+            bounds = F.struct("value", "sample_mean", "standard_error", "lower", "upper")
+            wide_ = _side_by_side(metrics, ["slice_key", "slice", *(c for c in KEYS if c in metrics.columns)], item.made.needs, bounds)
+            value = item.made.column({n: f"`{n}`" for n in item.made.needs}).cast("double").alias("value")
+            own = wide_.select("slice_key", "slice", *(c for c in KEYS if c in metrics.columns), value, F.lit(item.name).alias("metric"), F.lit(private(item.name)).alias("__hidden"))
+            metrics = metrics.unionByName(own, allowMissingColumns=True)
+    metrics = metrics.where(~F.col("__hidden")).drop("__hidden")
     if config.baseline:
-        metrics = model_differences(metrics, config.baseline.name)
-    if options.min_slice_size > 1:
-        counts = slicing.grouped_sums(df, config.slices, {"n": F.lit(1)})
-        metrics = slicing.hide_small(metrics, counts, options.min_slice_size)
-    metrics = metrics.withColumn("slice", slicing.slice_name(F.col("slice_key")))
-    out = {"metrics": metrics}
-    crossed = None
-    for spec in config.cross_slices:
-        one = slicing.cross_slices(metrics, spec.baseline, spec.comparisons, on=("model", "metric"))
-        crossed = one if crossed is None else crossed.unionByName(one)
-    if crossed is not None:
-        out["cross_slices"] = crossed
+        metrics = model_differences(metrics, config.baseline.name, [i.name for i in found if i.config.name in PAIRED])
+    out["metrics"] = metrics
+    if config.cross_slices:
+        if small is not None:  # what is hidden is not told by differences either
+            rows = slicing.hide_small(rows, small, options.min_slice_size).drop("error").where("value is not null")
+        keys = ["baseline_key", "comparison_key", "model", "output", "metric", "sub_key", "__hidden"]
+        out["cross_slices"] = _finished(crossed_rows(rows, config, found), config, found, sampling, keys).where(~F.col("__hidden")).drop("__hidden")
     if config.thresholds:
         out["validations"] = validation.validate(metrics, config.thresholds)
+        out["missing_slices"] = validation.missing_slices(metrics, config.slices)
     return out
 
 
+def _finished(rows: DataFrame, config: EvalConfig, found: Sequence[Item], sampling: Sampling, keys: list[str], small: DataFrame | None = None) -> DataFrame:
+    """Results of samples as rows with intervals, if they are wanted, without columns that hold nothing here."""
+    if small is not None:
+        rows, keys = slicing.hide_small(rows, small, config.options.min_slice_size), [*keys, "error"]
+    if sampling.kind is None:
+        out = rows.where(F.col("__b") == confidence.WHOLE).select(*keys, "value")
+    else:
+        without = [i.name for i in found if not i.config.intervals or (i.made is not None and not i.made.intervals)]
+        out = confidence.intervals(rows, sampling, keys, F.col("metric").isin(*without) if without else None)
+        problem = F.col("problem") if small is None else F.coalesce("error", "problem")
+        out = out.withColumn("error", problem).drop("problem")
+    if "slice_key" in keys:
+        out = out.withColumn("slice", slicing.slice_name(F.col("slice_key")))
+    if not any(m.output for m in config.models):
+        out = out.drop("output")
+    return out if any(i.config.keyed for i in found) else out.drop("sub_key")
+
+
 def pivoted(metrics: DataFrame, names: list[str]) -> DataFrame:
     """``slice, model`` and a column for each named metric."""
     return metrics.groupBy("slice", "model").pivot("metric", names).agg(F.first("value"))

@@ -4,12 +4,18 @@ integers. A file is read by one task, for its frames tell only in order where th
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegralType, MapType, NumericType, StringType, StructType
 
 
 #: Compressed bytes taken and bytes made at a time.
@@ -141,3 +147,150 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, shape)
+
+
+# --- written ----------------------------------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=1)
+def _castagnoli() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def checksum(data: bytes) -> int:
+    """The checksum of a frame: CRC-32C, turned by 15 bits, with a constant added."""
+    crc, table = 0xFFFFFFFF, _castagnoli()
+    for b in data:
+        crc = crc >> 8 ^ table[(crc ^ b) & 255]
+    crc ^= 0xFFFFFFFF
+    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def framed(message: bytes) -> bytes:
+    size = struct.pack("<Q", len(message))
+    return size + struct.pack("<I", checksum(size)) + message + struct.pack("<I", checksum(message))
+
+
+def _number(n: int) -> bytes:
+    n, out = n & (1 << 64) - 1, b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _part(number: int, body: bytes) -> bytes:
+    return _number(number << 3 | 2) + _number(len(body)) + body
+
+
+def message(values: dict[str, list]) -> bytes:
+    """A message of features; a feature has texts or bytes, floats or integers."""
+    body = b""
+    for name, own in values.items():
+        if own and isinstance(own[0], float):
+            kind = _part(2, _part(1, struct.pack(f"<{len(own)}f", *own)))
+        elif own and isinstance(own[0], int):
+            kind = _part(3, _part(1, b"".join(map(_number, own))))
+        else:
+            kind = _part(1, b"".join(_part(1, x.encode() if isinstance(x, str) else bytes(x)) for x in own))
+        body += _part(1, _part(1, name.encode()) + _part(2, kind))
+    return _part(1, body)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """A task's file, where it stands until the job is done, and how many rows it has."""
+
+    file: str
+    rows: int
+
+
+class RecordWriter(DataSourceWriter):
+    """Each task writes a file into a folder of the job's own; only those that the job's end names come to be seen."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+
+    def write(self, iterator: Iterator) -> Written:
+        from pyspark import TaskContext
+
+        store, base = self._store()
+        context = TaskContext.get()
+        name = f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}.rec"
+        store.create_dir(f"{base}/_temporary/{self.job}", recursive=True)
+        rows = 0
+        with store.open_output_stream(f"{base}/_temporary/{self.job}/{name}") as out:
+            for row in iterator:
+                given = {n: v if isinstance(v, list) else [v] for n, v in row.asDict().items() if v is not None}
+                out.write(framed(message({n: [int(x) if isinstance(x, bool) else x for x in v] for n, v in given.items()})))
+                rows += 1
+        return Written(name, rows)
+
+    def commit(self, messages: list) -> None:
+        from pyarrow import fs
+
+        store, base = self._store()
+        if self.overwrite:
+            for old in store.get_file_info(fs.FileSelector(base, recursive=False)):
+                if old.type == fs.FileType.File:
+                    store.delete_file(old.path)
+        for done in messages:
+            if done is not None and done.rows:
+                store.move(f"{base}/_temporary/{self.job}/{done.file}", f"{base}/{done.file}")
+        self._gone(store, base)
+
+    def abort(self, messages: list) -> None:
+        self._gone(*self._store())
+
+    def _gone(self, store, base: str) -> None:
+        """What other attempts left goes with the job's folder."""
+        from pyarrow import fs
+
+        if store.get_file_info(f"{base}/_temporary/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/_temporary/{self.job}")
+        if not store.get_file_info(fs.FileSelector(f"{base}/_temporary", allow_not_found=True)):
+            store.delete_dir(f"{base}/_temporary")
+
+
+class ExampleRecords(DataSource):
+    """The format ``example_records``: rows of numbers, texts, bytes and lists of them as record files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "example_records"
+
+    def writer(self, schema: StructType, overwrite: bool) -> RecordWriter:
+        return RecordWriter(self.options["path"], overwrite)
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """The columns as features can hold them: structs, maps and lists of these as JSON, times as text, small numbers wider."""
+    out = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        inner = kind.elementType if isinstance(kind, ArrayType) else kind
+        if isinstance(inner, StructType | MapType | ArrayType):
+            c = F.to_json(c)
+        elif not isinstance(inner, StringType | BinaryType):
+            whole = "long" if isinstance(inner, IntegralType | BooleanType) else "double" if isinstance(inner, NumericType) else "string"
+            c = c.cast(f"array<{whole}>" if isinstance(kind, ArrayType) else whole)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def write_records(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Rows as record files that ``read_records`` reads: a file for each task with rows, all of them or none.
+
+    Floating numbers keep 32 bits, as the form has them; a null is a missing feature.
+    """
+    df.sparkSession.dataSource.register(ExampleRecords)
+    flat(df).write.format("example_records").mode("overwrite" if overwrite else "append").save(path)

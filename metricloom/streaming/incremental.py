@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricloom.operators.slicing import fan_out
 from metricloom.plans.config import EvalConfig
-from metricloom.plans.evaluate import plan
+from metricloom.plans.evaluate import plan, valued
 
 
 def running_metrics(stream: DataFrame, config: EvalConfig, time: str | None = None, window: str | None = None, late: str = "0 seconds") -> DataFrame:
@@ -22,6 +22,5 @@ def running_metrics(stream: DataFrame, config: EvalConfig, time: str | None = No
         stream = stream.withWatermark(time, late)
         by = [F.window(time, window).alias("window"), *by]
     sums = fan_out(stream.withColumns({f"__s{i}": c for i, c in enumerate(p.states.values())}), config.slices).groupBy(*by).agg(*(getattr(F, p.kinds.get(n, "sum"))(f"__s{i}").alias(n) for i, n in enumerate(p.states)))
-    state = {n: F.col(f"`{n}`") for n in p.states}
     keep = ["window", "slice_key"] if time and window else ["slice_key"]
-    return sums.select(*keep, *(v(state).alias(f"{m}/{n}" if m else n) for (m, n), v in p.values.items()))
+    return valued(sums, p, keep).select(*keep, *(f"`{x}`" for x in p.shown()))

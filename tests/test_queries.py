@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
-from metricloom import queries
+from metricloom import queries, queries_over_results  # noqa: F401
 
 from conftest import SF
 
