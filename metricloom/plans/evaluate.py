@@ -392,8 +392,8 @@ def crossed_rows(rows: DataFrame, config: EvalConfig, found: Sequence[Item]) ->
 
 
 def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
-    """``metrics`` (slice_key, slice, model, metric, value and more by the options), and ``plots``, ``examples`` (ids of rows in
-    cells), ``cross_slices``, ``validations`` and ``missing_slices`` where they are configured.
+    """``metrics`` (slice_key, slice, model, metric, value and more by the options), and ``plots``, ``attributions``, ``examples``
+    (ids of rows in cells), ``cross_slices``, ``validations`` and ``missing_slices`` where they are configured.
 
     ``sub_key`` is there with metrics over classes, ``output`` with models of several outputs, ``error`` with a least size
     of slices or with intervals: it says why a value or an interval is missing.
@@ -410,7 +410,12 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
     small = slicing.grouped_sums(df, config.slices, {"n": F.lit(1)}) if options.min_slice_size > 1 else None
     out = {}
     if drawn is not None:
-        out["plots"] = _finished(drawn, config, found, sampling, ["slice_key", "model", "output", "metric", "sub_key", "point", "measure"], small)
+        whole = _finished(drawn, config, found, sampling, ["slice_key", "model", "output", "metric", "sub_key", "point", "measure"], small)
+        by_feature = F.col("metric").isin(*plots.ATTRIBUTIONS)
+        if any(i.config.name in plots.ATTRIBUTIONS for i in found):
+            out["attributions"] = whole.where(by_feature).withColumnRenamed("measure", "feature").drop("point")
+        if any(i.config.name in plots.PLOTS and i.config.name not in plots.ATTRIBUTIONS for i in found):
+            out["plots"] = whole.where(~by_feature)
     examples = plots.example_rows(df, config, found)
     if examples is not None:
         if small is not None:

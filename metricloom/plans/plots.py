@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.functions.scalars import div_far
 from metricloom.operators import curves, multiclass
 from metricloom.operators.confidence import Sampling
 from metricloom.operators.metrics import Row, cell
@@ -74,6 +75,37 @@ def _at_thresholds(df: DataFrame, specs: Specs, params: dict, sampling: Sampling
     return _measures(curves.with_rates(sums.select("slice_key", "__b", F.inline(each))), ["threshold"], [*curves.CELLS, *RATES])
 
 
+def _segmentation(df: DataFrame, specs: Specs, params: dict, sampling: Sampling) -> DataFrame:
+    """Cells of each class over pixels; pixels whose truth is ``ignore`` count in no cell of negatives."""
+    pixels = df.select("*", F.explode(F.arrays_zip(F.col("__label").alias("t"), F.col("__prediction").alias("p"))).alias("__z"))
+    ignore = params.get("ignore")
+    by_class = pixels.withColumn("class_id", F.explode(F.lit(list(params["classes"])).cast("array<int>")))
+    t, p = F.col("__z.t") == F.col("class_id"), F.col("__z.p") == F.col("class_id")
+    real = F.lit(True) if ignore is None else F.col("__z.t") != ignore
+    amount = lambda c: F.when(c, F.col("__weight")).otherwise(0.0)
+    states = {"tp": amount(t & p), "fp": amount(~t & p & real), "fn": amount(t & ~p), "tn": amount(~t & ~p & real)}
+    return _measures(sampling.sums(by_class, specs, states, ["class_id"]), ["class_id"], list(states))
+
+
+def _attributions(absolute: bool, mean: bool) -> Callable[[DataFrame, Specs, dict, Sampling], DataFrame]:
+    """A map's values by key, the features: totals, or means over the weight of all rows; with ``class_id`` of arrays by class."""
+
+    def rows(df: DataFrame, specs: Specs, params: dict, sampling: Sampling) -> DataFrame:
+        parts = df.select("*", F.explode(F.expr(params["column"])).alias("__feature", "__a"))
+        a = F.col("__weight") * (F.element_at("__a", params["class_id"] + 1) if "class_id" in params else F.col("__a")).cast("double")
+        found = sampling.sums(parts, specs, {"value": F.abs(a) if absolute else a}, ["__feature"])
+        if mean:
+            counts = sampling.sums(df, specs, {"__n": F.col("__weight")})
+            found = found.join(counts, ["slice_key", "__b"]).withColumn("value", div_far(F.col("value"), F.col("__n")))
+        nowhere = F.array().cast("array<struct<key: string, value: double>>").alias("point")
+        return found.select("slice_key", "__b", nowhere, F.col("__feature").alias("measure"), "value")
+
+    return rows
+
+
+#: Names of metrics that are tables by feature.
+ATTRIBUTIONS = {"TotalAttributions": (False, False), "TotalAbsoluteAttributions": (True, False), "MeanAttributions": (False, True), "MeanAbsoluteAttributions": (True, True)}
+
 #: Names of plots, with the parameters that they take.
 PLOTS: dict[str, tuple[Callable[[DataFrame, Specs, dict, Sampling], DataFrame], tuple[str, ...]]] = {
     "ConfusionMatrixPlot": (_confusion, ("num_thresholds",)),
@@ -82,6 +114,8 @@ PLOTS: dict[str, tuple[Callable[[DataFrame, Specs, dict, Sampling], DataFrame],
     "ScoreDistributionPlot": (_score_distribution, ("num_thresholds",)),
     "MultiClassConfusionMatrixPlot": (_multi_class, ("thresholds",)),
     "MultiLabelConfusionMatrixPlot": (_multi_label, ("thresholds",)),
+    "SemanticSegmentationConfusionMatrix": (_segmentation, ("classes", "ignore")),
+    **{name: (_attributions(*how), ("column", "class_id")) for name, how in ATTRIBUTIONS.items()},
 }
 
 

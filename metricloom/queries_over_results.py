@@ -281,3 +281,36 @@ def staged_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Stage("own", lambda df, config, results: {"own": results["metrics"].agg(F.count("*").alias("failures"))}, run_after=("metrics",))
     out = run(examples(spark, sf_dir), config, (own,))
     return out["verdict"].select(F.lit("verdict").alias("result"), "ok", "failures", "missing").unionAll(out["own"].select(F.lit("own"), F.lit(True), "failures", F.lit(0).cast("long")))
+
+
+@query(
+    "configured_attributions",
+    f"WITH {left_out({'d': 'sum(weight * (l_discount - 0.05))', 'x': 'sum(weight * (0.04 - l_tax))', 'w': 'sum(weight)'})}, m AS (SELECT slice, 'TotalAttributions' AS metric, 'discount' AS feature, i, d AS v FROM o UNION ALL SELECT slice, 'TotalAttributions', 'tax', i, x FROM o UNION ALL SELECT slice, 'MeanAttributions', 'discount', i, d / w FROM o UNION ALL SELECT slice, 'MeanAttributions', 'tax', i, x / w FROM o) SELECT slice, metric, feature, {with_error(digits=4)} FROM m GROUP BY ALL",
+)
+def configured_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions by feature with intervals, by one configuration."""
+    df = examples(spark, sf_dir).withColumn("a", F.create_map(F.lit("discount"), F.col("l_discount") - 0.05, F.lit("tax"), 0.04 - F.col("l_tax")))
+    metrics = tuple(MetricConfig(n, {"column": "a"}) for n in ("TotalAttributions", "MeanAttributions"))
+    found = evaluate(df, EvalConfig(MODEL, SPECS, metrics, options=JACK))["attributions"]
+    return found.select("slice", "metric", "feature", rounded("value", 4), rounded("standard_error", 4))
+
+
+@query("configured_segmentation", "WITH p AS (SELECT CAST(l_quantity AS BIGINT) % 3 AS t, l_partkey % 3 AS p FROM lineitem), c AS (SELECT unnest([0, 1, 2]) AS c) SELECT CAST(c AS DOUBLE) AS class_id, CAST(sum(CAST(t = c AND p = c AS INTEGER)) AS DOUBLE) AS tp, CAST(sum(CAST(t <> c AND p = c AND t <> 0 AS INTEGER)) AS DOUBLE) AS fp, CAST(sum(CAST(t = c AND p <> c AS INTEGER)) AS DOUBLE) AS fn, CAST(sum(CAST(t <> c AND p <> c AND t <> 0 AS INTEGER)) AS DOUBLE) AS tn FROM p, c GROUP BY c")
+def configured_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of pixels by configuration, as a table of points."""
+    from metricloom.plans.tables import points
+    from metricloom.queries import table
+
+    images = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_quantity").cast("long") % 3).cast("int")).alias("truth"), F.collect_list((F.col("l_partkey") % 3).cast("int")).alias("predicted"))
+    config = EvalConfig((ModelSpec("truth", "predicted"),), (OVERALL,), (MetricConfig("SemanticSegmentationConfusionMatrix", {"classes": [0, 1, 2], "ignore": 0}),))
+    return points(evaluate(images, config)["plots"]).select("class_id", "tp", "fp", "fn", "tn")
+
+
+@query("results_by_features", f"WITH {SLICED} SELECT 'Overall' AS slice, NULL AS status, NULL AS flag, round(sum(weight * label) / sum(weight), 6) AS value FROM base UNION ALL SELECT 'l_linestatus:' || l_linestatus, l_linestatus, NULL, round(sum(weight * label) / sum(weight), 6) FROM base GROUP BY l_linestatus UNION ALL SELECT 'l_linestatus_X_l_returnflag:' || l_linestatus || '_X_' || l_returnflag, l_linestatus, l_returnflag, round(sum(weight * label) / sum(weight), 6) FROM base GROUP BY l_linestatus, l_returnflag")
+def results_by_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics as a flat table with a column for each feature that slices have."""
+    from metricloom.plans.tables import by_features, lookup
+
+    found = evaluate(examples(spark, sf_dir), EvalConfig(MODEL, SPECS, (MetricConfig("MeanLabel"), MetricConfig("ExampleCount"))))["metrics"]
+    flat = by_features(lookup(found, metric="MeanLabel"), ("l_linestatus", "l_returnflag"))
+    return flat.select("slice", F.col("`slice.l_linestatus`").alias("status"), F.col("`slice.l_returnflag`").alias("flag"), rounded("value"))

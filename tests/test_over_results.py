@@ -243,3 +243,30 @@ def test_config_json_keeps_new_fields():
     for bad in (Options(bucket="id"), Options(intervals="jackknife", samples=1)):
         with pytest.raises(ValueError):
             EvalConfig(options=bad).verified()
+
+
+def test_attributions_and_tables(df, spark, tmp_path):
+    from metricloom.plans.tables import by_features, lookup, only, points, series
+    from metricloom.sources.results import read_runs, write_results
+
+    given = df.withColumn("a", F.create_map(F.lit("x"), F.col("prediction") - 0.5, F.lit("y"), F.col("other")))
+    metrics = (MetricConfig("MeanAbsoluteAttributions", {"column": "a"}), MetricConfig("ConfusionMatrixPlot", {"num_thresholds": 2}), MetricConfig("MeanLabel"), MetricConfig("MeanPrediction"))
+    config = EvalConfig(MODEL, BY_G, metrics)
+    out = evaluate(given, config)
+    assert set(out) == {"metrics", "plots", "attributions"}
+    rows = [r for r in df.collect() if r.g == "a"]
+    assert only(out["attributions"], SlicingSpec((), {"g": "a"}), feature="x") == pytest.approx(sum(r.weight * abs(r.prediction - 0.5) for r in rows) / sum(r.weight for r in rows))
+    flat = points(out["plots"]).where("slice = 'Overall'").orderBy("threshold").collect()
+    assert [r.threshold for r in flat] == [-1e-6, 0.0, 0.5, 1.0] and flat[0].tp == sum(r.weight * r.label for r in df.collect()) and flat[0].w is None
+    assert {(r["slice"], r["slice.g"]) for r in by_features(out["metrics"], ("g",)).collect()} == {("Overall", None), ("g:a", "a"), ("g:b", "b")}
+    assert lookup(out["metrics"], SlicingSpec(("g",)), metric="MeanLabel").count() == 2
+    for wrong in ({"metric": "MeanLabel"}, {"metric": "none"}):
+        with pytest.raises(ValueError):
+            only(out["metrics"], **wrong)
+    with pytest.raises(ValueError, match="told apart"):
+        lookup(out["metrics"], sub_key="class:1")
+    for i, run_ in enumerate("ab"):
+        write_results(evaluate(given.withColumn("prediction", F.col("prediction") + i), config), config, str(tmp_path / run_))
+    runs = series(read_runs(spark, {r: str(tmp_path / r) for r in "ab"}), ("MeanLabel", "MeanPrediction"), OVERALL).orderBy("run").collect()
+    assert [r.run for r in runs] == ["a", "b"] and runs[0]["MeanPrediction/change"] is None and runs[1]["MeanPrediction/change"] == pytest.approx(1) and runs[1]["MeanLabel/change"] == 0
+    assert read_runs(spark, {"a": str(tmp_path / "a")}, "attributions").count() == 6
