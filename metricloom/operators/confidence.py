@@ -86,21 +86,31 @@ def intervals(samples: DataFrame, sampling: Sampling, keys: Sequence[str], skip:
     """``*keys, value, sample_mean, standard_error, lower, upper, samples, problem`` from ``*keys, __b, value``.
 
     Bounds lie around the samples' mean. A key of which not all samples have a value gets none, and ``problem`` says so; one
-    for which ``skip`` holds gets none and has no problem.
+    for which ``skip`` holds gets none and has no problem. A column ``change`` beside the value has ``change_error``,
+    ``change_lower`` and ``change_upper`` in the same way, from the same aggregation.
     """
     sample, n = F.col("__b") != WHOLE, sampling.samples
-    drawn = F.when(sample if skip is None else sample & ~skip, F.col("value"))
-    quoted = [f"`{k}`" for k in keys]
-    stats = samples.groupBy(*quoted).agg(
-        F.max(F.when(~sample, F.col("value"))).alias("value"), F.avg(drawn).alias("__m"), (F.stddev_samp(drawn) * sampling.spread).alias("__e"), F.count(F.when(drawn.isNotNull() & ~F.isnan(drawn), 1)).alias("samples"),
-        F.max(F.lit(False) if skip is None else skip).alias("__skip"),
-    )
-    t, ok, m, e = t_quantile(0.975, n - 1), F.col("samples") == n, F.col("__m"), F.col("__e")
-    told = F.concat(F.lit("no interval: "), F.col("samples").cast("string"), F.lit(f" of {n} samples have a value"))
-    return stats.select(
-        *quoted, "value", F.when(ok, m).alias("sample_mean"), F.when(ok, e).alias("standard_error"), F.when(ok, m - t * e).alias("lower"), F.when(ok, m + t * e).alias("upper"), "samples",
+    quoted, t = [f"`{k}`" for k in keys], t_quantile(0.975, sampling.samples - 1)
+    more = "change" in samples.columns
+    sums = [F.max(F.lit(False) if skip is None else skip).alias("__skip")]
+    for name in ("value", *(["change"] if more else [])):
+        drawn = F.when(sample if skip is None else sample & ~skip, F.col(name))
+        sums += [
+            F.max(F.when(~sample, F.col(name))).alias(name), F.avg(drawn).alias(f"__m_{name}"), (F.stddev_samp(drawn) * sampling.spread).alias(f"__e_{name}"),
+            F.count(F.when(drawn.isNotNull() & ~F.isnan(drawn), 1)).alias(f"__n_{name}"),
+        ]
+    stats = samples.groupBy(*quoted).agg(*sums)
+    part = lambda name: (F.col(f"__n_{name}") == n, F.col(f"__m_{name}"), F.col(f"__e_{name}"))
+    ok, m, e = part("value")
+    told = F.concat(F.lit("no interval: "), F.col("__n_value").cast("string"), F.lit(f" of {n} samples have a value"))
+    out = [
+        "value", F.when(ok, m).alias("sample_mean"), F.when(ok, e).alias("standard_error"), F.when(ok, m - t * e).alias("lower"), F.when(ok, m + t * e).alias("upper"), F.col("__n_value").alias("samples"),
         F.when(~ok & ~F.col("__skip"), told).alias("problem"),
-    )
+    ]
+    if more:
+        ok, m, e = part("change")
+        out += ["change", F.when(ok, e).alias("change_error"), F.when(ok, m - t * e).alias("change_lower"), F.when(ok, m + t * e).alias("change_upper")]
+    return stats.select(*quoted, *out)
 
 
 def _long(frame: DataFrame, values: Values, names: Sequence[str], keep: Sequence[str]) -> DataFrame:

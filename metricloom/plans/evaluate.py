@@ -370,7 +370,7 @@ def output_averages(rows: DataFrame, found: Sequence[Item]) -> DataFrame:
 
 def model_differences(metrics: DataFrame, baseline: str, paired: Sequence[str] = tuple(PAIRED)) -> DataFrame:
     """``change``: a candidate's value less the baseline's of the same slice, metric, output and sub-key; null for the baseline."""
-    keys = ["slice_key", "metric", *(c for c in ("output", "sub_key") if c in metrics.columns)]
+    keys = ["slice_key", "metric", *(c for c in ("output", "sub_key", "__b", "__hidden") if c in metrics.columns)]
     base = F.max(F.when(F.col("model") == baseline, F.col("value"))).over(Window.partitionBy(*keys))
     return metrics.withColumn("change", F.when((F.col("model") != baseline) & ~F.col("metric").isin(*paired), F.col("value") - base))
 
@@ -395,7 +395,7 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
     """``metrics`` (slice_key, slice, model, metric, value and more by the options), and ``plots``, ``attributions``, ``examples``
     (ids of rows in cells), ``cross_slices``, ``validations`` and ``missing_slices`` where they are configured.
 
-    ``sub_key`` is there with metrics over classes, ``output`` with models of several outputs, ``error`` with a least size
+    ``change`` is there with a baseline model, ``sub_key`` with metrics over classes, ``output`` with models of several outputs, ``error`` with a least size
     of slices or with intervals: it says why a value or an interval is missing.
     """
     config = config.verified()
@@ -426,7 +426,7 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
     early = {n for _, n, _ in plan(config, plain).labels.values()} | {i.name for i in found if i.config.keyed}
     over = [(i.name, i.made) for i in plain if isinstance(i.made, Derived) and i.made.stage == "values" and i.name not in early]
     rows = output_averages(later_rows(rows, over), found)
-    metrics = _finished(rows, config, found, sampling, ["slice_key", "model", "output", "metric", "sub_key", "__hidden"], small)
+    metrics = _finished(rows, config, found, sampling, ["slice_key", "model", "output", "metric", "sub_key", "__hidden"], small, changes=True)
     for item in plain:
         if isinstance(item.made, Derived) and item.made.stage == "intervals":
             if not options.intervals:
@@ -437,8 +437,6 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
             own = wide_.select("slice_key", "slice", *(c for c in KEYS if c in metrics.columns), value, F.lit(item.name).alias("metric"), F.lit(private(item.name)).alias("__hidden"))
             metrics = metrics.unionByName(own, allowMissingColumns=True)
     metrics = metrics.where(~F.col("__hidden")).drop("__hidden")
-    if config.baseline:
-        metrics = model_differences(metrics, config.baseline.name, [i.name for i in found if i.config.name in PAIRED])
     out["metrics"] = metrics
     if config.cross_slices:
         if small is not None:  # what is hidden is not told by differences either
@@ -451,12 +449,18 @@ def evaluate(df: DataFrame, config: EvalConfig) -> dict[str, DataFrame]:
     return out
 
 
-def _finished(rows: DataFrame, config: EvalConfig, found: Sequence[Item], sampling: Sampling, keys: list[str], small: DataFrame | None = None) -> DataFrame:
-    """Results of samples as rows with intervals, if they are wanted, without columns that hold nothing here."""
+def _finished(rows: DataFrame, config: EvalConfig, found: Sequence[Item], sampling: Sampling, keys: list[str], small: DataFrame | None = None, changes: bool = False) -> DataFrame:
+    """Results of samples as rows with intervals, if they are wanted, without columns that hold nothing here.
+
+    ``changes``: with a baseline model also each result's change against it, with an interval of its own.
+    """
     if small is not None:
         rows, keys = slicing.hide_small(rows, small, config.options.min_slice_size), [*keys, "error"]
+    changes = changes and config.baseline is not None
+    if changes:
+        rows = model_differences(rows, config.baseline.name, [i.name for i in found if i.config.name in PAIRED])
     if sampling.kind is None:
-        out = rows.where(F.col("__b") == confidence.WHOLE).select(*keys, "value")
+        out = rows.where(F.col("__b") == confidence.WHOLE).select(*keys, "value", *(["change"] if changes else []))
     else:
         without = [i.name for i in found if not i.config.intervals or (i.made is not None and not i.made.intervals)]
         out = confidence.intervals(rows, sampling, keys, F.col("metric").isin(*without) if without else None)

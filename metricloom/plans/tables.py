@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.operators.slicing import SlicingSpec, applies
+from metricloom.functions.inputs import weight_or_one
+from metricloom.operators.slicing import SlicingSpec, applies, slice_keys, slice_name
+from metricloom.plans.config import EvalConfig
 
 #: What tells results apart beside their slices, as far as a table has it.
 KEYS = ("run", "model", "output", "metric", "sub_key", "measure", "feature", "threshold", "cell")
 
 
+def analysis(df: DataFrame, config: EvalConfig, columns: Sequence[str] = ()) -> DataFrame:
+    """The rows as metrics see them: the named columns, ``slices`` by name, and each model's label, prediction and weight."""
+    names = F.transform(slice_keys(df, config.slices), slice_name).alias("slices")
+    own = []
+    for model in config.models:
+        of = f"{model.name}#{model.output}/" if model.output else f"{model.name}/" if model.name else ""
+        weight = weight_or_one(F.expr(model.weight) if model.weight else None)
+        own += [F.expr(model.label).alias(f"{of}label"), F.expr(model.prediction).alias(f"{of}prediction"), weight.alias(f"{of}weight")]
+    return df.select(*(f"`{c}`" for c in columns), names, *own)
+
+
+def counterfactual(df: DataFrame, model: Callable[[dict[str, Column]], Column], features: Sequence[str], changes: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """The rows with a column for each named change: what a model predicts where some of its features are other columns.
+
+    ``model`` takes its features as columns by name, and may well be a vectorised function; a change without entries is the
+    prediction as it is.
+    """
+    for name, given in changes.items():
+        if unknown := set(given) - set(features):
+            raise ValueError(f"{name} changes {', '.join(sorted(unknown))}, which the model doesn't take")
+    return df.withColumns({name: model({f: given.get(f, F.col(f"`{f}`")) for f in features}) for name, given in changes.items()})
+
+
 def by_features(results: DataFrame, features: Sequence[str]) -> DataFrame:
     """A column ``slice.<feature>`` for each named feature: the slice's value of it, null where it is not sliced by it."""
 

@@ -319,8 +319,9 @@ def model_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("counterfactual", f"WITH {SLICED}, s AS (SELECT slice, avg(l_discount * 10) AS a, avg(l_tax * 10) AS b FROM sl GROUP BY slice) SELECT slice, round(a, 6) AS \"plain/MeanPrediction\", round(b, 6) AS \"changed/MeanPrediction\" FROM s")
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's prediction as it is, and with one of its inputs replaced by another column."""
-    model = lambda discount: discount * 10
-    df = examples(spark, sf_dir).withColumns({"plain": model(F.col("l_discount")), "changed": model(F.col("l_tax"))})
+    from metricloom.plans.tables import counterfactual as changed
+
+    df = changed(examples(spark, sf_dir), lambda x: x["l_discount"] * 10, ["l_discount"], {"plain": {}, "changed": {"l_discount": F.col("l_tax")}})
     models = tuple(ModelSpec(MODELS["label"], n, None, n) for n in ("plain", "changed"))
     return shown(wide(df, EvalConfig(models, SPECS, (MetricConfig("MeanPrediction"),))), ["plain/MeanPrediction", "changed/MeanPrediction"])
 
@@ -590,9 +591,11 @@ def windowed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("analysis_table", f"WITH {BASE} SELECT l_orderkey, l_linenumber, l_partkey, label, round(prediction, 8) AS prediction, weight, 'Overall;l_linestatus:' || l_linestatus || ';l_linestatus_X_l_returnflag:' || l_linestatus || '_X_' || l_returnflag AS slices FROM base")
 def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows as metrics see them, with the slices that each belongs to."""
-    df = examples(spark, sf_dir)
-    names = F.array_join(F.transform(slicing.slice_keys(df, SPECS), slicing.slice_name), ";").alias("slices")
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "label", F.round("prediction", 8).alias("prediction"), "weight", names)
+    from metricloom.plans.tables import analysis
+
+    config = EvalConfig((ModelSpec(MODELS["label"], "score", "l_quantity"),), SPECS)
+    found = analysis(examples(spark, sf_dir), config, ("l_orderkey", "l_linenumber", "l_partkey"))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "label", F.round("prediction", 8).alias("prediction"), "weight", F.array_join("slices", ";").alias("slices"))
 
 
 @query("evaluated_curves", f"WITH {HIST}{TH200}{CELLS}{STEPS} SELECT slice, 'AUC' AS metric, round(coalesce(sum(CASE WHEN tp2 IS NOT NULL THEN {AREAS['roc_interpolation']} END), 0), 6) AS value FROM p GROUP BY slice UNION ALL SELECT slice, 'RecallAtPrecision@0.2', round(coalesce(max(CASE WHEN ({RATE_SQL['precision']}) >= 0.2 THEN {RATE_SQL['tpr']} END), 0), 6) FROM m GROUP BY slice UNION ALL SELECT slice, 'MeanLabel', round(sum(wl) / sum(w), 6) FROM b GROUP BY slice")

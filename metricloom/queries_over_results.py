@@ -314,3 +314,15 @@ def results_by_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evaluate(examples(spark, sf_dir), EvalConfig(MODEL, SPECS, (MetricConfig("MeanLabel"), MetricConfig("ExampleCount"))))["metrics"]
     flat = by_features(lookup(found, metric="MeanLabel"), ("l_linestatus", "l_returnflag"))
     return flat.select("slice", F.col("`slice.l_linestatus`").alias("status"), F.col("`slice.l_returnflag`").alias("flag"), rounded("value"))
+
+
+@query(
+    "change_intervals",
+    f"WITH {left_out({'w': 'sum(weight)', 'wp': 'sum(weight * prediction)', 'wo': 'sum(weight * other)'})}, m AS (SELECT slice, i, wp / w AS n, wp / w - wo / w AS c FROM o) SELECT slice, round(max(CASE WHEN i = -1 THEN n END), 6) AS value, round(max(CASE WHEN i = -1 THEN c END), 6) AS change, round(stddev_samp(CASE WHEN i >= 0 THEN c END) * 19 / sqrt(20), 6) AS change_error FROM m GROUP BY slice",
+)
+def change_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change between two models has an interval of its own: both models lack the same rows in each sample."""
+    from metricloom.queries import TWO
+
+    found = evaluate(examples(spark, sf_dir), EvalConfig(TWO, SPECS, (MetricConfig("MeanPrediction"),), options=JACK))["metrics"]
+    return found.where("model = 'new'").select("slice", rounded("value"), rounded("change"), rounded("change_error"))
