@@ -266,6 +266,10 @@ def keyed_rows(df: DataFrame, config: EvalConfig, found: Sequence[Item], samplin
             groups.setdefault(item.group, []).append(item)
     out = []
     for (classes, ks, top_ks, how, weights), own in groups.items():
+        here = {name for _, name, _ in plan(replace(config, models=(ModelSpec(),)), own).labels.values()} | {i.name for i in own if i.curve}
+        for item in own:
+            if isinstance(item.made, Derived) and (item.made.stage != "values" or item.name not in here):
+                raise ValueError(f"{item.name} of classes is over values of sums of the same classes")
         for model in config.models:
             row = _row(model, None)
             arrays = df.withColumns({"__label": row.label, "__prediction": row.prediction, "__weight": row.weight})

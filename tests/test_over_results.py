@@ -270,3 +270,39 @@ def test_attributions_and_tables(df, spark, tmp_path):
     runs = series(read_runs(spark, {r: str(tmp_path / r) for r in "ab"}), ("MeanLabel", "MeanPrediction"), OVERALL).orderBy("run").collect()
     assert [r.run for r in runs] == ["a", "b"] and runs[0]["MeanPrediction/change"] is None and runs[1]["MeanPrediction/change"] == pytest.approx(1) and runs[1]["MeanLabel/change"] == 0
     assert read_runs(spark, {"a": str(tmp_path / "a")}, "attributions").count() == 6
+
+
+def test_changes_have_intervals(df):
+    two = (ModelSpec("label", "other", "weight", "old", True), ModelSpec("label", "prediction", "weight", "new"))
+    out = evaluate(df, EvalConfig(two, metrics=(MetricConfig("MeanPrediction"), MetricConfig("SymmetricFlipRate")), options=JACK))["metrics"]
+    r = {(x.model, x.metric): x for x in out.collect()}
+    rows = df.collect()
+    change = lambda some: sum(x.weight * (x.prediction - x.other) for x in some) / sum(x.weight for x in some)
+    samples = np.array([change([x for x in rows if x.id % 20 != b]) for b in range(20)])
+    one = r["new", "MeanPrediction"]
+    assert one.change == pytest.approx(change(rows)) and one.change_error == pytest.approx(samples.std(ddof=1) * 19 / math.sqrt(20)) and one.change_lower < one.change < one.change_upper
+    assert r["old", "MeanPrediction"].change is None and r["old", "MeanPrediction"].change_error is None and r["new", "SymmetricFlipRate"].change is None
+    # both models lack the same rows, so the change varies otherwise than the values
+    assert one.change_error != pytest.approx(one.standard_error)
+
+
+def test_derived_metrics_of_classes(df):
+    model = (ModelSpec("hot", "scores"),)
+    config = EvalConfig(model, metrics=(MetricConfig("FBeta", {}, (0, 1)), MetricConfig("F1Score", {}, (0, 1)), MetricConfig("FBeta", {}, (0, 1), average="macro"), MetricConfig("F1Score", {}, (0, 1), average="macro")))
+    got = values(evaluate(df, config)["metrics"], "metric", "sub_key")
+    assert len(got) == 6 and all(v == pytest.approx(got["F1Score", k], nan_ok=True) for (m, k), v in got.items() if m == "F1")
+    for bad in (expression("Precision", ["Precision"], "x", class_ids=(0,)), MetricConfig("RelativeError", {"metric": "Precision"}, (0,))):
+        with pytest.raises(ValueError, match="of classes"):
+            evaluate(df, EvalConfig(model, metrics=(MetricConfig("Precision", {}, (1,)), bad), options=JACK))
+
+
+def test_analysis_and_counterfactuals(df):
+    from metricloom.plans.tables import analysis, counterfactual
+
+    two = (ModelSpec("label", "other", None, "a", True), ModelSpec("label", "prediction", "weight", "b"))
+    r = analysis(df, EvalConfig(two, BY_G), ("id",)).where("id = 3").first()
+    assert r.asDict() == {"id": 3, "slices": ["Overall", "g:b"], "a/label": 1.0, "a/prediction": 159 % 97 / 97, "a/weight": 1.0, "b/label": 1.0, "b/prediction": 111 % 101 / 101, "b/weight": 2.0}
+    found = counterfactual(df, lambda x: x["prediction"] * 2 + x["weight"], ("prediction", "weight"), {"plain": {}, "other": {"prediction": F.col("other")}, "none": {"weight": F.lit(0.0)}}).where("id = 3").first()
+    assert (found.plain, found.other, found["none"]) == pytest.approx((2 * r["b/prediction"] + 2, 2 * r["a/prediction"] + 2, 2 * r["b/prediction"]))
+    with pytest.raises(ValueError, match="doesn't take"):
+        counterfactual(df, lambda x: x["weight"], ("weight",), {"x": {"other": F.lit(1)}})
