@@ -105,3 +105,41 @@ def test_query_held_out(spark, sf_dir):
     rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
+
+
+def plain_score(model, text):
+    """One document's score by loops over its words: forward and backward sums in logarithms, then the calibration."""
+    words = tox.WORD.findall(text)
+    buckets = [tox.buckets_of(w) for w in words]
+    weight = lambda b: float(model.weights[b])
+    clip = lambda x: max(-30.0, min(30.0, x))
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    bias, enter, leave, stay = (float(model.steps[0]), *(clip(float(s)) for s in model.steps[1:]))
+    e = []
+    for i, own in enumerate(buckets):
+        x = bias + sum(map(weight, own[: tox.OWN]))
+        x += weight(buckets[i - 1][tox.OWN]) if i else 0.0
+        x += weight(buckets[i + 1][tox.OWN + 1]) if i + 1 < len(buckets) else 0.0
+        e.append(clip(x))
+    ahead, behind = [], [(0.0, 0.0)]
+    for i, x in enumerate(e):
+        c, t = ahead[-1] if i else (0.0, -1e9)
+        ahead.append((add(c, t + leave), add(c + enter, t + stay) + x))
+    for x in e[:0:-1]:
+        c, t = behind[-1]
+        behind.append((add(c, t + enter + x), add(c + leave, t + stay + x)))
+    p = [1 / (1 + math.exp(clip(c + a - t - b))) for (c, t), (a, b) in zip(ahead, reversed(behind), strict=True)] if words else []
+    top = min(max(max(p, default=1e-6), 1e-6), 1 - 1e-6)
+    x = model.calibration @ np.array([1.0, math.log(top / (1 - top)), math.log1p(sum(p))])
+    return 1 / (1 + math.exp(-clip(float(x))))
+
+
+def test_query_against_a_plain_field(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r.score for r in op8_toxicity(spark, sf_dir).collect()}
+    model = tox.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    wanted = {r.doc_id: plain_score(model, r.text or "") for r in docs.collect()}
+    assert set(got) == set(wanted)
+    assert max(abs(got[k] - wanted[k]) for k in got) < 0.01  # the query's fit sums in an order of its own
+    exact = {r.doc_id: r.score for r in tox.score(docs, model).collect()}
+    assert max(abs(exact[k] - wanted[k]) for k in exact) < 1e-6
